@@ -70,7 +70,8 @@ def histogram_bin(x: Column, low: float, high: float, bins: int) -> Column:
     at = F.array(*[F.lit(e) for e in edges])
     guess = F.least(F.floor((x - F.lit(low)) / F.lit(high - low) * F.lit(float(bins))).cast("int"), F.lit(bins - 1))
     return (
-        F.when(x < F.element_at(at, guess + 1), guess - 1)
+        F.when(x.isNull(), None)
+        .when(x < F.element_at(at, guess + 1), guess - 1)
         .when((guess < bins - 1) & (x >= F.element_at(at, guess + 2)), guess + 1)
         .otherwise(guess)
     )

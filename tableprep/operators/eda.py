@@ -147,6 +147,23 @@ def describe(df: DataFrame, stats: Profile) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, stat string, value double")
 
 
+def sample_statistics(df: DataFrame, stats: Profile | None = None, k: int = 5) -> DataFrame:
+    """``(column, stat, item, value)``: mean, std, min, max of numbers; distinct count and top values of the rest."""
+    df = nan_to_null(df)
+    stats = stats or profile(df, quartiles=(), distinct=[s for s in df.columns if s not in number_columns(df)])
+    rows = []
+    for s in stats:
+        if s.kind == "number":
+            facts = {"mean": s.mean, "std": s.std, "min": s.low, "max": s.high}
+            rows += [(s.name, stat, None, None if v is None else float(v)) for stat, v in facts.items()]
+        elif s.kind != "other":
+            rows.append((s.name, "unique_count", None, float(s.distinct)))
+    facts = df.sparkSession.createDataFrame(rows, "column string, stat string, item string, value double")
+    others = [s.name for s in stats if s.kind not in ("number", "other")]
+    top = frequencies.top_values(df, others, k)
+    return facts.unionAll(top.select("column", F.lit("top"), F.col("value"), F.col("n").cast("double")))
+
+
 def summary(df: DataFrame, stats: Profile) -> DataFrame:
     """``(position, column, dtype, kind, rows, columns, missing, distinct_values)``, one row per column."""
     rows = [

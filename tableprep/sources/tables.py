@@ -44,23 +44,27 @@ def na_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(~col(c).isin(NA_TOKENS), col(c)).alias(c) for c in df.columns])
 
 
-def infer_types(df: DataFrame) -> dict[str, str]:
+def infer_types(df: DataFrame, promote_int_nulls: bool = False) -> dict[str, str]:
     """Type of each text column from all its values: integer, float, boolean, else text.
 
-    A column fits a type when no value fails it; an all-missing column is float.
+    A column fits a type when no value fails it; an all-missing column is float.  With
+    ``promote_int_nulls`` integers with gaps become float, as they do where integers cannot be null.
     """
     found: dict[str, str] = {}
     kinds = ("bigint", "double", "boolean")
-    step = EXPRESSIONS_PER_JOB // len(kinds)
+    step = EXPRESSIONS_PER_JOB // (len(kinds) + 1)
     for start in range(0, len(df.columns), step):
         names = df.columns[start : start + step]
         row = df.agg(
+            F.count(F.lit(1)).alias("rows"),
             *[F.count_if(~_is_type(col(c), k)).alias(f"{k}{i}") for i, c in enumerate(names) for k in kinds],
             *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)],
         ).first()
         for i, c in enumerate(names):
             fits = [k for k in kinds if row[f"{k}{i}"] == 0]
             found[c] = "double" if row[f"n{i}"] == 0 else (fits[0] if fits else "string")
+            if promote_int_nulls and found[c] == "bigint" and row[f"n{i}"] < row["rows"]:
+                found[c] = "double"
     return found
 
 
@@ -68,15 +72,30 @@ def with_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*[_as_type(col(c), types[c]).alias(c) for c in df.columns])
 
 
-def read_csv(spark: SparkSession, uri: str, types: dict[str, str] | None = None) -> DataFrame:
+def has_quoted_line_breaks(spark: SparkSession, uri: str) -> bool:
+    """Whether some line leaves a quote open.  Only then must a file be read unsplit."""
+    line = spark.read.text(uri)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not line.filter(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(
+    spark: SparkSession,
+    uri: str,
+    types: dict[str, str] | None = None,
+    multi_line: bool | None = None,
+    promote_int_nulls: bool = False,
+) -> DataFrame:
     """CSV with a header.  Missing-value texts become null before types are inferred.
 
-    Inference reads the whole file once; pass ``types`` (column to type) to skip that.
+    Inference reads the file once; pass ``types`` (column to type) to skip that, and ``multi_line``
+    to skip looking for line breaks inside quotes.
     """
-    raw = na_to_null(
-        spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(uri)
-    )
-    return with_types(raw, types or infer_types(raw))
+    if multi_line is None:
+        multi_line = has_quoted_line_breaks(spark, uri)
+    reader = spark.read.option("header", True).option("multiLine", multi_line)
+    raw = na_to_null(reader.option("quote", '"').option("escape", '"').csv(uri))
+    return with_types(raw, types or infer_types(raw, promote_int_nulls))
 
 
 def read_json(spark: SparkSession, uri: str) -> DataFrame:
