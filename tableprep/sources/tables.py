@@ -57,7 +57,7 @@ def infer_types(df: DataFrame, promote_int_nulls: bool = False) -> dict[str, str
         names = df.columns[start : start + step]
         row = df.agg(
             F.count(F.lit(1)).alias("rows"),
-            *[F.count_if(~_is_type(col(c), k)).alias(f"{k}{i}") for i, c in enumerate(names) for k in kinds],
+            *[F.count_if(col(c).isNotNull() & ~_is_type(col(c), k)).alias(f"{k}{i}") for i, c in enumerate(names) for k in kinds],
             *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)],
         ).first()
         for i, c in enumerate(names):

@@ -59,7 +59,7 @@ def intake(
         # Each batch owns one folder and rewrites it, so a repeated batch replaces its own output
         # and must not count it as processed before.
         done = _processed(batch.sparkSession, f"{path}/batch=*", schema)
-        earlier = done.filter(~F.contains(F.input_file_name(), F.lit(f"/batch={batch_id}-"))).select(key)
+        earlier = done.filter(~F.contains(F.input_file_name(), F.lit(f"/batch={batch_id}-{run}/"))).select(key)
         fresh = batch.dropDuplicates([key]).join(earlier, key, "left_anti")
         process(fresh).write.mode("overwrite").parquet(f"{path}/batch={batch_id}-{run}")
 
