@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import entries.cleaning  # noqa: F401 - registers the twin of the streamed preparation
 from pyspark.sql import functions as F
 
-from entries.common import GAPPY, Derived, query, rounded, table, union_all
+from entries.common import GAPPY, ORACLES, query, rounded, table, union_all
 from tableprep.operators import advice, rate
 from tableprep.operators.clean import plan_cleaning
 from tableprep.operators.outliers import plan_outliers
@@ -573,7 +574,7 @@ def stream_apply(spark, sf_dir):
     return rounded(_run(spark, apply_to_stream(apply_to_stream(moving, cleaning), capping), "applied"), "value")
 
 
-@query("stream_prepare", None)
+@query("stream_prepare", ORACLES["prepare_events"])
 def stream_prepare(spark, sf_dir):
     plan = prepare(GAPPY.frame(spark, sf_dir), charts=False).plan
     moving = _stream(spark, sf_dir, "events").selectExpr(*GAPPY.columns)

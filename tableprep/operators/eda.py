@@ -6,8 +6,10 @@ for all columns together.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
-from itertools import combinations
+from functools import partial
+from itertools import combinations, permutations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +19,11 @@ from tableprep.functions.types import as_double, dtype_of, nan_to_null, number_c
 from tableprep.operators import frequencies
 from tableprep.operators.profile import ColumnStats, Profile, profile
 from tableprep.plans.decide import top_variance, useful_categories
+from tableprep.session import together
 
 BINS = 30
 COUNT_PLOT_VALUES = 20
-PAIRS_PER_JOB = 120
+PAIRS_PER_JOB = 60
 
 
 @dataclass
@@ -106,25 +109,48 @@ def correlation(df: DataFrame, stats: Profile | None = None) -> DataFrame | None
         return None
     stats = stats or profile(df, names, quartiles=())
     out = {(n, n): (None if stats[n].constant else 1.0) for n in names}
-    pairs = list(combinations(names, 2))
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        chunk = pairs[start : start + PAIRS_PER_JOB]
+    pairs = [(a, b) for a, b in combinations(names, 2) if not (stats[a].constant or stats[b].constant)]
+    out.update(dict.fromkeys(permutations(names, 2)))
+    # Centred at the known means, plain sums of products are accurate and cheap.
+    centred = df.select(
+        *[
+            (as_double(n, dtype_of(df, n)) - F.lit(float(stats[n].mean or 0.0))).alias(f"d{i}")
+            for i, n in enumerate(names)
+        ]
+    )
+    at = {n: F.col(f"d{i}") for i, n in enumerate(names)}
+
+    def some_pairs(chunk: list[tuple[str, str]]) -> None:
         exprs = []
         for i, (a, b) in enumerate(chunk):
-            x, y = as_double(a, dtype_of(df, a)), as_double(b, dtype_of(df, b))
-            exprs.append(F.covar_pop(x, y).alias(f"c{i}"))
-            # Without gaps on the other side the column's own spread, already known, is the pair's.
-            exprs.append((F.stddev_pop(F.when(y.isNotNull(), x)) if stats[b].nulls else F.lit(None)).alias(f"x{i}"))
-            exprs.append((F.stddev_pop(F.when(x.isNotNull(), y)) if stats[a].nulls else F.lit(None)).alias(f"y{i}"))
-        row = df.agg(*exprs).first()
+            x, y = at[a], at[b]
+            exprs.append(F.sum(x * y).alias(f"xy{i}"))
+            if stats[a].nulls or stats[b].nulls:
+                both = x.isNotNull() & y.isNotNull()
+                for name, e in {"n": F.lit(1.0), "x": x, "y": y, "xx": x * x, "yy": y * y}.items():
+                    exprs.append(F.sum(F.when(both, e)).alias(f"{name}{i}"))
+        row = centred.agg(*exprs).first()
         for i, (a, b) in enumerate(chunk):
-            sx = row[f"x{i}"] if stats[b].nulls else stats[a].std_pop
-            sy = row[f"y{i}"] if stats[a].nulls else stats[b].std_pop
-            r = row[f"c{i}"] / (sx * sy) if row[f"c{i}"] is not None and sx and sy else None
+            if stats[a].nulls or stats[b].nulls:
+                r = _pearson(*[row[f"{k}{i}"] for k in ("n", "x", "y", "xx", "yy", "xy")])
+            else:
+                r = row[f"xy{i}"] / stats[a].rows / (stats[a].std_pop * stats[b].std_pop)
             out[a, b] = out[b, a] = r
+
+    chunks = [pairs[i : i + PAIRS_PER_JOB] for i in range(0, len(pairs), PAIRS_PER_JOB)]
+    together(*[partial(some_pairs, chunk) for chunk in chunks])
     return df.sparkSession.createDataFrame([(a, b, out[a, b]) for a in names for b in names], "x string, y string, r double")
 
 
+def _pearson(n: float | None, x: float, y: float, xx: float, yy: float, xy: float) -> float | None:
+    """From sums over the rows where both sides have a value; no spread on a side, no correlation."""
+    if not n:
+        return None
+    spread = (xx - x * x / n) * (yy - y * y / n)
+    tiny = 1e-24 * xx * yy
+    return (xy - x * y / n) / math.sqrt(spread) if spread > tiny else None
+
+
 def count_plot(df: DataFrame, columns: list[str], k: int = COUNT_PLOT_VALUES) -> DataFrame:
     return frequencies.top_values(df, columns, k)
 
@@ -177,8 +203,8 @@ def summary(df: DataFrame, stats: Profile) -> DataFrame:
     )
 
 
-def profile_eda(df: DataFrame) -> Profile:
-    return profile(df, distinct=None)
+def profile_eda(df: DataFrame, known: Profile | None = None) -> Profile:
+    return profile(df, distinct=None, known=known)
 
 
 def chart_list(stats: Profile) -> list[tuple[str, str | None]]:
@@ -201,9 +227,11 @@ def eda(df: DataFrame, stats: Profile | None = None) -> EdaResult:
     )
     return EdaResult(
         manifest,
-        histogram(df, top),
-        boxplot(df, top),
-        correlation(df, stats),
-        count_plot(df, [s.name for s in useful_categories(stats)]),
+        *together(
+            lambda: histogram(df, top),
+            lambda: boxplot(df, top),
+            lambda: correlation(df, stats),
+            lambda: count_plot(df, [s.name for s in useful_categories(stats)]),
+        ),
         summary(df, stats),
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableprep.functions.exprs import cut, min_max_scaled, standardised
@@ -26,7 +26,7 @@ from tableprep.operators import frequencies
 from tableprep.operators.ordered import ROWS_PER_RANGE, running
 from tableprep.operators.profile import Profile, profile
 from tableprep.plans.decide import Suggestions, feature_suggestions, wants_feature_advice
-from tableprep.session import written
+from tableprep.session import together, written
 
 LOG_SCHEMA = "seq int, action string, details string"
 MISSING_LABEL = "nan"
@@ -64,9 +64,9 @@ class OneHot:
 class LabelCodes:
     """Codes 0..k-1 by sorted text; missing values count as the text ``nan``.
 
-    A small dictionary is broadcast.  A large one is joined by shuffle, apart from its frequent
-    values (each on at least a thousandth of the rows, so a bounded list), which are broadcast: no
-    task then receives all rows of one hot value.
+    A small dictionary is broadcast.  A large one is keyed by short texts or digests and joined by
+    shuffle, apart from its frequent values (each on at least a thousandth of the rows, so a bounded
+    list), which are broadcast: no task then receives all rows of one hot value.
     """
 
     column: str
@@ -74,21 +74,22 @@ class LabelCodes:
     small: bool
     hot: list[str] = field(default_factory=list)
 
-    def text(self) -> Column:
-        return F.coalesce(col(self.column).cast("string"), F.lit(MISSING_LABEL))
-
     def apply(self, df: DataFrame) -> DataFrame:
-        names = df.columns
-        df = df.withColumn("__label", self.text())
-        if self.small or df.isStreaming:
-            out = self._joined(df, F.broadcast(self.dictionary) if self.small else self.dictionary)
+        text = F.coalesce(col(self.column).cast("string"), F.lit(MISSING_LABEL))
+        label = text if self.small else frequencies.short_key(text)
+        # The text itself is not needed past this point and does not travel through the join.
+        rest = df.select(*[col(c) for c in df.columns if c != self.column], label.alias("__label"))
+        if self.small:
+            out = self._joined(rest, F.broadcast(self.dictionary))
+        elif df.isStreaming or not self.hot:
+            out = self._joined(rest, self.dictionary)
         else:
-            is_hot = F.col("__label").isin(self.hot) if self.hot else F.lit(False)
-            hot_codes = self.dictionary.filter(F.col("label").isin(self.hot)) if self.hot else None
-            out = self._joined(df.filter(~is_hot), self.dictionary)
-            if hot_codes is not None:
-                out = out.unionAll(self._joined(df.filter(is_hot), F.broadcast(hot_codes)))
-        return out.select(*[(F.col("__code").alias(c) if c == self.column else col(c)) for c in names])
+            is_hot = F.col("__label").isin(self.hot)
+            hot_codes = F.broadcast(self.dictionary.filter(F.col("label").isin(self.hot)))
+            out = self._joined(rest.filter(~is_hot), self.dictionary).unionAll(
+                self._joined(rest.filter(is_hot), hot_codes)
+            )
+        return out.select(*[(F.col("__code").alias(c) if c == self.column else col(c)) for c in df.columns])
 
     @staticmethod
     def _joined(df: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -168,39 +169,71 @@ class FeaturePlan:
 
 
 def fit_one_hot(df: DataFrame, columns: Sequence[str]) -> list[OneHot]:
-    """Sorted values of each column, all columns of one type in one job."""
-    if not columns:
-        return []
+    """Sorted values of each column, all columns of one type in one job.
+
+    Every value becomes a column, so a column with too many of them is refused, not shortened.
+    """
     found: dict[str, list[str]] = {c: [] for c in columns}
+    by_value = Window.partitionBy("slot").orderBy("value")
     for _, names, counts in frequencies.value_counts(df, columns):
-        limited = counts.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_ONE_HOT)
-        wide = [names[int(r["slot"][1:])] for r in limited.collect()] if len(names) else []
-        if wide:
-            raise ValueError(f"one-hot of {wide} would add more than {MAX_ONE_HOT} columns; use label codes")
-        for row in counts.select("slot", F.col("value").cast("string").alias("text")).orderBy("slot", "value").collect():
-            found[names[int(row["slot"][1:])]].append(row["text"])
-    return [OneHot(c, dtype_of(df, c).simpleString(), found[c]) for c in columns]
+        # One value above the limit is enough to refuse; the rank filter is applied before the shuffle.
+        listed = counts.withColumn("at", F.row_number().over(by_value)).filter(F.col("at") <= MAX_ONE_HOT + 1)
+        for row in listed.select("slot", "at", F.col("value").cast("string").alias("text")).collect():
+            found[names[int(row["slot"][1:])]].append((row["at"], row["text"]))
+    wide = [c for c, values in found.items() if len(values) > MAX_ONE_HOT]
+    if wide:
+        raise ValueError(f"one-hot of {wide} would add more than {MAX_ONE_HOT} columns; use label codes")
+    return [OneHot(c, dtype_of(df, c).simpleString(), [v for _, v in sorted(found[c])]) for c in columns]
+
+
+def fit_labels(
+    df: DataFrame, columns: Sequence[str], rows_per_range: int = ROWS_PER_RANGE, small: int = SMALL_DICTIONARY
+) -> list[LabelCodes]:
+    """The dictionaries of several columns.
+
+    Up to ``small`` values a dictionary is collected and becomes a literal table; all of those share
+    two jobs.  Beyond that it stays distributed: values are numbered range by range and the result is
+    written once.
+    """
+    if not columns:
+        return []
+    texts = df.select(
+        *[F.coalesce(col(c).cast("string"), F.lit(MISSING_LABEL)).alias(f"c{i}") for i, c in enumerate(columns)]
+    )
+    slots = texts.columns
+    counts = texts.unpivot([], slots, "slot", "label").groupBy("slot", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {
+        r["slot"]: r
+        for r in counts.groupBy("slot")
+        .agg(F.count(F.lit(1)).alias("labels"), F.sum(F.octet_length("label")).alias("bytes"), F.sum("n").alias("rows"))
+        .collect()
+    }
+    little = [s for s in slots if s not in sizes or _fits(sizes[s], small)]
+    labels: dict[str, list[str]] = {s: [] for s in little}
+    if little:
+        for r in counts.filter(F.col("slot").isin(little)).select("slot", "label").collect():
+            labels[r["slot"]].append(r["label"])
+    out = []
+    for slot, column in zip(slots, columns):
+        if slot in labels:
+            ordered = sorted(labels[slot], key=lambda v: v.encode())
+            rows = list(zip(ordered, range(len(ordered))))
+            out.append(LabelCodes(column, df.sparkSession.createDataFrame(rows, "label string, code bigint"), True))
+        else:
+            out.append(_large_labels(texts.select(F.col(slot).alias("label")), column, sizes[slot]["rows"], rows_per_range))
+    return out
 
 
-def fit_labels(df: DataFrame, column: str, rows_per_range: int = ROWS_PER_RANGE, small: int = SMALL_DICTIONARY) -> LabelCodes:
-    """The dictionary of one column.
+def _fits(size, small: int) -> bool:
+    return size["labels"] <= small and size["bytes"] <= SMALL_DICTIONARY_BYTES
 
-    Up to ``small`` values it is collected and becomes a literal table.  Beyond that it stays
-    distributed: values are numbered range by range and the result is written once.
-    """
-    text = F.coalesce(col(column).cast("string"), F.lit(MISSING_LABEL))
-    counts = df.select(text.alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    size = counts.agg(
-        F.count(F.lit(1)).alias("values"), F.sum(F.octet_length("label")).alias("bytes"), F.sum("n").alias("rows")
-    ).first()
-    if size["values"] <= small and (size["bytes"] or 0) <= SMALL_DICTIONARY_BYTES:
-        ordered = sorted((r["label"] for r in counts.select("label").collect()), key=lambda v: v.encode())
-        dictionary = df.sparkSession.createDataFrame(list(zip(ordered, range(len(ordered)))), "label string, code bigint")
-        return LabelCodes(column, dictionary, True)
-    counts = written(counts, "labels")
+
+def _large_labels(texts: DataFrame, column: str, rows: int, rows_per_range: int) -> LabelCodes:
+    counts = written(texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "labels")
     numbered = running(counts, [], ["label"], sums={"code": F.lit(1)}, rows_per_range=rows_per_range)
-    dictionary = written(numbered.select("label", (F.col("code") - 1).cast("bigint").alias("code")), "dictionary")
-    hot = counts.filter(F.col("n") >= HOT_SHARE * size["rows"]).select("label").collect()
+    key = frequencies.short_key(F.col("label")).alias("label")
+    dictionary = written(numbered.select(key, (F.col("code") - 1).cast("bigint").alias("code")), "dictionary")
+    hot = counts.filter(F.col("n") >= HOT_SHARE * rows).select(key).collect()
     return LabelCodes(column, dictionary, False, [r["label"] for r in hot])
 
 
@@ -282,8 +315,7 @@ def _plan_encoding(df: DataFrame, specs: list[dict], enabled: bool, plan: Featur
         elif method == "label" and name not in labelled:
             labelled.append(name)
             plan.log.append((f"Encoded '{name}' (label)", reason))
-    plan.one_hot = fit_one_hot(df, one_hot)
-    plan.labels = [fit_labels(df, name) for name in labelled]
+    plan.one_hot, plan.labels = together(lambda: fit_one_hot(df, one_hot), lambda: fit_labels(df, labelled))
     encoded = plan.encode(df) if one_hot or labelled else df
     present.extend(c for c in encoded.columns if c not in present)
     return encoded
@@ -329,7 +361,7 @@ def encode_one_hot(df: DataFrame, column: str) -> DataFrame:
 
 def encode_labels(df: DataFrame, column: str, **options) -> DataFrame:
     df = nan_to_null(df)
-    return FeaturePlan(labels=[fit_labels(df, column, **options)]).apply(df)
+    return FeaturePlan(labels=fit_labels(df, [column], **options)).apply(df)
 
 
 def scale(df: DataFrame, column: str, method: str) -> DataFrame:

@@ -37,13 +37,15 @@ def _families(df: DataFrame, columns: Iterable[str]) -> dict[str, list[str]]:
     return out
 
 
+def short_key(text: Column) -> Column:
+    """The text itself, or its SHA-256 when it is long.  A digest is longer than any text kept as it is."""
+    return F.when(F.octet_length(text) < LONG_TEXT_BYTES, text).otherwise(F.sha2(text, 256))
+
+
 def _unpivoted(df: DataFrame, family: str, names: list[str], shorten: bool) -> DataFrame:
     def value(name: str) -> Column:
         c = col(name).cast(family) if dtype_of(df, name).simpleString() != family else col(name)
-        if shorten and family == "string":
-            # A digest is longer than any text kept as it is, so the two cannot meet.
-            c = F.when(F.octet_length(c) < LONG_TEXT_BYTES, c).otherwise(F.sha2(c, 256))
-        return c
+        return short_key(c) if shorten and family == "string" else c
 
     narrow = df.select(*[value(n).alias(f"c{i}") for i, n in enumerate(names)])
     long = narrow.unpivot([], [f"c{i}" for i in range(len(names))], "slot", "value")

@@ -11,17 +11,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.functions.types import as_double, col, dtype_of, is_integer, kind_of
 from tableprep.operators import frequencies, quantiles
+from tableprep.session import together
 
 QUARTILES = [0.25, 0.5, 0.75]
 EXPRESSIONS_PER_JOB = 240
 SKETCHES_PER_JOB = 40
+# A table this small may lie in one file chunk, that is in one task: its columns are then spread over
+# jobs that run side by side instead.  Each reads only its own columns.
+SMALL_TABLE_ROWS = 20_000_000
+SIDE_BY_SIDE = 6
 SLICE_ROWS = 250_000
 SMALL_DISTINCT = 100
 
@@ -122,6 +128,7 @@ def profile(
     modes: Iterable[str] = (),
     screen: bool = False,
     approx_quartiles: bool = False,
+    known: Profile | None = None,
 ) -> Profile:
     """Profile ``columns`` (all by default) of a table whose NaNs are already null.
 
@@ -130,6 +137,7 @@ def profile(
     when a slice of its values already proves that it is neither unique nor of few values.
     ``modes``: columns whose most frequent value is needed.
     ``approx_quartiles``: settle for sketched quartiles and save a pass.
+    ``known``: a profile whose columns are unchanged in ``df``; their basic statistics are taken over.
     """
     names = list(df.columns if columns is None else columns)
     stats = {}
@@ -139,13 +147,26 @@ def profile(
     numbers = {n for n in names if stats[n].kind == "number"}
     wanted_quartiles = numbers if quartiles is None else numbers & set(quartiles)
     wanted_distinct = [n for n in names if stats[n].kind != "other" and (distinct is None or n in set(distinct))]
-    rows = _moments(df, stats)
-    _quartiles(df, [s for s in stats.values() if s.name in wanted_quartiles and s.filled], approx_quartiles)
+    for name, s in (known.columns if known else {}).items():
+        if name in stats:
+            stats[name] = replace(s)
+    fresh = [s for s in stats.values() if known is None or s.name not in known.columns]
+    exact = wanted_distinct if not screen else []
+    rows, counts, most = together(
+        lambda: _moments(df, fresh) if fresh or known is None else known.rows,
+        lambda: frequencies.distinct_counts(df, exact),
+        lambda: frequencies.modes(df, [n for n in modes if stats[n].kind != "other"]),
+    )
     if screen:
-        wanted_distinct = _screened(df, stats, wanted_distinct, rows)
-    for name, count in frequencies.distinct_counts(df, wanted_distinct).items():
+        exact = _screened(df, stats, wanted_distinct, rows)
+    open_quartiles = [s for s in stats.values() if s.name in wanted_quartiles and s.filled and s.q1 is None]
+    _, more = together(
+        lambda: _quartiles(df, open_quartiles, approx_quartiles),
+        lambda: frequencies.distinct_counts(df, exact if screen else []),
+    )
+    for name, count in {**counts, **more}.items():
         stats[name].distinct = count
-    for name, value in frequencies.modes(df, [n for n in modes if stats[n].kind != "other"]).items():
+    for name, value in most.items():
         stats[name].mode = value
     return Profile(rows, stats)
 
@@ -175,31 +196,29 @@ def _screened(df: DataFrame, stats: dict[str, ColumnStats], names: list[str], ro
     return left
 
 
-def _moments(df: DataFrame, stats: dict[str, ColumnStats]) -> int:
-    chunks: list[list[str]] = [[]]
+def _moments(df: DataFrame, stats: list[ColumnStats]) -> int:
+    chunks: list[list[ColumnStats]] = [[]]
     size = 1
-    for name, s in stats.items():
+    for s in stats:
         cost = 5 if s.kind == "number" else 1
         if size + cost > EXPRESSIONS_PER_JOB:
             chunks.append([])
             size = 1
-        chunks[-1].append(name)
+        chunks[-1].append(s)
         size += cost
     rows = 0
     for chunk in chunks:
         exprs = [F.count(F.lit(1)).alias("rows")]
-        for i, name in enumerate(chunk):
-            s, dtype = stats[name], dtype_of(df, name)
-            exprs.append(F.count(col(name)).alias(f"n{i}"))
+        for i, s in enumerate(chunk):
+            exprs.append(F.count(col(s.name)).alias(f"n{i}"))
             if s.kind == "number":
-                x = as_double(name, dtype)
-                exact = col(name) if s.integer else x
+                x = as_double(s.name, dtype_of(df, s.name))
+                exact = col(s.name) if s.integer else x
                 exprs += [F.min(exact).alias(f"lo{i}"), F.max(exact).alias(f"hi{i}")]
                 exprs += [F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
         row = df.agg(*exprs).first()
         rows = row["rows"]
-        for i, name in enumerate(chunk):
-            s = stats[name]
+        for i, s in enumerate(chunk):
             s.rows, s.nulls = rows, rows - row[f"n{i}"]
             if s.kind == "number":
                 s.low, s.high, s.mean, s.var_pop = row[f"lo{i}"], row[f"hi{i}"], row[f"m{i}"], row[f"v{i}"]
@@ -216,8 +235,10 @@ def _quartiles(df: DataFrame, stats: list[ColumnStats], approx: bool) -> None:
         return
     sketches = {}
     large = [s for s in stats if s.filled > quantiles.COLLECT_LIMIT and s.low != s.high] if not approx else stats
-    for start in range(0, len(large), SKETCHES_PER_JOB):
-        chunk = large[start : start + SKETCHES_PER_JOB]
+    spread = math.ceil(len(large) / SIDE_BY_SIDE) or 1
+    per_job = min(SKETCHES_PER_JOB, spread) if stats[0].rows <= SMALL_TABLE_ROWS else SKETCHES_PER_JOB
+
+    def sketch_some(chunk: list[ColumnStats]) -> None:
         exprs = []
         for i, s in enumerate(chunk):
             x = as_double(s.name, dtype_of(df, s.name))
@@ -225,6 +246,9 @@ def _quartiles(df: DataFrame, stats: list[ColumnStats], approx: bool) -> None:
             exprs.append(at.alias(f"q{i}"))
         row = df.agg(*exprs).first()
         sketches.update({s.name: row[f"q{i}"] for i, s in enumerate(chunk)})
+
+    chunks = [large[i : i + per_job] for i in range(0, len(large), per_job)]
+    together(*[partial(sketch_some, chunk) for chunk in chunks])
     if approx:
         for s in stats:
             s.q1, s.median, s.q3 = sketches[s.name]

@@ -14,15 +14,19 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.functions.types import as_double, dtype_of
+from tableprep.session import together
 
 ACCURACY = 10_000
 COLLECT_LIMIT = 50_000
 SLOTS_PER_JOB = 90
+SMALL_TABLE_ROWS = 20_000_000
+SIDE_BY_SIDE = 4
 MAX_PASSES = 40
 GRID = [i / 200 for i in range(201)]
 
@@ -109,8 +113,11 @@ def solve(df: DataFrame, targets: list[Target], accuracy: int = ACCURACY, limit:
     for _ in range(MAX_PASSES):
         if not pending:
             return
-        for start in range(0, len(pending), SLOTS_PER_JOB):
-            _one_pass(df, pending[start : start + SLOTS_PER_JOB], accuracy, limit)
+        size = SLOTS_PER_JOB
+        if pending[0].rows <= SMALL_TABLE_ROWS:
+            size = min(size, 3 * math.ceil(len(pending) / (3 * SIDE_BY_SIDE)))
+        batches = [pending[i : i + size] for i in range(0, len(pending), size)]
+        together(*[partial(_one_pass, df, batch, accuracy, limit) for batch in batches])
         pending = [t for t in pending if t.value is None]
     raise RuntimeError(f"no exact quantile after {MAX_PASSES} passes; NaN left in {pending[0].column!r}?")
 
@@ -126,7 +133,18 @@ def _one_pass(df: DataFrame, batch: list[Target], accuracy: int, limit: int) ->
             between = (c > t.lo) & (c < t.hi)
             any_inside = any_inside | between
             inside.append(F.when(between, F.struct(F.lit(i).alias("slot"), c.alias("v"))))
-    row = df.agg(*counts).first().asDict()
+    row, found = together(
+        lambda: df.agg(*counts).first().asDict(), lambda: _values_inside(df, batch, inside, any_inside, accuracy, limit)
+    )
+    for i, t in enumerate(batch):
+        inner, values = found.get(i, (0, []))
+        _advance(t, row[f"b{i}"], row[f"l{i}"], row.get(f"h{i}", 0), inner, values, accuracy, limit)
+
+
+def _values_inside(
+    df: DataFrame, batch: list[Target], inside: list[Column], any_inside: Column, accuracy: int, limit: int
+) -> dict[int, tuple[int, list[float]]]:
+    """Per target with an open bracket: how many values lie inside, and all of them or a grid of them."""
     found = {}
     if inside:
         small = [i for i, t in enumerate(batch) if t.inner <= limit]
@@ -140,9 +158,7 @@ def _one_pass(df: DataFrame, batch: list[Target], accuracy: int, limit: int) ->
         wanted = [listed] if len(small) == len(batch) else [listed, grid]
         for hit in hits.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), *wanted).collect():
             found[hit["slot"]] = (hit["n"], hit["all"] or hit.asDict().get("grid"))
-    for i, t in enumerate(batch):
-        inner, values = found.get(i, (0, []))
-        _advance(t, row[f"b{i}"], row[f"l{i}"], row.get(f"h{i}", 0), inner, values, accuracy, limit)
+    return found
 
 
 def _advance(

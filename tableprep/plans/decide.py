@@ -43,6 +43,8 @@ def missing_strategy(s: ColumnStats) -> Decision:
         if spread > 0 and s.iqr / spread < SMALL_SPREAD:
             return Decision("median", "Outliers present, median more robust")
         return Decision("mean", "Normal distribution, mean appropriate")
+    if s.kind == "other":
+        return Decision("keep", f"Type {s.dtype} is not filled")
     if s.rows and s.distinct / s.rows > HIGH_CARDINALITY_SHARE:
         return Decision("unknown", "High cardinality categorical")
     return Decision("mode", "Low cardinality, mode appropriate")

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from tableprep.functions.types import nan_to_null
 from tableprep.operators.advice import fallback_report, is_quota_error, parse_report
-from tableprep.operators.clean import CleaningPlan, plan_cleaning
+from tableprep.operators.clean import CleaningPlan, plan_cleaning, profile_missing
 from tableprep.operators.eda import EdaResult, eda, profile_eda
 from tableprep.operators.features import FeaturePlan, plan_features
 from tableprep.operators.outliers import OutlierPlan, plan_outliers
 from tableprep.operators.profile import Profile, profile
 from tableprep.plans.decide import MODES, Suggestions
-from tableprep.session import written
+from tableprep.session import together, written
 from tableprep.sources import registry
 from tableprep.sources.tables import first_readable, write_table
 
@@ -101,15 +101,22 @@ def prepare(
         raise ValueError("Mode must be one of: fast, smart, deep")
     spark = df.sparkSession
     df = nan_to_null(df)
-    plan = PreparationPlan(plan_cleaning(df, mode, advice, order_by, keys))
+    gaps = profile_missing(df)
+    plan = PreparationPlan(plan_cleaning(df, mode, advice, order_by, keys, gaps))
     cleaned = plan.cleaning.apply(df)
     if plan.cleaning.forward:
         cleaned = written(cleaned, "cleaned")
-    stats = profile_eda(cleaned)
-    plan.outliers = plan_outliers(cleaned, stats=stats)
-    capped = plan.outliers.apply(cleaned)
-    plan.features = plan_features(capped, advice=feature_advice, stats=_after_outliers(capped, stats, plan.outliers))
-    final = plan.features.apply(capped)
+    whole = Profile(gaps.rows, {s.name: s for s in gaps if not s.nulls})
+    stats = profile_eda(cleaned, whole)
+
+    def treat() -> DataFrame:
+        plan.outliers = plan_outliers(cleaned, stats=stats)
+        capped = plan.outliers.apply(cleaned)
+        after = _after_outliers(capped, stats, plan.outliers)
+        plan.features = plan_features(capped, advice=feature_advice, stats=after)
+        return plan.features.apply(capped)
+
+    final, drawn = together(treat, lambda: eda(cleaned, stats) if charts else None)
     log = plan.cleaning.log_frame(spark)
     return PrepResult(
         final,
@@ -117,7 +124,7 @@ def prepare(
         log,
         plan.outliers.log_frame(spark),
         plan.features.log_frame(spark),
-        eda(cleaned, stats) if charts else None,
+        drawn,
         _report(log, len(plan.cleaning.log), report_answer) if mode == "deep" else None,
         stats.rows,
         len(final.columns),

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.sql import SparkSession
 
@@ -49,3 +52,11 @@ def written(df, label: str):
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(*jobs: Callable[[], Any]) -> list[Any]:
+    """Run independent Spark jobs side by side, so that one's last tasks do not hold up the next."""
+    if len(jobs) < 2:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(min(8, len(jobs))) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
