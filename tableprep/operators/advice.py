@@ -30,23 +30,32 @@ LISTS = ("encoding", "scaling", "drop", "new_features")
 
 
 def fenced(answer: Column) -> Column:
-    """The JSON part of an answer: a json fence anywhere wins, then a plain fence, then all of it."""
-    after_json = F.regexp_extract(answer, r"(?s)```json(.*?)(?:```|\z)", 1)
-    after_plain = F.regexp_extract(answer, r"(?s)```(.*?)(?:```|\z)", 1)
-    found = F.when(F.contains(answer, F.lit("```json")), after_json).when(
-        F.contains(answer, F.lit("```")), after_plain
+    """The JSON part of an answer: a json fence anywhere wins, then a plain fence, then all of it.
+
+    A fence that is never closed takes the rest.
+    """
+
+    def after(fence: str) -> Column:
+        start = F.position(F.lit(fence), answer) + len(fence)
+        return F.substring_index(F.substr(answer, start), "```", 1)
+
+    return (
+        F.when(F.contains(answer, F.lit("```json")), after("```json"))
+        .when(F.contains(answer, F.lit("```")), after("```"))
+        .otherwise(answer)
     )
-    return F.trim(found.otherwise(answer), F.lit(" \t\r\n"))
 
 
-def json_object(text: Column) -> Column:
-    """The object as a map of its members' JSON texts; null when the text is not exactly one object.
+def _read_object(answers: DataFrame, answer: str, fields: str = "map<string,string>") -> DataFrame:
+    """Add ``__m``: the answer's JSON object read as ``fields``, null unless there is exactly one object.
 
-    Read as the only element of a list, so that anything after the object makes it unreadable.
+    The object is read as the only element of a list, so that anything after it makes it unreadable.
     """
-    listed = F.concat(F.lit("["), text, F.lit("]"))
-    objects = F.when(F.try_parse_json(listed).isNotNull(), F.from_json(listed, "array<map<string,string>>"))
-    return F.when(F.size(objects) == 1, F.element_at(objects, 1))
+    listed = answers.withColumn("__text", F.concat(F.lit("["), fenced(F.col(answer)), F.lit("]")))
+    read = listed.withColumn(
+        "__all", F.when(F.try_parse_json("__text").isNotNull(), F.from_json("__text", f"array<{fields}>"))
+    )
+    return read.withColumn("__m", F.when(F.size("__all") == 1, F.element_at("__all", 1))).drop("__text", "__all")
 
 
 def _member(members: Column, name: str, default: str) -> Column:
@@ -55,11 +64,10 @@ def _member(members: Column, name: str, default: str) -> Column:
 
 def parse_strategy(answers: DataFrame, answer: str = "answer", dtype: str = "dtype") -> DataFrame:
     """Add ``action`` and ``reason``.  An answer without a readable object gets the type's default."""
-    members = json_object(fenced(F.col(answer)))
     numeric = F.col(dtype).isin("tinyint", "smallint", "int", "bigint", "float", "double") | F.col(dtype).startswith(
         "decimal"
     )
-    parsed = answers.withColumn("__m", members)
+    parsed = _read_object(answers, answer)
     bad = F.col("__m").isNull()
 
     def pick(i: int, name: str, default: str) -> Column:
@@ -78,27 +86,21 @@ def parse_features(answers: DataFrame, key: str, answer: str = "answer") -> Data
 
     Texts in the drop list become rows with a standard reason.  An unreadable answer gives no rows.
     """
-    parsed = answers.select(F.col(key), json_object(fenced(F.col(answer))).alias("__m"))
-    fields = "column string, method string, name string, description string, reason string"
+    step = "struct<column:string,method:string,name:string,description:string,reason:string>"
+    fields = ",".join(f"{n}:array<{'string' if n == 'drop' else step}>" for n in LISTS)
+    parsed = _read_object(answers.select(F.col(key), F.col(answer)), answer, f"struct<{fields}>")
+
+    def dropped(entry: Column) -> Column:
+        as_object = F.from_json(entry, step)
+        bare = F.from_json(F.to_json(F.struct(entry.alias("column"), F.lit(LOW_IMPORTANCE).alias("reason"))), step)
+        return F.when(F.startswith(F.ltrim(entry), F.lit("{")), as_object).otherwise(bare)
 
     def steps(name: str) -> Column:
-        text = F.try_element_at(F.col("__m"), F.lit(name))
-        objects = F.from_json(text, f"array<struct<{fields}>>")
-        empty = F.array().cast(f"array<struct<{fields}>>")
+        listed = F.col(f"__m.{name}")
         if name == "drop":
-            plain = F.transform(
-                F.from_json(text, "array<string>"),
-                lambda c: F.struct(
-                    c.alias("column"),
-                    F.lit(None).cast("string").alias("method"),
-                    F.lit(None).cast("string").alias("name"),
-                    F.lit(None).cast("string").alias("description"),
-                    F.lit(LOW_IMPORTANCE).alias("reason"),
-                ),
-            )
-            objects = F.when(text.rlike(r'(?s)^\s*\[\s*"'), plain).otherwise(objects)
+            listed = F.transform(listed, dropped)
         return F.transform(
-            F.coalesce(objects, empty),
+            F.coalesce(listed, F.array().cast(f"array<{step}>")),
             lambda s, i: F.struct(F.lit(name).alias("list"), i.alias("position"), s.alias("step")),
         )
 
@@ -120,7 +122,7 @@ def suggestions_of(steps: DataFrame) -> Suggestions:
 
 def parse_report(answers: DataFrame, answer: str = "answer") -> DataFrame:
     """Add ``reasoning``, ``summary`` and ``recommendations``; a list of them becomes dashed lines."""
-    parsed = answers.withColumn("__m", json_object(fenced(F.col(answer))))
+    parsed = _read_object(answers, answer)
     raw = _member(F.col("__m"), "recommendations", NO_RECOMMENDATIONS)
     listed = F.from_json(raw, "array<string>")
     lines = F.array_join(F.transform(listed, lambda x: F.concat(F.lit("- "), x)), "\n")

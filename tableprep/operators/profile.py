@@ -151,20 +151,23 @@ def profile(
         if name in stats:
             stats[name] = replace(s)
     fresh = [s for s in stats.values() if known is None or s.name not in known.columns]
-    exact = wanted_distinct if not screen else []
-    rows, counts, most = together(
-        lambda: _moments(df, fresh) if fresh or known is None else known.rows,
-        lambda: frequencies.distinct_counts(df, exact),
+
+    def numbers() -> tuple[int, dict[str, int]]:
+        """Moments, then what needs them: quartiles beside the screened distinct counts."""
+        rows = _moments(df, fresh) if fresh or known is None else known.rows
+        pending = [s for s in stats.values() if s.name in wanted_quartiles and s.filled and s.q1 is None]
+        _, screened = together(
+            lambda: _quartiles(df, pending, approx_quartiles),
+            lambda: frequencies.distinct_counts(df, _screened(df, stats, wanted_distinct, rows) if screen else []),
+        )
+        return rows, screened
+
+    (rows, screened), counts, most = together(
+        numbers,
+        lambda: frequencies.distinct_counts(df, [] if screen else wanted_distinct),
         lambda: frequencies.modes(df, [n for n in modes if stats[n].kind != "other"]),
     )
-    if screen:
-        exact = _screened(df, stats, wanted_distinct, rows)
-    open_quartiles = [s for s in stats.values() if s.name in wanted_quartiles and s.filled and s.q1 is None]
-    _, more = together(
-        lambda: _quartiles(df, open_quartiles, approx_quartiles),
-        lambda: frequencies.distinct_counts(df, exact if screen else []),
-    )
-    for name, count in {**counts, **more}.items():
+    for name, count in {**counts, **screened}.items():
         stats[name].distinct = count
     for name, value in most.items():
         stats[name].mode = value
