@@ -9,14 +9,16 @@ per range, whatever the skew.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
-from tableprep.functions.types import col, dtype_of, text_literal
+from tableprep.functions.types import col, dtype_of
 
 ROWS_PER_RANGE = 2_000_000
 MAX_RANGES = 4096
@@ -24,44 +26,38 @@ SAMPLES_PER_RANGE = 32
 RANGE = "__range"
 
 
-def split_points(df: DataFrame, by: Sequence[str], rows_per_range: int) -> list[list[str | None]]:
-    """Sampled split points over ``by`` as text, in order; empty when one range is enough."""
+def split_points(df: DataFrame, by: Sequence[str], rows_per_range: int) -> list[dict]:
+    """Sampled split points over ``by``, as the JSON objects they are; empty when one range is enough."""
     rows = df.count()
     ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range))
     if ranges <= 1:
         return []
     share = min(1.0, ranges * SAMPLES_PER_RANGE / rows)
-    sample = (
-        df.select(*[col(c) for c in by])
-        .sample(False, share, 11)
-        .orderBy(*[col(c) for c in by])
-        .select(*[col(c).cast("string").alias(f"s{i}") for i, c in enumerate(by)])
-        .collect()
-    )
+    point = F.to_json(F.struct(*[col(c).alias(c) for c in by]), {"ignoreNullFields": "false"})
+    keys = [col(c) for c in by]
+    sample = df.select(*keys).sample(False, share, 11).orderBy(*keys).select(point.alias("point")).collect()
     step = max(1, len(sample) // ranges)
-    picked = [list(row) for row in sample[step::step]]
-    return [p for i, p in enumerate(picked) if i == 0 or p != picked[i - 1]]
+    return [json.loads(p) for p in dict.fromkeys(row["point"] for row in sample[step::step])]
 
 
-def range_of(df: DataFrame, by: Sequence[str], splits: list[list[str | None]]) -> Column:
-    """Index of the range a row falls in, increasing with the order of ``by``.
+def with_range(df: DataFrame, by: Sequence[str], splits: list[dict]) -> DataFrame:
+    """Add the number of split points at or before each row: its range, increasing with the order of ``by``.
 
-    Two short searches (which group of splits, where in the group) instead of one long one.
+    The points become one sorted literal, and each column below is one step of a binary search in it.
     """
+    out = df.withColumn(RANGE, F.lit(0))
     if not splits:
-        return F.lit(0)
-    types = [dtype_of(df, c).simpleString() for c in by]
-
-    def point(values: list[str | None]) -> Column:
-        return F.struct(*[text_literal(v, t).alias(f"s{i}") for i, (v, t) in enumerate(zip(values, types))])
-
-    key = F.struct(*[col(c).alias(f"s{i}") for i, c in enumerate(by)])
-    width = math.ceil(math.sqrt(len(splits)))
-    groups = [[point(s) for s in splits[i : i + width]] for i in range(0, len(splits), width)]
-    group = F.size(F.filter(F.array(*[g[0] for g in groups]), lambda s: s <= key))
-    members = F.array(*[F.array(*g) for g in groups])
-    inside = F.size(F.filter(F.element_at(members, group), lambda s: s <= key))
-    return F.when(group == 0, F.lit(0)).otherwise((group - 1) * width + inside)
+        return out
+    fields = [T.StructField(c, dtype_of(df, c)) for c in by]
+    points = F.sort_array(F.from_json(F.lit(json.dumps(splits)), T.ArrayType(T.StructType(fields))))
+    out = out.withColumn("__key", F.struct(*[col(c).alias(c) for c in by]))
+    step = 1 << (len(splits).bit_length() - 1)
+    while step:
+        at = F.col(RANGE) + step
+        reached = (at <= len(splits)) & (F.element_at(points, F.least(at, F.lit(len(splits)))) <= F.col("__key"))
+        out = out.withColumn(RANGE, F.when(reached, at).otherwise(F.col(RANGE)))
+        step >>= 1
+    return out.drop("__key")
 
 
 def running(
@@ -74,7 +70,7 @@ def running(
     previous: dict[str, Column] | None = None,
     nexts: dict[str, Column] | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
-    splits: list[list[str | None]] | None = None,
+    splits: list[dict] | None = None,
 ) -> DataFrame:
     """Add, for each row in ``order`` within ``keys``:
 
@@ -94,11 +90,8 @@ def running(
         **{n: ("next", e) for n, e in nexts.items()},
     }
     kinds = [kind for kind, _ in wanted.values()]
-    named = df.select(
-        *[col(c) for c in df.columns],
-        *[e.alias(f"__x{i}") for i, (_, e) in enumerate(wanted.values())],
-        range_of(df, [*keys, *order], splits).alias(RANGE),
-    )
+    inputs = df.select("*", *[e.alias(f"__x{i}") for i, (_, e) in enumerate(wanted.values())])
+    named = with_range(inputs, [*keys, *order], splits)
     inside = Window.partitionBy(*[col(c) for c in keys], *([RANGE] if splits else [])).orderBy(*[col(c) for c in order])
     frames = {
         "sum": inside.rowsBetween(Window.unboundedPreceding, 0),

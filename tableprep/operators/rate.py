@@ -56,7 +56,7 @@ def _windowed(
         ["__t", "__kind", tie],
         sums={"__open": F.when(F.col("__kind") == 1, 1).otherwise(-1)},
         nexts={"__next": F.col("__leaves")} if oldest else None,
-        splits=[[u, t, "1", i] for u, t, i in splits],
+        splits=[{**p, "__kind": 1} for p in splits],
     )
     extra = [(F.col("__next") - F.lit(window_seconds * MICROS)).alias("__oldest")] if oldest else []
     prior = (F.col("__open") - 1).cast("bigint").alias("prior")

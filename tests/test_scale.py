@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tableprep import admission, audit, encode_labels, forward_fill, profile
 from tableprep.operators import frequencies, quantiles
 from tableprep.operators import profile as profiling
-from tableprep.operators.ordered import range_of, running, split_points
+from tableprep.operators.ordered import RANGE, running, split_points, with_range
 from tableprep.sources import registry
 
 
@@ -61,9 +61,8 @@ def test_ranges_follow_the_order(skewed):
     _, df = skewed
     splits = split_points(df, ["user", "t", "id"], 100)
     assert 20 <= len(splits) <= 32
-    placed = df.select("user", "t", "id", range_of(df, ["user", "t", "id"], splits).alias("r"))
-    rows = placed.orderBy("user", "t", "id").collect()
-    ranges = [r.r for r in rows]
+    placed = with_range(df, ["user", "t", "id"], splits)
+    ranges = [r[RANGE] for r in placed.orderBy("user", "t", "id").collect()]
     assert ranges == sorted(ranges)
     sizes = pd.Series(ranges).value_counts()
     assert sizes.max() < 400 and len(sizes) >= 20
@@ -109,6 +108,22 @@ def test_running_keeps_null_keys_and_orders(spark):
     assert cut.count() == 400
 
 
+def test_ranges_over_every_type(spark):
+    df = spark.range(500).selectExpr(
+        "id",
+        "IF(id % 9 = 0, NULL, id / 7.0D) AS x",
+        "CAST(id / 10 AS DECIMAL(8,1)) AS d",
+        "concat('k \"', id % 37) AS t",
+        "TIMESTAMP_NTZ'2024-01-01 00:00:00.123456' + make_dt_interval(0, 0, 0, (id % 50) * 0.000001) AS n",
+        "timestamp_seconds(id * 0.25) AS s",
+        "date_add(DATE'2024-01-01', CAST(id % 11 AS INT)) AS y",
+        "id % 2 = 0 AS b",
+    )
+    for by in ("x", "d", "t", "n", "s", "y", "b"):
+        out = running(df, [], [by, "id"], sums={"place": F.lit(1)}, rows_per_range=20).orderBy(by, "id").collect()
+        assert [r.place for r in out] == list(range(1, 501)), by
+
+
 def test_keyless_forward_fill(skewed):
     frame, df = skewed
     out = forward_fill(df, ["v"], ["t", "id"], rows_per_range=50).toPandas().set_index("id")["v"]
