@@ -614,7 +614,7 @@ def stream_admission(spark, sf_dir):
     before = spark.conf.get(key, None)
     spark.conf.set(key, ROCKSDB)
     try:
-        moving = admit_stream(_stream(spark, sf_dir, "events"), "user_id", "ts", "event_id", LIMIT, WINDOW)
+        moving = admit_stream(_stream(spark, sf_dir, "events"), "user_id", "ts", "event_id", LIMIT, WINDOW, "10 minutes")
         return _run(spark, moving, "admitted").select("event_id", "user_id", "admitted")
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)

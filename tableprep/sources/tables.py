@@ -167,9 +167,11 @@ def table_shape(df: DataFrame) -> tuple[int, int]:
 
 def validate_shape(df: DataFrame, max_rows: int | None = MAX_ROWS, max_columns: int | None = MAX_COLUMNS) -> None:
     """Refuse tables above the given size; None lifts a limit."""
-    rows, columns = table_shape(df)
-    if (max_rows is not None and rows > max_rows) or (max_columns is not None and columns > max_columns):
-        raise ValueError(f"Dataset too large. Maximum {max_rows:,} rows and {max_columns} columns allowed.")
+    limits = {"rows": max_rows, "columns": max_columns}
+    sizes = dict(zip(limits, table_shape(df)))
+    if any(limits[k] is not None and sizes[k] > limits[k] for k in limits):
+        allowed = " and ".join(f"{n:,} {k}" for k, n in limits.items() if n is not None)
+        raise ValueError(f"Dataset too large. Maximum {allowed} allowed.")
 
 
 def first_readable(spark: SparkSession, *uris: str | None) -> DataFrame:

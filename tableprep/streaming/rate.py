@@ -29,11 +29,21 @@ def rate_windows(
     )
 
 
-def admit_stream(stream: DataFrame, user: str, ts: str, tie: str, limit: int, window_seconds: int) -> DataFrame:
+def admit_stream(
+    stream: DataFrame,
+    user: str,
+    ts: str,
+    tie: str,
+    limit: int,
+    window_seconds: int,
+    lateness: str | None = None,
+) -> DataFrame:
     """``(user, tie, ts_us, admitted)`` per request, from the admitted times of each user's last window.
 
-    Requests of one trigger are put in order; one that arrives in a later trigger with an older time
-    is judged against the state as it is.  The state of a user holds at most ``limit`` times.
+    Requests of one trigger are put in order, so a trigger's size bounds the memory of a busy user.  A
+    request that arrives in a later trigger with an older time is judged against the state as it is.
+    The state of a user holds at most ``limit`` times.  With ``lateness`` requests older than the
+    watermark are dropped, and a user's state goes once a window has passed without an admitted one.
     """
     fields = {f.name: f.dataType for f in stream.schema.fields}
     schema = T.StructType(
@@ -45,19 +55,22 @@ def admit_stream(stream: DataFrame, user: str, ts: str, tie: str, limit: int, wi
         ]
     )
     slim = stream.select(user, tie, micros(stream, ts).alias("ts_us"))
+    if lateness:
+        slim = slim.withColumn("__ts", F.timestamp_micros("ts_us")).withWatermark("__ts", lateness)
     return slim.groupBy(user).transformWithStateInPandas(
-        statefulProcessor=_processor(user, tie, limit, window_seconds * MICROS)(),
+        statefulProcessor=_processor(user, tie, limit, window_seconds * MICROS, bool(lateness))(),
         outputStructType=schema,
         outputMode="append",
-        timeMode="none",
+        timeMode="eventTime" if lateness else "none",
     )
 
 
-def _processor(user: str, tie: str, limit: int, width: int):
+def _processor(user: str, tie: str, limit: int, width: int, timed: bool):
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     class Admission(StatefulProcessor):
         def init(self, handle) -> None:
+            self.handle = handle
             self.times = handle.getListState("times", "t bigint")
 
         def handleInputRows(self, key, rows, timerValues):
@@ -71,10 +84,26 @@ def _processor(user: str, tie: str, limit: int, width: int):
                 flags.append(len(times) < limit)
                 if flags[-1]:
                     times.append(now)
-            self.times.put([(t,) for t in times]) if times else self.times.clear()
-            yield pd.DataFrame(
-                {user: batch[user], tie: batch[tie], "ts_us": batch["ts_us"], "admitted": flags}
-            )
+            self._keep(times)
+            yield pd.DataFrame({user: batch[user], tie: batch[tie], "ts_us": batch["ts_us"], "admitted": flags})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import pandas as pd
+
+            passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
+            self._keep([t for (t,) in self.times.get() if t > passed - width])
+            yield pd.DataFrame()
+
+        def _keep(self, times) -> None:
+            if timed:
+                for due in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(due)
+            if not times:
+                self.times.clear()
+                return
+            self.times.put([(t,) for t in times])
+            if timed:
+                self.handle.registerTimer((max(times) + width) // 1000 + 1)
 
         def close(self) -> None:
             pass
