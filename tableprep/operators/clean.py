@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tableprep.functions.exprs import number_literal
 from tableprep.functions.types import col, nan_to_null, python_text, text_literal
+from tableprep.operators import frequencies
 from tableprep.operators.ordered import ROWS_PER_RANGE, forward_fill
 from tableprep.operators.profile import ColumnStats, Profile, profile
-from tableprep.plans.decide import Decision, choose_strategies, null_ranking
+from tableprep.plans.decide import FILL_ACTIONS, Decision, choose_strategies, null_ranking
 
 LOG_SCHEMA = "seq int, column string, null_count bigint, action string, reason string"
 UNKNOWN = "Unknown"
@@ -79,7 +80,7 @@ def _step(s: ColumnStats, decision: Decision) -> tuple[FillStep, str, str]:
         return FillStep(s.name, "keep", s.dtype), "Left unchanged", f"Type {s.dtype} is not filled"
     if action in ("mean", "median") and s.kind != "number":
         action = "default"
-    if action not in ("mean", "median", "mode", "unknown", "forward_fill", "drop_column"):
+    if action not in FILL_ACTIONS:
         if s.kind == "number":
             action, reason = "median", "Default strategy for numerical column"
         else:
@@ -130,11 +131,25 @@ def profile_missing(df: DataFrame) -> Profile:
     if not gaps:
         return first
     texts = [n for n in gaps if first[n].kind not in ("number", "other")]
-    detail = profile(df, gaps, distinct=texts, modes=texts)
-    first.columns.update(detail.columns)
+    known = Profile(first.rows, {n: first[n] for n in gaps})
+    first.columns.update(profile(df, gaps, distinct=texts, known=known).columns)
     return first
 
 
+def _fill_modes(df: DataFrame, choices: list[tuple[ColumnStats, Decision]]) -> None:
+    """Look up the modes the decisions call for, and no others: for a text column they are a costly shuffle."""
+
+    def needed(s: ColumnStats, d: Decision) -> bool:
+        if s.mode is not None or s.kind == "other":
+            return False
+        by_default = d.action not in FILL_ACTIONS or d.action in ("mean", "median")
+        return d.action == "mode" or (by_default and s.kind != "number")
+
+    wanted = {s.name: s for s, d in choices if needed(s, d)}
+    for name, value in frequencies.modes(df, wanted).items():
+        wanted[name].mode = value
+
+
 def plan_cleaning(
     df: DataFrame,
     mode: str = "fast",
@@ -153,9 +168,7 @@ def plan_cleaning(
     stats = stats or profile_missing(df)
     ranked = null_ranking(stats)
     choices = choose_strategies(stats, mode, read_advice(advice if mode != "fast" else None, [s.name for s in ranked]))
-    late_modes = [s.name for s, d in choices if d.action == "mode" and s.kind == "number"]
-    for name, value in profile(df, late_modes, quartiles=(), modes=late_modes).columns.items() if late_modes else ():
-        stats[name].mode = value.mode
+    _fill_modes(df, choices)
     plan = CleaningPlan(order_by=list(order_by), keys=list(keys), rows_per_range=rows_per_range)
     for s, decision in choices:
         step, action, reason = _step(s, decision)
@@ -175,7 +188,7 @@ def clean(df: DataFrame, mode: str = "fast", advice: DataFrame | None = None, **
 def fill(df: DataFrame, column: str, action: str, reason: str = "", **options) -> DataFrame:
     """Fill one column by a named action, whatever its null share."""
     df = nan_to_null(df)
-    needs_mode = profile(df, [column])[column].kind != "number" or action == "mode"
-    stats = profile(df, [column], modes=[column] if needs_mode else ())
-    step, _, _ = _step(stats[column], Decision(action, reason))
+    stats, decision = profile(df, [column])[column], Decision(action, reason)
+    _fill_modes(df, [(stats, decision)])
+    step, _, _ = _step(stats, decision)
     return CleaningPlan([step], [], list(options.get("order_by", ())), list(options.get("keys", ()))).apply(df)

@@ -203,8 +203,8 @@ def summary(df: DataFrame, stats: Profile) -> DataFrame:
     )
 
 
-def profile_eda(df: DataFrame, known: Profile | None = None) -> Profile:
-    return profile(df, distinct=None, known=known)
+def profile_eda(df: DataFrame, known: Profile | None = None, exact_distinct: bool = True) -> Profile:
+    return profile(df, distinct=None, screen=not exact_distinct, known=known)
 
 
 def chart_list(stats: Profile) -> list[tuple[str, str | None]]:

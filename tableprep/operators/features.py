@@ -201,17 +201,16 @@ def fit_labels(
         *[F.coalesce(col(c).cast("string"), F.lit(MISSING_LABEL)).alias(f"c{i}") for i, c in enumerate(columns)]
     )
     slots = texts.columns
-    counts = texts.unpivot([], slots, "slot", "label").groupBy("slot", "label").agg(F.count(F.lit(1)).alias("n"))
-    sizes = {
-        r["slot"]: r
-        for r in counts.groupBy("slot")
-        .agg(F.count(F.lit(1)).alias("labels"), F.sum(F.octet_length("label")).alias("bytes"), F.sum("n").alias("rows"))
-        .collect()
-    }
+    long = texts.unpivot([], slots, "slot", "label")
+    keyed = long.groupBy("slot", frequencies.short_key(F.col("label")).alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.octet_length("label")).alias("bytes")
+    )
+    totals = [F.count(F.lit(1)).alias("labels"), F.sum("bytes").alias("bytes"), F.sum("n").alias("rows")]
+    sizes = {r["slot"]: r for r in keyed.groupBy("slot").agg(*totals).collect()}
     little = [s for s in slots if s not in sizes or _fits(sizes[s], small)]
     labels: dict[str, list[str]] = {s: [] for s in little}
     if little:
-        for r in counts.filter(F.col("slot").isin(little)).select("slot", "label").collect():
+        for r in long.filter(F.col("slot").isin(little)).distinct().collect():
             labels[r["slot"]].append(r["label"])
     out = []
     for slot, column in zip(slots, columns):

@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
-from tableprep.functions.types import col, dtype_of
+from tableprep.functions.types import MOMENTS, col, dtype_of, is_number, is_text
+from tableprep.operators.frequencies import short_key
 
 ROWS_PER_RANGE = 2_000_000
 MAX_RANGES = 4096
 SAMPLES_PER_RANGE = 32
+POINT_CHARACTERS = 256
 RANGE = "__range"
 
 
@@ -33,8 +35,10 @@ def split_points(df: DataFrame, by: Sequence[str], rows_per_range: int) -> list[
     if ranges <= 1:
         return []
     share = min(1.0, ranges * SAMPLES_PER_RANGE / rows)
-    point = F.to_json(F.struct(*[col(c).alias(c) for c in by]), {"ignoreNullFields": "false"})
     keys = [col(c) for c in by]
+    # Any constants in order will do as points, so long texts need not be kept whole in them.
+    short = [F.substring(col(c), 1, POINT_CHARACTERS) if is_text(dtype_of(df, c)) else col(c) for c in by]
+    point = F.to_json(F.struct(*[e.alias(c) for e, c in zip(short, by)]), {"ignoreNullFields": "false"})
     sample = df.select(*keys).sample(False, share, 11).orderBy(*keys).select(point.alias("point")).collect()
     step = max(1, len(sample) // ranges)
     return [json.loads(p) for p in dict.fromkeys(row["point"] for row in sample[step::step])]
@@ -90,7 +94,12 @@ def running(
         **{n: ("next", e) for n, e in nexts.items()},
     }
     kinds = [kind for kind, _ in wanted.values()]
-    inputs = df.select("*", *[e.alias(f"__x{i}") for i, (_, e) in enumerate(wanted.values())])
+    tags = [short_key(col(k)) if is_text(dtype_of(df, k)) else col(k) for k in keys]
+    inputs = df.select(
+        "*",
+        *[e.alias(f"__x{i}") for i, (_, e) in enumerate(wanted.values())],
+        *[tag.alias(f"__k{i}") for i, tag in enumerate(tags)],
+    )
     named = with_range(inputs, [*keys, *order], splits)
     inside = Window.partitionBy(*[col(c) for c in keys], *([RANGE] if splits else [])).orderBy(*[col(c) for c in order])
     frames = {
@@ -101,6 +110,7 @@ def running(
     }
     local = named.select(
         *[col(c) for c in df.columns],
+        *[f"__k{i}" for i in range(len(keys))],
         RANGE,
         *[
             (F.sum(f"__x{i}") if kind == "sum" else F.last(f"__x{i}", True)).over(frames[kind]).alias(f"__r{i}")
@@ -109,18 +119,22 @@ def running(
     )
     if not splits:
         return local.select(*[col(c) for c in df.columns], *[F.col(f"__r{i}").alias(n) for i, n in enumerate(wanted)])
-    carry = _carry(named, keys, order, kinds)
+    carry = _carry(named, len(keys), order, kinds)
     same_place = F.col(f"a.{RANGE}") == F.col(f"b.{RANGE}")
-    for key in keys:
-        same_place = same_place & _qualified("a", key).eqNullSafe(_qualified("b", key))
-    joined = local.alias("a").join(F.broadcast(carry).alias("b"), same_place, "left")
+    for i in range(len(keys)):
+        same_place = same_place & F.col(f"a.__k{i}").eqNullSafe(F.col(f"b.__k{i}"))
+    # At most two rows per range and short keys; with fixed-width values that bounds the bytes too.
+    carried = (f.dataType for f in carry.schema.fields if f.name.startswith("__c"))
+    if all(is_number(t) or isinstance(t, (T.BooleanType, *MOMENTS)) for t in carried):
+        carry = F.broadcast(carry)
+    joined = local.alias("a").join(carry.alias("b"), same_place, "left")
 
     def total(i: int, kind: str) -> Column:
         here, carried = F.col(f"a.__r{i}"), F.col(f"b.__c{i}")
         return here + F.coalesce(carried, F.lit(0)) if kind == "sum" else F.coalesce(here, carried)
 
     return joined.select(
-        *[_qualified("a", c).alias(c) for c in df.columns],
+        *[F.col(f"a.`{c.replace('`', '``')}`").alias(c) for c in df.columns],
         *[total(i, kind).alias(n) for i, (n, kind) in enumerate(zip(wanted, kinds))],
     )
 
@@ -132,8 +146,9 @@ def _reversed(keys: Sequence[str], order: Sequence[str], ranged: bool) -> Window
     )
 
 
-def _carry(named: DataFrame, keys: Sequence[str], order: Sequence[str], kinds: list[str]) -> DataFrame:
+def _carry(named: DataFrame, keys: int, order: Sequence[str], kinds: list[str]) -> DataFrame:
     """Per (key, range) of a key that spans several ranges: what the other ranges contribute."""
+    tags = [f"__k{i}" for i in range(keys)]
     at = F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(order)])
 
     def edge(i: int, kind: str) -> Column:
@@ -142,10 +157,10 @@ def _carry(named: DataFrame, keys: Sequence[str], order: Sequence[str], kinds: l
             return F.sum(x)
         return (F.min_by if kind == "next" else F.max_by)(x, F.when(x.isNotNull(), at))
 
-    totals = named.groupBy(*[col(c) for c in keys], RANGE).agg(
+    totals = named.groupBy(*tags, RANGE).agg(
         *[edge(i, kind).alias(f"__t{i}") for i, kind in enumerate(kinds)], F.count(F.lit(1)).alias("__rows")
     )
-    by_range = Window.partitionBy(*[col(c) for c in keys])
+    by_range = Window.partitionBy(*tags)
     earlier = by_range.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     later = by_range.orderBy(F.desc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -154,17 +169,13 @@ def _carry(named: DataFrame, keys: Sequence[str], order: Sequence[str], kinds: l
         return F.sum(t).over(earlier) if kind == "sum" else F.last(t, True).over(later if kind == "next" else earlier)
 
     return totals.select(
-        *[col(c) for c in keys],
+        *tags,
         RANGE,
         F.count(F.lit(1)).over(by_range).alias("__ranges"),
         *[carried(i, kind).alias(f"__c{i}") for i, kind in enumerate(kinds)],
     ).filter("__ranges > 1")
 
 
-def _qualified(side: str, name: str) -> Column:
-    return F.col(f"{side}.`{name.replace('`', '``')}`")
-
-
 def forward_fill(
     df: DataFrame,
     columns: Sequence[str],
