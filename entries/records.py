@@ -213,15 +213,38 @@ def registry_get(spark, sf_dir):
     return registry.get_all(datasets(spark, sf_dir), wanted).select("id", "status", "mode", "rows")
 
 
+REQUESTS = {
+    "everything": {},
+    "one collaboration": {"collaboration": "3"},
+    "its completed": {"collaboration": "3", "status": "completed"},
+    "one user": {"user": "7"},
+}
+_FILTERS = {"collaboration": '"collaborationId"', "status": "status", "user": '"userId"'}
+
+
 @query(
     "registry_list",
-    f"SELECT id, \"userId\" AS user_id, \"collaborationId\" AS collaboration_id, status, mode FROM ({DATASETS}) WHERE \"collaborationId\" = '3' AND status = 'completed'",
+    union_all(
+        [
+            f"SELECT '{request}' AS request, id, \"userId\" AS user_id, \"collaborationId\" AS collaboration_id, status, mode "
+            f"FROM ({DATASETS}) WHERE " + " AND ".join(["true", *[f"{_FILTERS[k]} = '{v}'" for k, v in given.items()]])
+            for request, given in REQUESTS.items()
+        ]
+    ),
 )
 def registry_list(spark, sf_dir):
-    found = registry.listing(datasets(spark, sf_dir), collaboration="3", status="completed")
-    return found.select(
-        "id", F.col("userId").alias("user_id"), F.col("collaborationId").alias("collaboration_id"), "status", "mode"
-    )
+    out = None
+    for request, given in REQUESTS.items():
+        found = registry.listing(datasets(spark, sf_dir), **given).select(
+            F.lit(request).alias("request"),
+            "id",
+            F.col("userId").alias("user_id"),
+            F.col("collaborationId").alias("collaboration_id"),
+            "status",
+            "mode",
+        )
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 @query(

@@ -29,6 +29,7 @@ SKETCHES_PER_JOB = 40
 SMALL_TABLE_ROWS = 20_000_000
 SIDE_BY_SIDE = 6
 SLICE_ROWS = 250_000
+MIN_SLICES = 4
 SMALL_DISTINCT = 100
 
 
@@ -191,7 +192,7 @@ def _screened(df: DataFrame, stats: dict[str, ColumnStats], names: list[str], ro
         elif s.kind != "number" or not s.nulls:
             open_names.append(name)
     step = rows // SLICE_ROWS
-    if step <= 1:
+    if step < MIN_SLICES:
         return open_names
     left = []
     for name, (floor, repeats) in frequencies.sliced_counts(df, open_names, step).items():
