@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from tableprep.functions.exprs import bin_edges, histogram_bin
 from tableprep.functions.types import as_double, dtype_of, nan_to_null, number_columns
 from tableprep.operators import frequencies
-from tableprep.operators.profile import ColumnStats, Profile, profile
+from tableprep.operators.profile import SMALL_TABLE_ROWS, ColumnStats, Profile, profile
 from tableprep.plans.decide import top_variance, useful_categories
 from tableprep.session import together
 
 BINS = 30
 COUNT_PLOT_VALUES = 20
-PAIRS_PER_JOB = 60
+PAIRS_PER_JOB = 600
+SMALL_PAIRS_PER_JOB = 60
+SIDE_BY_SIDE = 6
 
 
 @dataclass
@@ -137,7 +139,10 @@ def correlation(df: DataFrame, stats: Profile | None = None) -> DataFrame | None
                 r = row[f"xy{i}"] / stats[a].rows / (stats[a].std_pop * stats[b].std_pop)
             out[a, b] = out[b, a] = r
 
-    chunks = [pairs[i : i + PAIRS_PER_JOB] for i in range(0, len(pairs), PAIRS_PER_JOB)]
+    size = PAIRS_PER_JOB
+    if stats.rows <= SMALL_TABLE_ROWS:
+        size = min(size, max(SMALL_PAIRS_PER_JOB, math.ceil(len(pairs) / SIDE_BY_SIDE)))
+    chunks = [pairs[i : i + size] for i in range(0, len(pairs), size)]
     together(*[partial(some_pairs, chunk) for chunk in chunks])
     return df.sparkSession.createDataFrame([(a, b, out[a, b]) for a in names for b in names], "x string, y string, r double")
 

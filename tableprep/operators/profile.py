@@ -22,7 +22,8 @@ from tableprep.operators import frequencies, quantiles
 from tableprep.session import together
 
 QUARTILES = [0.25, 0.5, 0.75]
-EXPRESSIONS_PER_JOB = 240
+# Beyond about this width the generated code of an aggregate is too long to be compiled well.
+EXPRESSIONS_PER_JOB = 80
 SKETCHES_PER_JOB = 40
 # A table this small may lie in one file chunk, that is in one task: its columns are then spread over
 # jobs that run side by side instead.  Each reads only its own columns.
@@ -204,34 +205,56 @@ def _screened(df: DataFrame, stats: dict[str, ColumnStats], names: list[str], ro
 
 
 def _moments(df: DataFrame, stats: list[ColumnStats]) -> int:
-    chunks: list[list[ColumnStats]] = [[]]
-    size = 1
-    for s in stats:
-        cost = 5 if s.kind == "number" else 1
-        if size + cost > EXPRESSIONS_PER_JOB:
-            chunks.append([])
-            size = 1
-        chunks[-1].append(s)
-        size += cost
-    rows = 0
-    for chunk in chunks:
-        exprs = [F.count(F.lit(1)).alias("rows")]
-        for i, s in enumerate(chunk):
-            exprs.append(F.count(col(s.name)).alias(f"n{i}"))
-            if s.kind == "number":
-                x = as_double(s.name, dtype_of(df, s.name))
-                exact = col(s.name) if s.integer else x
-                exprs += [F.min(exact).alias(f"lo{i}"), F.max(exact).alias(f"hi{i}")]
-                exprs += [F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
-        row = df.agg(*exprs).first()
-        rows = row["rows"]
-        for i, s in enumerate(chunk):
-            s.rows, s.nulls = rows, rows - row[f"n{i}"]
-            if s.kind == "number":
-                s.low, s.high, s.mean, s.var_pop = row[f"lo{i}"], row[f"hi{i}"], row[f"m{i}"], row[f"v{i}"]
+    """Rows of the table; nulls, range, mean and variance of its columns.
+
+    One aggregate with a few expressions per column, as long as it stays narrow.  A wide table's
+    columns are stacked to ``(c, v)`` and grouped by ``c`` instead: the same code for every column.
+    """
+    numbers = [s for s in stats if s.kind == "number"]
+    if 1 + len(stats) + 4 * len(numbers) <= EXPRESSIONS_PER_JOB:
+        return _narrow_moments(df, stats)
+    others = [s for s in stats if s.kind != "number"]
+    chunks = [others[i : i + EXPRESSIONS_PER_JOB] for i in range(0, len(others), EXPRESSIONS_PER_JOB)] or [[]]
+    rows, found = together(lambda: [_narrow_moments(df, chunk) for chunk in chunks][0], lambda: _stacked_moments(df, numbers))
+    for s in numbers:
+        filled, low, high, s.mean, s.var_pop, whole_low, whole_high = found.get(s.name, (0, *[None] * 6))
+        s.low, s.high = (whole_low, whole_high) if s.integer else (low, high)
+        s.rows, s.nulls = rows, rows - filled
     return rows
 
 
+def _narrow_moments(df: DataFrame, stats: list[ColumnStats]) -> int:
+    exprs = [F.count(F.lit(1)).alias("rows")]
+    for i, s in enumerate(stats):
+        exprs.append(F.count(col(s.name)).alias(f"n{i}"))
+        if s.kind == "number":
+            x = as_double(s.name, dtype_of(df, s.name))
+            exact = col(s.name) if s.integer else x
+            exprs += [F.min(exact).alias(f"lo{i}"), F.max(exact).alias(f"hi{i}")]
+            exprs += [F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
+    row = df.agg(*exprs).first()
+    for i, s in enumerate(stats):
+        s.rows, s.nulls = row["rows"], row["rows"] - row[f"n{i}"]
+        if s.kind == "number":
+            s.low, s.high, s.mean, s.var_pop = row[f"lo{i}"], row[f"hi{i}"], row[f"m{i}"], row[f"v{i}"]
+    return row["rows"]
+
+
+def _stacked_moments(df: DataFrame, stats: list[ColumnStats]) -> dict[str, tuple]:
+    """Count, min, max, mean, variance, and the range as whole numbers, by name; without values absent."""
+    cells = [
+        F.struct(
+            as_double(s.name, dtype_of(df, s.name)).alias("v"),
+            (col(s.name) if s.integer else F.lit(None)).cast("bigint").alias("k"),
+        )
+        for s in stats
+    ]
+    long = df.select(F.posexplode(F.array(*cells)).alias("c", "x")).select("c", "x.v", "x.k").filter("v IS NOT NULL")
+    wanted = [F.count("v"), F.min("v"), F.max("v"), F.avg("v"), F.var_pop("v"), F.min("k"), F.max("k")]
+    rows = long.groupBy("c").agg(*[e.alias(f"a{i}") for i, e in enumerate(wanted)]).collect()
+    return {stats[r["c"]].name: tuple(r)[1:] for r in rows}
+
+
 def _quartiles(df: DataFrame, stats: list[ColumnStats], approx: bool) -> None:
     """Quartiles of columns that have values.
 

@@ -123,42 +123,59 @@ def solve(df: DataFrame, targets: list[Target], accuracy: int = ACCURACY, limit:
 
 
 def _one_pass(df: DataFrame, batch: list[Target], accuracy: int, limit: int) -> None:
-    """Count below and on the bracket ends, and fetch the values (or a grid of them) between."""
-    counts, inside, any_inside = [], [], F.lit(False)
-    for i, t in enumerate(batch):
-        c = as_double(t.column, dtype_of(df, t.column))
-        counts += [F.count_if(c < t.lo).alias(f"b{i}"), F.count_if(c == t.lo).alias(f"l{i}")]
-        if t.lo < t.hi:
-            counts.append(F.count_if(c == t.hi).alias(f"h{i}"))
-            between = (c > t.lo) & (c < t.hi)
-            any_inside = any_inside | between
-            inside.append(F.when(between, F.struct(F.lit(i).alias("slot"), c.alias("v"))))
-    row, found = together(
-        lambda: df.agg(*counts).first().asDict(), lambda: _values_inside(df, batch, inside, any_inside, accuracy, limit)
+    """Count below and on the bracket ends, and fetch the values (or a grid of them) between.
+
+    Columns are stacked to ``(c, v)`` and brackets looked up by ``c``, so the generated code stays
+    small however many columns there are.
+    """
+    columns = list(dict.fromkeys(t.column for t in batch))
+    of_column = [[i for i, t in enumerate(batch) if t.column == c] for c in columns]
+    width = max(len(ids) for ids in of_column)
+    stacked = F.array(*[as_double(c, dtype_of(df, c)) for c in columns])
+    long = df.select(F.posexplode(stacked).alias("c", "v")).filter("v IS NOT NULL")
+
+    def bound(end: str, w: int) -> Column:
+        """The ``w``-th bracket end of the row's column; NaN, which no comparison meets, where there is none."""
+        ends = [float(getattr(batch[ids[w]], end)) if w < len(ids) else math.nan for ids in of_column]
+        return F.element_at(F.array(*[F.lit(e) for e in ends]), F.col("c") + 1)
+
+    v = F.col("v")
+    counts = []
+    for w in range(width):
+        lo, hi = bound("lo", w), bound("hi", w)
+        counts += [F.count_if(v < lo).alias(f"b{w}"), F.count_if(v == lo).alias(f"l{w}")]
+        counts.append(F.count_if((v == hi) & (lo < hi)).alias(f"h{w}"))
+    inside = [(v > bound("lo", w)) & (v < bound("hi", w)) for w in range(width)]
+    rows, found = together(
+        lambda: {r["c"]: r for r in long.groupBy("c").agg(*counts).collect()},
+        lambda: _values_inside(long, batch, of_column, inside, accuracy, limit),
     )
-    for i, t in enumerate(batch):
-        inner, values = found.get(i, (0, []))
-        _advance(t, row[f"b{i}"], row[f"l{i}"], row.get(f"h{i}", 0), inner, values, accuracy, limit)
+    for k, ids in enumerate(of_column):
+        for w, i in enumerate(ids):
+            below, at_lo, at_hi = (rows[k][f"{name}{w}"] for name in "blh")
+            inner, known = found.get(i, (0, []))
+            _advance(batch[i], below, at_lo, at_hi, inner, known, accuracy, limit)
 
 
 def _values_inside(
-    df: DataFrame, batch: list[Target], inside: list[Column], any_inside: Column, accuracy: int, limit: int
+    long: DataFrame, batch: list[Target], of_column: list[list[int]], inside: list[Column], accuracy: int, limit: int
 ) -> dict[int, tuple[int, list[float]]]:
     """Per target with an open bracket: how many values lie inside, and all of them or a grid of them."""
-    found = {}
-    if inside:
-        small = [i for i, t in enumerate(batch) if t.inner <= limit]
-        hits = (
-            df.filter(any_inside)
-            .select(F.explode(F.array_compact(F.array(*inside))).alias("hit"))
-            .select("hit.slot", "hit.v")
-        )
-        listed = F.collect_list(F.when(F.col("slot").isin(small), F.col("v"))).alias("all")
-        grid = F.percentile_approx(F.when(~F.col("slot").isin(small), F.col("v")), GRID, accuracy).alias("grid")
-        wanted = [listed] if len(small) == len(batch) else [listed, grid]
-        for hit in hits.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), *wanted).collect():
-            found[hit["slot"]] = (hit["n"], hit["all"] or hit.asDict().get("grid"))
-    return found
+    if all(t.lo == t.hi for t in batch):
+        return {}
+    hits, any_inside = [], F.lit(False)
+    for w, hit in enumerate(inside):
+        targets = F.array(*[F.lit(ids[w] if w < len(ids) else -1) for ids in of_column])
+        hits.append(F.when(hit, F.element_at(targets, F.col("c") + 1)))
+        any_inside = any_inside | hit
+    slots = F.explode(F.array_compact(F.array(*hits))).alias("slot")
+    found = long.filter(any_inside).select("v", slots)
+    small = [i for i, t in enumerate(batch) if t.inner <= limit]
+    listed = F.collect_list(F.when(F.col("slot").isin(small), F.col("v"))).alias("listed")
+    grid = F.percentile_approx(F.when(~F.col("slot").isin(small), F.col("v")), GRID, accuracy).alias("grid")
+    wanted = [listed] if len(small) == len(batch) else [listed, grid]
+    rows = found.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), *wanted).collect()
+    return {r["slot"]: (r["n"], r["listed"] or r.asDict().get("grid")) for r in rows}
 
 
 def _advance(

@@ -207,6 +207,21 @@ def test_screening_never_changes_a_decision(spark, small, monkeypatch):
     assert screened["o_orderkey"].distinct == screened.rows and screened["o_custkey"].distinct is None
 
 
+def test_wide_tables_have_the_same_statistics(spark, skewed):
+    _, df = skewed
+    more = [F.when(F.col("id") % (i + 2) != 0, F.col("user") + i).alias(f"i{i}") for i in range(12)]
+    more += [(F.col("v") * (i + 1)).alias(f"x{i}") for i in range(12)]
+    big = (F.lit(9007199254740993) + F.col("id")).alias("big")
+    wide = df.select("id", F.lit("t").alias("t"), F.lit(None).cast("int").alias("none"), big, *more)
+    whole = profile(wide, quartiles=())
+    for name in wide.columns:
+        alone = profile(wide, [name], quartiles=())[name]
+        assert (whole[name].rows, whole[name].nulls) == (alone.rows, alone.nulls)
+        assert (whole[name].low, whole[name].high) == (alone.low, alone.high)
+        assert whole[name].mean == pytest.approx(alone.mean) and whole[name].std == pytest.approx(alone.std)
+    assert whole["big"].low == 9007199254740993
+
+
 def test_long_texts_are_counted_by_digest(spark):
     base = "long text " * 20
     df = spark.createDataFrame([(base + str(i % 7),) for i in range(50)] + [("a",), ("a",), (None,)], "t string")
