@@ -22,7 +22,6 @@ def annotate(
     text: str,
     outputs: str,
     compute: Callable[[list[bytes | None]], list],
-    keep: Callable[[list], np.ndarray] | None = None,
 ) -> DataFrame:
     """Append to every row the columns that ``compute`` derives from its text; no shuffle.
 
@@ -50,7 +49,8 @@ def annotate(
                 columns += [pa.array(v, type=arrow.field(n + k).type) for k, v in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return df.select([F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    plain = [F.col("`" + f.name.replace("`", "``") + "`").alias(f"c{i}") for i, f in enumerate(kept)]
+    return df.select(plain).mapInArrow(run, schema)
 
 
 def ranges(sizes: list[int], budget: int = 4 * CHUNK_BYTES, most: int = 4096) -> Iterator[tuple[int, int]]:
