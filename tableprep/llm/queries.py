@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from tableprep.llm.chat import conversation_digests, format_turns, read_turns
 from tableprep.llm.common import table
 from tableprep.llm.decontaminate import contamination_report
+from tableprep.llm.jaccard import near_duplicates
 from tableprep.llm.language import language_report
 from tableprep.llm.pieces import encode_pieces
+from tableprep.llm.ppm import score_report
+from tableprep.llm.quality import judge_quality
+from tableprep.llm.repeats import repeat_report
 from tableprep.llm.secrets import secret_report
+from tableprep.llm.urls import filter_urls
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -124,3 +129,30 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     ranks, pattern = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
     return conversation_digests(read_turns(format_turns(turns, ranks, pattern), ranks, pattern))
+
+
+@query("op7_ppm_score")
+def ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return judged.select("doc_id", *base, "kept", "distance")
+
+
+@query("op2_url_filter")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op10_jaccard_join")
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
