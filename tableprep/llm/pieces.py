@@ -36,6 +36,9 @@ class ChunkTable:
             raise ValueError(f"pieces cross space markers, so words are not independent: {crossing[:3]}")
         if self.model.normalize("Åﬁ ①  x") != f"{MARK}Åﬁ{MARK}①{MARK}{MARK}x":
             raise ValueError("the model normalises texts; chunks need one that only marks spaces")
+        self.lone = self.model.piece_to_id(MARK)
+        if self.lone == self.model.unk_id():
+            raise ValueError("the vocabulary has no lone space marker")
         self.clear()
 
     @staticmethod
@@ -50,7 +53,8 @@ class ChunkTable:
         self.ends = np.zeros(1 << 14, dtype=np.int64)
 
     def add(self, chunks: list[str]) -> None:
-        encoded = self.model.encode(chunks, num_threads=1)
+        # a lone marker is the empty chunk, which the library would not encode at all
+        encoded = [ids if chunk else [self.lone] for chunk, ids in zip(chunks, self.model.encode(chunks, num_threads=1))]
         for chunk, surface in zip(chunks, self.model.decode(encoded, num_threads=1)):
             self.slots[chunk] = len(self.surfaces)
             self.surfaces.append(surface)

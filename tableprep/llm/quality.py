@@ -1,6 +1,6 @@
 """Quality rules: fixed limits first, then robust multivariate outliers per language and source.
 
-Statistics of each text become a vector of log-scaled rates.  Per (language, source) a minimum covariance
+Statistics of each text become a vector of transformed rates.  Per (language, source) a minimum covariance
 determinant estimate is iterated by concentration steps: distances of all rows, the share of rows nearest
 to the centre, their mean and covariance.  Every step is an aggregate per group with partial sums, so a
 group with a third of all rows is no burden; nothing is sampled.
@@ -26,18 +26,20 @@ MOST_REPEATED = 50  # per cent of words in repeated three-word windows
 
 SHARE = 0.75  # of a group's rows that an estimate rests on
 STEPS = 4
-SPREAD_FLOOR = 0.25  # standard deviation every feature has at least, on the log scale
-PRIOR_ROWS = 20  # rows' worth of unit covariance mixed into each estimate
+SPREAD_FLOOR = 0.25  # standard deviation every feature has at least
+PRIOR_ROWS = 10  # rows' worth of a prior covariance mixed into each estimate
+PRIOR_SPREAD = 0.5  # standard deviation of every feature in that prior
 REJECTED_SHARE = 1e-9  # of normally distributed rows that the distance limit would reject
 BROADCAST_GROUPS = 20_000
 
-#: Log-scaled rates of the statistics, as SQL.
+#: Transformed statistics, as SQL.  Sizes and symbols are log-scaled; the two shares are not, as a single
+#: repeated line would otherwise set a text far apart from the many that have none.
 FEATURES = {
     "v0": "ln(1 + n_words)",
     "v1": "ln(word_chars / n_words)",
     "v2": "ln(1 + 100 * n_symbols / word_chars)",
-    "v3": "ln(1 + 100 * n_dup_lines / n_lines)",
-    "v4": "ln(1 + 100 * n_repeat_words / n_words)",
+    "v3": "2 * n_dup_lines / n_lines",
+    "v4": "2 * n_repeat_words / n_words",
 }
 DIMENSIONS = len(FEATURES)
 
@@ -159,7 +161,7 @@ def next_estimate(near: DataFrame) -> DataFrame:
                 scatter = np.zeros((DIMENSIONS, DIMENSIONS))
                 for i, j in PAIRS:
                     scatter[i, j] = scatter[j, i] = getattr(row, f"c{i}{j}")
-                scatter = (CONSISTENCY * scatter * row.n + PRIOR_ROWS * np.eye(DIMENSIONS)) / (row.n + PRIOR_ROWS)
+                scatter = (CONSISTENCY * scatter * row.n + PRIOR_ROWS * PRIOR_SPREAD**2 * np.eye(DIMENSIONS)) / (row.n + PRIOR_ROWS)
                 inverse = np.linalg.inv(scatter + SPREAD_FLOOR**2 * np.eye(DIMENSIONS))
                 centre = [getattr(row, f"m{i}") for i in range(DIMENSIONS)]
                 made.append((row.g_lang, row.g_source, centre, inverse.ravel().tolist()))
