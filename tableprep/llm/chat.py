@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tableprep.llm.common import annotate
-from tableprep.operators.ordered import running
+from tableprep.operators.ordered import ROWS_PER_RANGE, running, split_points
+from tableprep.session import written
 
 START_TEXT, END_TEXT = "<|im_start|>", "<|im_end|>"
 # A backslash goes between "<" and "|"; texts that have backslashes there already get one more.
@@ -110,10 +111,13 @@ def format_turns(conversations: DataFrame, ranks: str, pattern: str, learned: tu
             made.append(template(ranks, pattern).format(unfold(name), content))
         return [list(column) for column in zip(*made)]
 
+    order = ["turn", "role", "digest"]
+    # split points come from the plain turns, so that texts are encoded once
+    splits = split_points(turns, ["conv_id", *order], ROWS_PER_RANGE)
     made = annotate(turns, "segment", TURN, compute).drop("segment")
-    placed = running(
-        made, ["conv_id"], ["turn", "role", "digest"], sums={"ids_stop": F.size("ids").cast("long")}
-    ).withColumn("ids_start", F.col("ids_stop") - F.size("ids"))
+    made = written(made, "turns") if splits else made
+    stop = {"ids_stop": F.size("ids").cast("long")}
+    placed = running(made, ["conv_id"], order, sums=stop, splits=splits).withColumn("ids_start", F.col("ids_stop") - F.size("ids"))
     masked = F.col("role").isin(*learned)
     return placed.select(
         "conv_id", "turn", "role", "digest", "ids", "ids_start",

@@ -211,20 +211,20 @@ def components(links: DataFrame) -> DataFrame:
     Edges are rewritten to point at smaller ids until they form stars (large-star, small-star).
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    before = None
     while True:
+        # no edge changed when neither their number nor the mix of their hashes did: they are stars
+        now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("mix")).first()
+        if now["n"] == 0 or before is not None and now["n"] == before["n"] and now["mix"] == before["mix"]:
+            break
+        before = now
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # neighbours above keep what they had if they are already at the smallest
-        large = written(large.where("u <> v").distinct(), "edges")
+        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u")
-        next_edges = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v")))
-        next_edges = written(next_edges.where("u <> v").distinct(), "edges")
-        same = next_edges.exceptAll(edges).isEmpty() and next_edges.count() == edges.count()
-        edges = next_edges
-        if same:
-            break
+        star = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v")))
+        edges = written(star.where("u <> v").distinct(), "edges")
     return edges.select(F.col("u").alias("sid"), F.col("v").alias("label")).unionAll(
         edges.select(F.col("v").alias("sid"), F.col("v").alias("label")).distinct()
     )
