@@ -46,7 +46,9 @@ def annotate(
             for i, j in ranges([len(t or b"") for t in texts]):
                 made = compute(texts[i:j])
                 columns = [c.cast(arrow.field(k).type) for k, c in enumerate(batch.slice(i, j - i).columns)]
-                columns += [pa.array(v, type=arrow.field(n + k).type) for k, v in enumerate(made)]
+                for k, v in enumerate(made):
+                    kind = arrow.field(n + k).type
+                    columns.append(v.cast(kind) if isinstance(v, pa.Array) else pa.array(v, type=kind))
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     plain = [F.col("`" + f.name.replace("`", "``") + "`").alias(f"c{i}") for i, f in enumerate(kept)]

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableprep.llm.common import LOWER, NOT_SPACE, Chunk, Rolling, annotate, chunks, mix
@@ -22,15 +22,15 @@ from tableprep.session import written
 
 WIDTH = 5  # words in a shingle
 # Similarity 3/4: sets x, y are linked when 4 * common >= 3 * (|x| + |y| - common).
-SAMPLE_DOCS = 20_000  # documents whose shingles tell which are frequent
+SAMPLE_DOCS = 10_000  # documents whose shingles tell which are frequent
 FREQUENT = 1_000_000  # most shingles remembered as frequent
 SALTS = 64  # parts a frequent token's holders are dealt over
 BROADCAST_IDS = 2_000_000
 HASH_BITS = 57
 
 
-def shingle_sets(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of every text, and how many each has; the hashes of a text ascend."""
+def shingle_sets(chunk: Chunk) -> list[np.ndarray]:
+    """Distinct shingle hashes of every text, ascending."""
     data, texts = LOWER[chunk.data], len(chunk.texts)
     starts, ends, owner = chunk.words(NOT_SPACE)
     words = Rolling(data).of(starts, ends)
@@ -39,16 +39,15 @@ def shingle_sets(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     # full windows, and the whole sequence of shorter texts
     at = np.flatnonzero(np.arange(len(words)) + WIDTH <= (first + counts)[owner]) if len(words) else np.zeros(0, np.int64)
     values = sequence_hash(words, at, WIDTH)
-    owners = owner[at]
+    short = {}
     for length in range(1, WIDTH):
-        short = np.flatnonzero(counts == length)
-        values = np.concatenate([values, sequence_hash(words, first[short], length)])
-        owners = np.concatenate([owners, short])
-    order = np.lexsort((values, owners))
-    values, owners = values[order], owners[order]
-    fresh = np.ones(len(values), dtype=bool)
-    fresh[1:] = (values[1:] != values[:-1]) | (owners[1:] != owners[:-1])
-    return values[fresh], np.bincount(owners[fresh], minlength=texts)
+        whole = np.flatnonzero(counts == length)
+        short.update(zip(whole.tolist(), sequence_hash(words, first[whole], length)))
+    ends = np.cumsum(np.maximum(counts - WIDTH + 1, 0))
+    sets = [np.unique(part) for part in np.split(values, ends[:-1])] if texts else []
+    for k, value in short.items():
+        sets[k] = np.array([value], dtype=np.uint64)
+    return sets
 
 
 def sequence_hash(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -71,18 +70,24 @@ class Order:
         at = np.minimum(np.searchsorted(self.tokens, values), len(self.tokens) - 1)
         return np.where(self.tokens[at] == values, self.counts[at], 0)
 
-    def describe(self, values: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-        """A set's id, its prefix, and which tokens of the prefix are frequent.
+    def describe(self, values: np.ndarray) -> tuple[int, np.ndarray, int]:
+        """A set's id, its prefix, and how many tokens of the prefix are rare; those come first.
 
         The id starts with the share of rare tokens, so that the smallest id among similar sets is the
         one that has least of its own: the text the others are copies of.
         """
         n = len(values)
         ranks = self.ranks(values)
-        rare = int((ranks == 0).sum()) * 62 // n
+        rare = values[ranks == 0]
+        size = n - (3 * n + 3) // 4 + 1
+        prefix = rare[:size]
+        if len(prefix) < size:
+            often = np.flatnonzero(ranks)
+            order = often[np.argsort(ranks[often], kind="stable")]
+            prefix = np.concatenate([prefix, values[order[: size - len(prefix)]]])
         digest = int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little")
-        prefix = np.lexsort((values, ranks))[: n - (3 * n + 3) // 4 + 1]
-        return (rare << HASH_BITS) | (digest >> (64 - HASH_BITS)), values[prefix], ranks[prefix] > 0
+        sid = (len(rare) * 62 // n) << HASH_BITS | (digest >> (64 - HASH_BITS))
+        return sid, prefix, min(size, len(rare))
 
 
 def frequent_tokens(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Order:
@@ -96,7 +101,7 @@ def frequent_tokens(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Order:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, chunk in chunks(batch.column(0).cast(pa.binary()).to_pylist(), 4 << 20):
-                tokens, n = np.unique(shingle_sets(chunk)[0], return_counts=True)
+                tokens, n = np.unique(np.concatenate([*shingle_sets(chunk), np.zeros(0, np.uint64)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
 
     # copies of one text say nothing about how common its shingles are elsewhere, but count once each
@@ -105,57 +110,36 @@ def frequent_tokens(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Order:
     return Order(top["token"].to_numpy().view(np.uint64), top["n"].to_numpy())
 
 
-def prefixes(docs: DataFrame, shared) -> DataFrame:
-    """``token, frequent, sid, n``: a row for each prefix token of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, chunk in chunks(batch.column(0).cast(pa.binary()).to_pylist()):
-                values, counts = shingle_sets(chunk)
-                tokens, frequent, sids, sizes = [], [], [], []
-                for part in np.split(values, np.cumsum(counts)[:-1]):
-                    if len(part):
-                        sid, prefix, often = shared.value.describe(part)
-                        tokens.append(prefix)
-                        frequent.append(often)
-                        sids.append(np.full(len(prefix), sid, dtype=np.int64))
-                        sizes.append(np.full(len(prefix), len(part), dtype=np.int32))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(frequent)),
-                         pa.array(np.concatenate(sids)), pa.array(np.concatenate(sizes))],
-                        names=["token", "frequent", "sid", "n"],
-                    )
-
-    return docs.select("text").mapInArrow(run, "token long, frequent boolean, sid long, n int")
-
-
 def set_table(docs: DataFrame, shared) -> DataFrame:
-    """``doc_id, n_shingles, sid`` per document; no id where the set is empty."""
+    """``doc_id, n_shingles, sid, n_rare, prefix`` per document; no id where the set is empty."""
 
     def compute(texts):
-        out: list[list] = [[], []]
+        counts, sids, rare, prefixes = [], [], [], []
         for _, _, chunk in chunks(texts):
-            values, counts = shingle_sets(chunk)
-            out[0] += counts.tolist()
-            out[1] += [shared.value.describe(p)[0] if len(p) else None for p in np.split(values, np.cumsum(counts)[:-1])]
-        return out
+            for values in shingle_sets(chunk):
+                sid, prefix, n_rare = shared.value.describe(values) if len(values) else (None, values, 0)
+                counts.append(len(values))
+                sids.append(sid)
+                rare.append(n_rare)
+                prefixes.append(prefix.view(np.int64))
+        return [counts, sids, rare, lists_of(prefixes)]
 
-    return annotate(docs.select("doc_id", "text"), "text", "n_shingles long, sid long", compute).drop("text")
+    made = annotate(docs.select("doc_id", "text"), "text", "n_shingles long, sid long, n_rare int, prefix array<long>", compute)
+    return made.drop("text")
+
+
+def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shared) -> DataFrame:
     """``sid, n, tokens`` of the sets whose representing documents are ``wanted`` (``doc_id``)."""
 
     def compute(texts):
-        out: list[list] = [[], [], []]
-        for _, _, chunk in chunks(texts):
-            values, counts = shingle_sets(chunk)
-            for part in np.split(values, np.cumsum(counts)[:-1]):
-                out[0].append(shared.value.describe(part)[0] if len(part) else None)
-                out[1].append(len(part))
-                out[2].append(part.view(np.int64))
-        return out
+        sets = [values for _, _, chunk in chunks(texts) for values in shingle_sets(chunk)]
+        sids = [shared.value.describe(values)[0] if len(values) else None for values in sets]
+        return [sids, [len(values) for values in sets], lists_of([values.view(np.int64) for values in sets])]
 
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     chosen = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
@@ -178,19 +162,26 @@ def sizes_fit(x: Column, y: Column) -> Column:
     return (4 * x >= 3 * y) & (4 * y >= 3 * x)
 
 
-def active_tokens(postings: DataFrame) -> DataFrame:
-    """Prefix tokens of two or more different sets: ``token, sid, n, leader, leader_n``, each once.
+def active_tokens(sets: DataFrame) -> DataFrame:
+    """Prefix tokens of two or more different sets: ``token, sid, n, leader``, each once.
 
-    One exchange deals the rows by token, frequent tokens over several parts; parts are summed up before
-    they meet.
+    Tokens are dealt once, frequent ones over several parts.  The parts of a frequent token are brought
+    together as one row each; there are no more of those tokens than ``FREQUENT``.
     """
-    salt = F.when(F.col("frequent"), F.pmod("sid", F.lit(SALTS))).otherwise(0).alias("salt")
-    width = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings.select("token", salt, "sid", "n").repartition(4 * width, "token", "salt")
-    ends = dealt.groupBy("token", "salt").agg(F.min("sid").alias("low"), F.max("sid").alias("high"))
-    spread = ends.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("salt").alias("salts"))
-    leading = spread.where("low < high").select("token", F.col("low").alias("leader"), F.explode("salts").alias("salt"))
-    return dealt.join(leading, ["token", "salt"]).select("token", "sid", "n", "leader").distinct()
+    spread = sets.where("sid IS NOT NULL").select(
+        "sid", F.col("n_shingles").cast("int").alias("n"), "n_rare", F.posexplode("prefix").alias("at", "token")
+    )
+    frequent = F.col("at") >= F.col("n_rare")
+    salt = F.when(frequent, F.pmod("sid", F.lit(SALTS))).otherwise(0)
+    dealt = spread.select("token", salt.alias("salt"), frequent.alias("frequent"), "sid", "n")
+    holders = Window.partitionBy("token", "salt")
+    met = dealt.withColumns({"low": F.min("sid").over(holders), "high": F.max("sid").over(holders)})
+    met = written(met.where("frequent OR low < high").drop("salt"), "met")
+    ends = met.where("frequent").groupBy("token").agg(F.min("low").alias("leader"), F.max("high").alias("last"))
+    ends = written(ends.where("leader < last").drop("last"), "leaders")
+    often = met.where("frequent").join(F.broadcast(ends), "token").select("token", "sid", "n", "leader")
+    rare = met.where("NOT frequent").select("token", "sid", "n", F.col("low").alias("leader"))
+    return rare.unionAll(often).distinct()
 
 
 def links_to(pairs: DataFrame, docs: DataFrame, representing: DataFrame, shared) -> DataFrame:
@@ -279,9 +270,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     own = docs.select("doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(frequent_tokens(own))
-    sets = written(set_table(own, shared), "sets")
+    table = written(set_table(own, shared), "sets")
+    sets = table.select("doc_id", "n_shingles", "sid")
     representing = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    active = written(active_tokens(prefixes(own, shared)), "active")
+    active = written(active_tokens(table), "active")
     links = written(similar_pairs(active, own, representing, shared), "links")
     named = sets.join(components(links), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     smallest = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))

@@ -7,7 +7,8 @@ least hashed short string in them.  Equal windows have equal anchors at equal of
 1. suffix tuples (anchor, whole stretch of the run) meet in Spark's shuffle; stretches that occur twice
    are repeated as a whole: their common prefix is at least the stretch;
 2. the induction step goes back to single positions only where an anchor is shared but stretches differ,
-   which is at the ends of repeats, and settles each window there by its own hash.
+   which is at the ends of repeats: short runs of windows whose common bytes are unique are settled at
+   once, and of the rest each window by its own hash.
 
 All decisions are about hashes of whole strings; nothing is dropped, capped or sampled away.
 """
@@ -26,6 +27,7 @@ from tableprep.session import written
 
 LENGTH = 200  # bytes of a string that counts as repeated
 ANCHOR = 80  # bytes of an anchor
+STEP = 16  # windows in a short run
 BROADCAST_KEYS = 1_000_000
 
 
@@ -60,7 +62,8 @@ class Anchors:
         begin = np.flatnonzero(fresh)
         end = np.concatenate([begin[1:], [len(at)]]) - 1
         self.owner, self.first, self.last = owner[begin], at[begin], at[end]
-        self.gram = short[anchor[begin].astype(np.int64)]
+        self.anchor = anchor[begin].astype(np.int64)
+        self.gram = short[self.anchor]
         self.extent = self.hashes.of(self.first, self.last + length)
         self.weight = np.ones(len(self.first), dtype=np.int32)
         self.join_equal()
@@ -73,11 +76,12 @@ class Anchors:
         end = np.concatenate([begin[1:], [len(again)]]) - 1
         self.last = self.last[end]
         self.weight = np.minimum(end - begin + 1, 2).astype(np.int32)
-        self.owner, self.first, self.gram, self.extent = (x[begin] for x in (self.owner, self.first, self.gram, self.extent))
+        kept = (self.owner, self.first, self.anchor, self.gram, self.extent)
+        self.owner, self.first, self.anchor, self.gram, self.extent = (x[begin] for x in kept)
 
 
 def suffix_tuples(keyed: DataFrame, length: int, width: int) -> DataFrame:
-    """``gram, extent, weight, key, first, last`` of every run; places count from the start of the text."""
+    """``gram, extent, weight, key, first, last, anchor`` of every run; places count from the start of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,11 +94,12 @@ def suffix_tuples(keyed: DataFrame, length: int, width: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(runs.gram.view(np.int64)), pa.array(runs.extent.view(np.int64)), pa.array(runs.weight),
                          pa.array(keys[i:j][runs.owner]), pa.array((runs.first - start).astype(np.int32)),
-                         pa.array((runs.last - start).astype(np.int32))],
-                        names=["gram", "extent", "weight", "key", "first", "last"],
+                         pa.array((runs.last - start).astype(np.int32)), pa.array((runs.anchor - start).astype(np.int32))],
+                        names=["gram", "extent", "weight", "key", "first", "last", "anchor"],
                     )
 
-    return keyed.select("key", "text").mapInArrow(run, "gram long, extent long, weight int, key long, first int, last int")
+    schema = "gram long, extent long, weight int, key long, first int, last int, anchor int"
+    return keyed.select("key", "text").mapInArrow(run, schema)
 
 
 def with_lists(keyed: DataFrame, lists: DataFrame) -> DataFrame:
@@ -105,29 +110,77 @@ def with_lists(keyed: DataFrame, lists: DataFrame) -> DataFrame:
     return chosen.join(lists, "key")
 
 
-def window_hashes(asked: DataFrame, length: int) -> DataFrame:
-    """``window, check, key, at`` of every position in the listed runs (``runs`` of ``first, last``)."""
+class Listed:
+    """The runs listed for the texts of a chunk, flat: owner, first, last and anchor within the chunk."""
+
+    def __init__(self, runs: pa.ListArray, chunk: Chunk):
+        flat = runs.flatten()
+        names = [f.name for f in flat.type]
+        self.owner = np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()))
+        start = chunk.starts[self.owner]
+        place = lambda c: flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) + start
+        self.first, self.last = place("first"), place("last")
+        self.anchor = place("anchor") if "anchor" in names else self.first
+
+
+def stretched(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts 2, 3: items 0 0 1 1 1 and steps 0 1 0 1 2."""
+    item = np.repeat(np.arange(len(counts)), counts)
+    return item, np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def over_lists(asked: DataFrame, schema: str, hashes) -> DataFrame:
+    """Apply ``hashes(listed, chunk)`` to texts with their lists; it returns owners and one array per column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for i, j, chunk in chunks(texts):
-                listed = batch.column(2).slice(i, j - i)
-                flat = listed.flatten()
-                first = flat.field("first").to_numpy(zero_copy_only=False).astype(np.int64)
-                sizes = flat.field("last").to_numpy(zero_copy_only=False).astype(np.int64) - first + 1
-                owner = np.repeat(np.arange(j - i), np.diff(listed.offsets.to_numpy()))
-                at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
-                owner = np.repeat(owner, sizes)
-                start = chunk.starts[owner] + at
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(Rolling(chunk.data).of(start, start + length).view(np.int64)), pa.array(keys[i:j][owner]),
-                     pa.array(at.astype(np.int32))],
-                    names=["window", "key", "at"],
-                )
+                owner, columns = hashes(Listed(batch.column(2).slice(i, j - i), chunk), chunk)
+                if len(owner):
+                    made = {"key": pa.array(keys[i:j][owner]), **{k: pa.array(v) for k, v in columns.items()}}
+                    yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+
+    return asked.select("key", "text", "runs").mapInArrow(run, schema)
+
+
+def core_hashes(asked: DataFrame, length: int) -> DataFrame:
+    """``key, core, first, last`` of short runs: windows whose distances to the anchor agree but for a remainder.
+
+    The core is what all windows of such a short run share; it lies alike in equal windows elsewhere.
+    """
+    step = max(1, min(STEP, length // 4))
+
+    def hashes(listed, chunk):
+        low, high = (listed.anchor - listed.last) // step, (listed.anchor - listed.first) // step
+        item, more = stretched(high - low + 1)
+        end = listed.anchor[item] - (low[item] + more) * step  # the last window of the short run
+        core = Rolling(chunk.data).of(end, end - step + 1 + length)
+        owner = listed.owner[item]
+        start = chunk.starts[owner]
+        first, last = np.maximum(listed.first[item], end - step + 1), np.minimum(listed.last[item], end)
+        return owner, {"core": core.view(np.int64), "first": (first - start).astype(np.int32), "last": (last - start).astype(np.int32)}
+
+    return over_lists(asked, "key long, core long, first int, last int", hashes)
+
+
+def window_hashes(asked: DataFrame, length: int) -> DataFrame:
+    """``key, window, at`` of every window in the listed runs."""
+
+    def hashes(listed, chunk):
+        item, more = stretched(listed.last - listed.first + 1)
+        at = listed.first[item] + more
+        owner = listed.owner[item]
+        window = Rolling(chunk.data).of(at, at + length)
+        return owner, {"window": window.view(np.int64), "at": (at - chunk.starts[owner]).astype(np.int32)}
+
+    return over_lists(asked, "key long, window long, at int", hashes)
+
 
-    return asked.select("key", "text", "runs").mapInArrow(run, "window long, key long, at int")
+def listed_runs(runs: DataFrame, *fields: str) -> DataFrame:
+    """``key, runs``: the runs of each text, which bounds their number."""
+    return written(runs.groupBy("key").agg(F.collect_list(F.struct(*fields)).alias("runs")), "runs")
 
 
 def repeated_spans(keyed: DataFrame, length: int, width: int) -> DataFrame:
@@ -137,14 +190,16 @@ def repeated_spans(keyed: DataFrame, length: int, width: int) -> DataFrame:
     anchors = tuples.groupBy("gram").agg(F.sum("weight").alias("uses")).where("uses > 1").select("gram")
     active = written(tuples.join(written(anchors, "anchors"), "gram"), "active")
     # one place of each stretch speaks for all of its places
-    one = F.min(F.struct("key", "first", "last")).alias("one")
+    one = F.min(F.struct("key", "first", "last", "anchor")).alias("one")
     stretches = written(active.groupBy("gram", "extent").agg(F.sum("weight").alias("uses"), one), "stretches")
     twice = stretches.where("uses > 1").select("gram", "extent")
     whole = active.join(twice, ["gram", "extent"]).select("key", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
     several = stretches.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("gram")
     unclear = stretches.join(several, "gram").select("one.*")
-    lists = written(unclear.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "unclear")
-    windows = written(window_hashes(with_lists(keyed, lists), length), "windows")
+    cores = written(core_hashes(with_lists(keyed, listed_runs(unclear, "first", "last", "anchor")), length), "cores")
+    open_cores = cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    still = listed_runs(cores.join(open_cores, "core"), "first", "last")
+    windows = written(window_hashes(with_lists(keyed, still), length), "windows")
     found = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
     single = windows.join(found, "window").select("key", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
     spans = F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")  # of one text, bounded by it
