@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -43,6 +44,43 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/tableprep/{label}-{uuid.uuid4().hex}"
 
 
+_made: list[list[str]] = []  # scratch folders made inside each open scratch_scope
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete what ``written`` makes inside the block when it ends, but for tables given to ``keep``.
+
+    ``with scratch_scope(spark) as keep: ...; result = keep(written(table, "result"))``
+    """
+    made: list[str] = []
+    _made.append(made)
+
+    def keep(df):
+        made.remove(df.scratch)
+        if len(_made) > 1:
+            _made[-2].append(df.scratch)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _made.remove(made)
+        for path in made:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder on any storage that Spark can reach."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def written(df, label: str):
     """Cut lineage: write the table to shared storage and read it back.
 
@@ -50,8 +88,12 @@ def written(df, label: str):
     jobs all see the same rows in the same files.
     """
     path = scratch_path(df.sparkSession, label)
+    if _made:
+        _made[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
 def together(*jobs: Callable[[], Any]) -> list[Any]:
