@@ -10,6 +10,7 @@ overlap any member of another group, and only groups whose bound qualifies are o
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableprep.llm.common import LOWER, NOT_SPACE, Chunk, Rolling, annotate, chunks, mix
-from tableprep.session import written
+from tableprep.session import scratch_scope, written
 
 WIDTH = 5  # words in a shingle
 # Similarity 3/4: sets x, y are linked when 4 * common >= 3 * (|x| + |y| - common).
 SAMPLE_DOCS = 10_000  # documents whose shingles tell which are frequent
 FREQUENT = 1_000_000  # most shingles remembered as frequent
+HUBS = 8  # foremost holders of a token that sets of other groups are held against
 SALTS = 64  # parts a frequent token's holders are dealt over
 BROADCAST_IDS = 2_000_000
 HASH_BITS = 57
@@ -73,8 +75,8 @@ class Order:
     def describe(self, values: np.ndarray) -> tuple[int, np.ndarray, int]:
         """A set's id, its prefix, and how many tokens of the prefix are rare; those come first.
 
-        The id starts with the share of rare tokens, so that the smallest id among similar sets is the
-        one that has least of its own: the text the others are copies of.
+        The id starts with the number of rare tokens, on a log scale, so that the smallest id among
+        similar sets is the one that has least of its own: the text the others are copies of.
         """
         n = len(values)
         ranks = self.ranks(values)
@@ -86,7 +88,8 @@ class Order:
             order = often[np.argsort(ranks[often], kind="stable")]
             prefix = np.concatenate([prefix, values[order[: size - len(prefix)]]])
         digest = int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little")
-        sid = (len(rare) * 62 // n) << HASH_BITS | (digest >> (64 - HASH_BITS))
+        own = min(63, int(8 * math.log2(1 + len(rare))))
+        sid = own << HASH_BITS | (digest >> (64 - HASH_BITS))
         return sid, prefix, min(size, len(rare))
 
 
@@ -111,7 +114,7 @@ def frequent_tokens(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Order:
 
 
 def set_table(docs: DataFrame, shared) -> DataFrame:
-    """``doc_id, n_shingles, sid, n_rare, prefix`` per document; no id where the set is empty."""
+    """``doc_id, key, n_shingles, sid, n_rare, prefix`` per document; no id where the set is empty."""
 
     def compute(texts):
         counts, sids, rare, prefixes = [], [], [], []
@@ -124,7 +127,7 @@ def set_table(docs: DataFrame, shared) -> DataFrame:
                 prefixes.append(prefix.view(np.int64))
         return [counts, sids, rare, lists_of(prefixes)]
 
-    made = annotate(docs.select("doc_id", "text"), "text", "n_shingles long, sid long, n_rare int, prefix array<long>", compute)
+    made = annotate(docs, "text", "n_shingles long, sid long, n_rare int, prefix array<long>", compute)
     return made.drop("text")
 
 
@@ -134,7 +137,7 @@ def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shared) -> DataFrame:
-    """``sid, n, tokens`` of the sets whose representing documents are ``wanted`` (``doc_id``)."""
+    """``sid, n, tokens`` of the sets whose representing texts are ``wanted`` (by ``key``)."""
 
     def compute(texts):
         sets = [values for _, _, chunk in chunks(texts) for values in shingle_sets(chunk)]
@@ -142,7 +145,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shared) -> DataFrame:
         return [sids, [len(values) for values in sets], lists_of([values.view(np.int64) for values in sets])]
 
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    chosen = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    chosen = docs.select("key", "text").join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
     sets = annotate(chosen, "text", "sid long, n int, tokens array<long>", compute).select("sid", "n", "tokens")
     return sets.where("sid IS NOT NULL")
 
@@ -187,7 +190,7 @@ def active_tokens(sets: DataFrame) -> DataFrame:
 def links_to(pairs: DataFrame, docs: DataFrame, representing: DataFrame, shared) -> DataFrame:
     """Those of the candidate pairs (``a, b``) whose sets are similar enough."""
     ids = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = written(ids.join(representing, "sid").select("doc_id"), "wanted")
+    wanted = written(ids.join(representing, "sid").select("key"), "wanted")
     sets = written(full_sets(docs, wanted, shared).dropDuplicates(["sid"]), "sets")
     left = sets.select(F.col("sid").alias("a"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens"))
     right = sets.select(F.col("sid").alias("b"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"))
@@ -221,42 +224,91 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def similar_pairs(active: DataFrame, docs: DataFrame, representing: DataFrame, shared) -> DataFrame:
-    """Links that connect exactly the sets connected by similarity: pairs ``a, b`` of set ids."""
-    # 1. every set against the leading sets of its tokens
-    stars = active.where("sid <> leader").groupBy(F.col("sid").alias("a"), F.col("leader").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.first("n").alias("a_n")
-    )
-    sizes = active.groupBy("sid").agg(F.first("n").alias("n"))
-    stars = stars.join(sizes.select(F.col("sid").alias("b"), F.col("n").alias("b_n")), "b")
-    likely = (F.col("shared") >= least_in_prefix(F.col("a_n"), F.col("b_n"))) & sizes_fit(F.col("a_n"), F.col("b_n"))
-    stars = written(stars.where(likely).select("a", "b"), "stars")
-    links = written(links_to(stars, docs, representing, shared), "links")
-    # 2. the matrix of tokens and groups; sets without a link are groups of their own
-    labels = components(links)
+def shared_tokens(met: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that share enough prefix tokens, from rows ``a, a_n, b, b_n`` per shared token."""
+    fitting = met.where(sizes_fit(F.col("a_n"), F.col("b_n")))
+    counted = fitting.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
+    return counted.where(F.col("shared") >= least_in_prefix(F.col("a_n"), F.col("b_n"))).select("a", "b")
+
+
+def in_groups(active: DataFrame, labels: DataFrame) -> DataFrame:
+    """``token, sid, n, label`` of tokens that several groups hold; a set without links is its own group."""
     grouped = active.select("token", "sid", "n").join(labels, "sid", "left")
     grouped = written(grouped.withColumn("label", F.coalesce("label", "sid")), "grouped")
     mixed = grouped.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    open_tokens = written(grouped.join(mixed.select("token"), "token", "left_semi"), "mixed")
-    matrix = open_tokens.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    return written(grouped.join(mixed.select("token"), "token", "left_semi"), "mixed")
+
+
+def to_hubs(mixed: DataFrame) -> DataFrame:
+    """Pairs of sets with the ``HUBS`` foremost holders of their tokens, where these are in other groups."""
+    foremost = F.row_number().over(Window.partitionBy("token").orderBy("sid"))
+    hubs = mixed.withColumn("at", foremost).where(F.col("at") <= HUBS)
+    hubs = hubs.select("token", F.col("sid").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"))
+    met = mixed.join(hubs, "token").where("label <> b_label")
+    return shared_tokens(met.select(F.col("sid").alias("a"), F.col("n").alias("a_n"), "b", "b_n"))
+
+
+def to_groups(mixed: DataFrame) -> DataFrame:
+    """Pairs of sets with the members of groups that the matrix of tokens and groups lets them open."""
+    matrix = mixed.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     matrix = matrix.select("token", F.col("label").alias("group"), "least", "most")
     n, least, most = F.col("n"), F.col("least"), F.col("most")
-    # 3. the bound on the overlap of a set and a group, smallest at an end of the group's sizes
-    met = open_tokens.join(matrix, "token").where((F.col("label") < F.col("group")) & (4 * most >= 3 * n) & (4 * n >= 3 * least))
+    met = mixed.join(matrix, "token").where((F.col("label") < F.col("group")) & (4 * most >= 3 * n) & (4 * n >= 3 * least))
     bounds = met.groupBy("sid", "group").agg(
         F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")
     )
+    # the bound on the overlap is smallest at an end of the group's sizes
     low, high = F.greatest(least, F.ceil(n * 3 / F.lit(4))), F.least(most, F.floor(n * 4 / F.lit(3)))
     bound = F.least(least_in_prefix(n, low), least_in_prefix(n, high)) - 1  # rounding may dip by one in between
     opened = written(bounds.where(F.col("shared") >= bound).select("sid", "group"), "opened")
-    # 4. members of opened groups, by the tokens they share with the query
-    asked = open_tokens.join(opened, "sid").select("token", F.col("sid").alias("a"), F.col("n").alias("a_n"), "group")
-    members = open_tokens.select("token", F.col("label").alias("group"), F.col("sid").alias("b"), F.col("n").alias("b_n"))
-    inside = asked.join(members, ["token", "group"]).where(sizes_fit(F.col("a_n"), F.col("b_n")))
-    counted = inside.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
-    pairs = counted.where(F.col("shared") >= least_in_prefix(F.col("a_n"), F.col("b_n"))).select("a", "b")
-    pairs = written(pairs, "pairs")
-    return links if pairs.isEmpty() else links.unionAll(links_to(pairs, docs, representing, shared))
+    asked = mixed.join(opened, "sid").select("token", F.col("sid").alias("a"), F.col("n").alias("a_n"), "group")
+    members = mixed.select("token", F.col("label").alias("group"), F.col("sid").alias("b"), F.col("n").alias("b_n"))
+    return shared_tokens(asked.join(members, ["token", "group"]))
+
+
+def similar_sets(active: DataFrame, docs: DataFrame, representing: DataFrame, shared) -> DataFrame:
+    """``sid, label`` of the sets that have links: sets connected by similarity share a label.
+
+    Every set is first held against the leading set of each of its tokens; sets that this leaves in
+    different groups, against a few foremost holders; what is then still apart, against all groups.
+    """
+    sizes = active.groupBy("sid").agg(F.first("n").alias("b_n")).withColumnRenamed("sid", "b")
+    stars = active.where("sid <> leader").groupBy(F.col("sid").alias("a"), F.col("leader").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.first("n").alias("a_n")
+    )
+    likely = (F.col("shared") >= least_in_prefix(F.col("a_n"), F.col("b_n"))) & sizes_fit(F.col("a_n"), F.col("b_n"))
+    pairs = written(stars.join(sizes, "b").where(likely).select("a", "b"), "stars")
+    links = written(links_to(pairs, docs, representing, shared), "links")
+    labels = components(links)
+    mixed = in_groups(active, labels)
+    for candidates in (to_hubs, to_groups):
+        pairs = written(candidates(mixed), "pairs")
+        if not pairs.isEmpty():
+            links = written(links.unionAll(links_to(pairs, docs, representing, shared)), "links")
+            labels = components(links)
+            mixed = in_groups(active, labels) if candidates is to_hubs else mixed
+    return labels
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, n_shingles, label, component_id, stays``: ``stays`` marks one text of each component."""
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(frequent_tokens(own))
+    with scratch_scope(spark) as keep:  # prefixes are many times larger than what comes of them
+        table = written(set_table(own, shared), "prefixes")
+        sets = keep(written(table.select("doc_id", "key", "n_shingles", "sid"), "sets"))
+        active = keep(written(active_tokens(table), "active"))
+    representing = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min("key").alias("key"))
+    with scratch_scope(spark) as keep:
+        labels = keep(written(similar_sets(active, own, representing, shared), "labels"))
+    named = sets.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("head")
+    heads = named.where("label IS NOT NULL").groupBy("label").agg(head, F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    first = F.coalesce(F.col("head.doc_id"), F.col("doc_id")).alias("component_id")
+    is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & F.col("key").eqNullSafe(F.col("head.key"))
+    met = named.join(heads.drop("rows"), "label", "left")
+    return met.select("doc_id", "key", "n_shingles", "label", first, (F.col("head").isNull() | is_head).alias("stays"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -268,31 +320,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows that repeat a doc_id are judged by their texts; null ids never name a component others are in.
     Other columns are not read.  Shingles are told apart by 64-bit hashes, sets by 57-bit ones.
     """
-    own = docs.select("doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_tokens(own))
-    table = written(set_table(own, shared), "sets")
-    sets = table.select("doc_id", "n_shingles", "sid")
-    representing = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    active = written(active_tokens(table), "active")
-    links = written(similar_pairs(active, own, representing, shared), "links")
-    named = sets.join(components(links), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    smallest = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
-    smallest = smallest.where("rows > 1").drop("rows")
-    return named.join(smallest, "label", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
+    return judged(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that name their component, with all columns: one of each group of near duplicates.
+    """One document of each component with all its columns: the one with the smallest doc_id.
 
-    Of rows that repeat a doc_id in one group one stays; null ids stay only where nothing else does.
+    Of rows that repeat it, id and text, one stays.  A component without any id keeps one text.  Empty
+    texts are components of their own and stay.
     """
-    judged = written(near_duplicates(docs), "near_duplicates")
-    gone = judged.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)")
-    gone = written(gone.select("doc_id").distinct(), "gone")
+    found = written(judged(docs), "near_duplicates")
+    gone = written(found.where("NOT stays").select("doc_id", "key").distinct(), "gone")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    met = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    repeated = judged.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return met
-    again = met["doc_id"].eqNullSafe(repeated["doc_id"])
-    return met.join(repeated, again, "left_anti").unionAll(met.join(repeated, again, "left_semi").dropDuplicates(["doc_id"]))
+    key = F.xxhash64(docs["text"])
+
+    def same(other: DataFrame) -> Column:
+        return docs["doc_id"].eqNullSafe(other["doc_id"]) & (key == other["key"])
+
+    left = docs.join(F.broadcast(gone) if few else gone, same(gone), "left_anti")
+    again = found.where("stays AND label IS NOT NULL").groupBy("doc_id", "key").count().where("count > 1")
+    again = written(again.select("doc_id", "key"), "again")
+    if again.isEmpty():
+        return left
+    once = left.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, same(again), "left_anti").unionAll(once)

@@ -160,9 +160,10 @@ def chained(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed,sample", [(1, 20_000), (2, 20_000), (3, 0), (4, 25)])
-def test_components(spark, monkeypatch, seed, sample):
+@pytest.mark.parametrize("seed,sample,hubs", [(1, 20_000, 8), (2, 20_000, 0), (3, 0, 0), (4, 25, 1)])
+def test_components(spark, monkeypatch, seed, sample, hubs):
     monkeypatch.setattr(jaccard.frequent_tokens, "__defaults__", (sample,))
+    monkeypatch.setattr(jaccard, "HUBS", hubs)
     texts = corpus(seed) if seed == 1 else chained(seed)
     out = {r["doc_id"]: r for r in jaccard.near_duplicates(frame(spark, texts)).collect()}
     sets = [shingles(t) for t in texts]
