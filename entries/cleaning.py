@@ -13,7 +13,9 @@ from tableprep.operators.features import engineer, plan_features, profile_featur
 from tableprep.operators.ordered import forward_fill
 from tableprep.operators.outliers import detect_outliers, plan_outliers, treat_column, treat_outliers
 from tableprep.plans import decide
-from tableprep.plans.prepare import prepare, registry_row
+from tableprep.plans.prepare import PreparationPlan, prepare, registry_row
+from tableprep.plans.store import load_plan, save_plan
+from tableprep.session import scratch_path
 
 # ---------------------------------------------------------------- missing values
 
@@ -405,6 +407,35 @@ def encode_label_wide(spark, sf_dir):
     return feats.encode_labels(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "text", small=0)
 
 
+@query(
+    "encode_label_many",
+    "SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS o_orderstatus, "
+    "dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS o_orderpriority, "
+    "dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS customer, "
+    "dense_rank() OVER (ORDER BY strftime(o_orderdate, '%Y-%m-%d')) - 1 AS day FROM orders",
+)
+def encode_label_many(spark, sf_dir):
+    # Four columns on the route for large dictionaries, hot values among them; the table is read once.
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_orderstatus", "o_orderpriority", "CAST(o_custkey AS STRING) AS customer",
+        "date_format(o_orderdate, 'yyyy-MM-dd') AS day",
+    )
+    return feats.encode_labels(orders, ["o_orderstatus", "o_orderpriority", "customer", "day"], small=0)
+
+
+@query(
+    "forward_fill_long_keys",
+    "SELECT doc_id, last_value(n_chars IGNORE NULLS) OVER (ORDER BY k, doc_id) AS n_chars FROM (SELECT doc_id, "
+    "repeat('same start ', 40) || text AS k, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE n_chars END AS n_chars FROM documents)",
+)
+def forward_fill_long_keys(spark, sf_dir):
+    # Keys that differ only after hundreds of characters still spread over many ranges.
+    docs = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "concat(repeat('same start ', 40), text) AS k", gap("doc_id % 4 = 0", "n_chars")
+    )
+    return forward_fill(docs, ["n_chars"], ["k", "doc_id"], rows_per_range=100).select("doc_id", "n_chars")
+
+
 @query(
     "scale_standard",
     "SELECT event_id, round((value - m) / s, 6) AS value FROM events, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events)",
@@ -539,22 +570,31 @@ def feature_log(spark, sf_dir):
 
 
 # Fitted on the orders with a price gap, applied to all orders.
-FIT = Derived("orders", ["o_orderkey", "o_totalprice", "CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS o_orderpriority"])
+FIT = Derived(
+    "orders",
+    ["o_orderkey", "o_totalprice", "o_orderstatus", "CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS o_orderpriority"],
+)
 
 
 @query(
     "apply_fitted",
-    f"WITH d AS ({FIT.sql}) SELECT o_orderkey, round((o_totalprice - (SELECT avg(o_totalprice) FROM d)) / (SELECT stddev_pop(o_totalprice) FROM d), 6) AS o_totalprice, "
+    f"WITH d AS ({FIT.sql}), codes AS (SELECT o_orderstatus AS status, row_number() OVER (ORDER BY o_orderstatus) - 1 AS code FROM "
+    "(SELECT DISTINCT o_orderstatus FROM d)) SELECT o_orderkey, round((o_totalprice - (SELECT avg(o_totalprice) FROM d)) / "
+    "(SELECT stddev_pop(o_totalprice) FROM d), 6) AS o_totalprice, code AS o_orderstatus, "
     + ", ".join(f"o_orderpriority = '{v}' AS \"o_orderpriority_{v}\"" for v in ONE_HOT_NAMES)
-    + " FROM orders",
+    + " FROM orders LEFT JOIN codes ON o_orderstatus = status",
 )
 def apply_fitted(spark, sf_dir):
-    fitted = feats.FeaturePlan(
-        one_hot=feats.fit_one_hot(FIT.frame(spark, sf_dir), ["o_orderpriority"]),
-        scales=feats.fit_scales(FIT.frame(spark, sf_dir), {"o_totalprice": "standard"}),
+    fit_on = FIT.frame(spark, sf_dir)
+    features = feats.FeaturePlan(
+        one_hot=feats.fit_one_hot(fit_on, ["o_orderpriority"]),
+        labels=feats.fit_labels(fit_on, ["o_orderstatus"]),
+        scales=feats.fit_scales(fit_on, {"o_totalprice": "standard"}),
     )
-    out = fitted.apply(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"))
-    return rounded(out, "o_totalprice")
+    # through storage, as another application would get it
+    plan = load_plan(spark, save_plan(spark, PreparationPlan(features=features), scratch_path(spark, "plan")))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    return rounded(plan.apply(orders), "o_totalprice")
 
 
 # ---------------------------------------------------------------- whole chain

@@ -213,6 +213,26 @@ def _describe_sql(source: str, columns: list[str]) -> str:
     return union_all(parts)
 
 
+def _dates_sql(table_name: str, column: str) -> str:
+    at = f"epoch_us({column}) / 1e6"
+    facts = {
+        "mean": f"avg({at})", "min": f"min({at})", "25%": f"quantile_cont({at}, 0.25)", "50%": f"quantile_cont({at}, 0.5)",
+        "75%": f"quantile_cont({at}, 0.75)", "max": f"max({at})",
+    }
+    rows = [f"SELECT '{column}' AS column_name, 'count' AS stat, count({column}) AS n, NULL::TIMESTAMP AS value FROM {table_name}"]
+    rows += [
+        f"SELECT '{column}', '{stat}', NULL, TIMESTAMP '1970-01-01' + to_seconds(round_even({e}, 0)::BIGINT) FROM {table_name}"
+        for stat, e in facts.items()
+    ]
+    return union_all(rows)
+
+
+@query("describe_dates", union_all([_dates_sql("events", "ts"), _dates_sql("orders", "o_orderdate")]))
+def describe_dates(spark, sf_dir):
+    parts = [charts.describe_dates(table(spark, sf_dir, name)) for name in ("events", "orders")]
+    return parts[0].unionAll(parts[1]).withColumnRenamed("column", "column_name")
+
+
 @query("describe", D + _describe_sql("d", GAPPY_NUMBERS))
 def describe(spark, sf_dir):
     df = GAPPY.frame(spark, sf_dir)

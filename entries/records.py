@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from entries.common import GAPPY, ORACLES, query, rounded, table, union_all
 from tableprep.operators import advice, rate
-from tableprep.operators.clean import plan_cleaning
+from tableprep.operators.clean import clean, plan_cleaning
 from tableprep.operators.outliers import plan_outliers
-from tableprep.plans.prepare import prepare
+from tableprep.plans.prepare import prepare, prepare_dataset
 from tableprep.session import scratch_path
 from tableprep.sources import registry
 from tableprep.sources.synth import synth_columns
 from tableprep.sources.tables import (
-    MAX_COLUMNS,
-    MAX_ROWS,
     dataset_name,
     location,
     read_any,
@@ -25,6 +23,7 @@ from tableprep.sources.tables import (
     table_shape,
     write_table,
 )
+from tableprep.sources.tables import validate_shape as check_shape
 from tableprep.streaming.apply import apply_to_stream, file_stream, intake, write_stream
 from tableprep.streaming.rate import ROCKSDB, admit_stream, rate_windows
 
@@ -105,11 +104,58 @@ SHAPES = {"lineitem": 11, "orders": 6, "events": 6, "documents": 5, "embeddings"
 def validate_shape(spark, sf_dir):
     rows = []
     for name in SHAPES:
-        n, k = table_shape(table(spark, sf_dir, name))
-        rows.append((name, n, k, n <= MAX_ROWS and k <= MAX_COLUMNS))
+        df = table(spark, sf_dir, name)
+        try:
+            check_shape(df)
+            accepted = True
+        except ValueError:
+            accepted = False
+        rows.append((name, *table_shape(df), accepted))
     return spark.createDataFrame(rows, "table_name string, row_count bigint, column_count int, accepted boolean")
 
 
+@query(
+    "read_csv_quoted",
+    "SELECT doc_id, text, n_chars FROM documents WHERE trim(text) <> '' UNION ALL "
+    "SELECT doc_id + 1000000000, lang, n_chars FROM documents WHERE trim(text) <> ''",
+)
+def read_csv_quoted(spark, sf_dir):
+    # Texts with line breaks and quotes in some files, plain ones in others; only the former are read unsplit.
+    docs = table(spark, sf_dir, "documents").filter("trim(text) <> ''")
+    path = scratch_path(spark, "quoted")
+    write_table(docs.select("doc_id", "text", "n_chars"), f"{path}/broken.csv", "csv")
+    write_table(docs.selectExpr("doc_id + 1000000000 AS doc_id", "lang AS text", "n_chars"), f"{path}/plain.csv", "csv")
+    return read_csv(spark, f"{path}/*.csv")
+
+
+@query(
+    "read_json_dates",
+    "SELECT event_id, date_trunc('second', ts) AS created_at, CASE WHEN event_id % 2 = 0 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d') END AS date, "
+    "strftime(ts, '%Y-%m-%d') AS day FROM events",
+)
+def read_json_dates(spark, sf_dir):
+    # Only a column with a telling name whose every value is a moment becomes one.
+    texts = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS created_at",
+        "CASE WHEN event_id % 2 = 0 THEN 'soon' ELSE date_format(ts, 'yyyy-MM-dd') END AS date", "date_format(ts, 'yyyy-MM-dd') AS day",
+    )
+    read = read_json(spark, write_table(texts, scratch_path(spark, "dates"), "json"))
+    return read.select("event_id", "created_at", "date", "day")
+
+
+@query("read_json_columns", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def read_json_columns(spark, sf_dir):
+    # One object of columns, each an object of cells by row label.
+    cells = table(spark, sf_dir, "nation").select(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("r"))
+
+    def by_row(column):
+        return F.map_from_entries(F.transform("r", lambda x: F.struct(x["n_nationkey"].cast("string"), x[column]))).alias(column)
+
+    columns = [by_row(c) for c in ("n_nationkey", "n_name", "n_regionkey")]
+    path = write_table(cells.select(*columns).coalesce(1), scratch_path(spark, "columns"), "json")
+    return read_json(spark, path)
+
+
 _NAMED = """WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, 'https://files.example.org/data/' || page_id || '/set.v' || page_id || '.csv?sig=a/b.json' FROM pages
 UNION ALL SELECT page_id + 2000000, 'https://files.example.org/index.json' FROM pages UNION ALL SELECT page_id + 3000000, 'plain.csv' FROM pages)"""
 
@@ -400,6 +446,30 @@ def registry_latest(spark, sf_dir):
     return registry.latest(first.unionAll(later)).select("id", "status", F.col("rows").alias("row_count"))
 
 
+@query(
+    "prepare_dataset_twice",
+    "SELECT 'events' AS id, 'completed' AS status, (SELECT count(*) FROM events) AS row_count, 1 AS completed_versions, 1 AS log_rows, "
+    "(SELECT count(*) FROM events) AS table_rows",
+)
+def prepare_dataset_twice(spark, sf_dir):
+    # Two runs of one dataset: the latest completed version counts, with its own log rows and table.
+    root = scratch_path(spark, "registry")
+    row = spark.createDataFrame([("events", "u", "fast", "uploaded", f"{sf_dir}/events.parquet")], "id string, userId string, mode string, status string, rawUrl string")
+    registry.append(row, "Dataset", root)
+    for _ in range(2):
+        result = prepare_dataset(spark, root, "events", f"{root}-store", charts=False)
+    versions = registry.read(spark, "Dataset", root)
+    logs = registry.current_logs(registry.read(spark, "OutlierLog", root), versions)
+    last = registry.latest(versions.filter("status = 'completed'"))
+    return last.select("id", "status", F.col("rows").alias("row_count")).withColumns(
+        {
+            "completed_versions": F.lit(last.count()).cast("int"),
+            "log_rows": F.lit(logs.count()).cast("int"),
+            "table_rows": F.lit(read_table(spark, last.first()["cleanedUrl"]).count()).cast("bigint"),
+        }
+    )
+
+
 @query(
     "registry_location",
     f"""SELECT id, coalesce("rawUrl", CASE WHEN "rawDataPath" LIKE 'data/%' THEN "rawDataPath" ELSE 'data/' || "rawDataPath" END) AS location FROM ({DATASETS})""",
@@ -604,13 +674,20 @@ def stream_prepare(spark, sf_dir):
     return rounded(_run(spark, apply_to_stream(moving, plan), "prepared"), "value")
 
 
-@query("stream_intake", f"SELECT id, status, mode FROM ({DATASETS})")
+@query(
+    "stream_intake",
+    f"""WITH d AS (SELECT id, mode, CASE WHEN rows % 3 = 0 THEN NULL ELSE rows END AS n FROM ({DATASETS}))
+SELECT id, mode, coalesce(n, (SELECT round_even(CASE WHEN (SELECT (quantile_cont(n, 0.75) - quantile_cont(n, 0.25)) / (max(n) - min(n)) FROM d) < 0.3
+THEN (SELECT median(n) FROM d) ELSE (SELECT avg(n) FROM d) END, 0)::BIGINT)) AS n FROM d""",
+)
 def stream_intake(spark, sf_dir):
+    # Every batch is profiled and cleaned like a table of its own; the second delivery finds nothing new.
     path = scratch_path(spark, "intake")
     for delivery in ("first", "again"):
         arriving = _stream(spark, sf_dir, "orders").selectExpr(*[c.replace('"', "`") for c in _DATASET])
-        intake(arriving.select("id", "status", "mode"), "id", lambda b: b, path, f"{path}-{delivery}").awaitTermination()
-    return spark.read.schema("id string, status string, mode string").parquet(f"{path}/batch=*")
+        slim = arriving.selectExpr("id", "mode", "CASE WHEN rows % 3 = 0 THEN NULL ELSE CAST(rows AS BIGINT) END AS n")
+        intake(slim, "id", lambda batch: clean(batch)[0], path, f"{path}-{delivery}").awaitTermination()
+    return spark.read.schema("id string, mode string, n bigint").parquet(f"{path}/batch=*")
 
 
 @query(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.functions.exprs import bin_edges, histogram_bin
-from tableprep.functions.types import as_double, dtype_of, nan_to_null, number_columns
+from tableprep.functions.types import as_double, col, dtype_of, kind_of, nan_to_null, number_columns
 from tableprep.operators import frequencies
 from tableprep.operators.profile import SMALL_TABLE_ROWS, ColumnStats, Profile, profile
 from tableprep.plans.decide import top_variance, useful_categories
@@ -26,6 +26,8 @@ COUNT_PLOT_VALUES = 20
 PAIRS_PER_JOB = 600
 SMALL_PAIRS_PER_JOB = 60
 SIDE_BY_SIDE = 6
+ROWS_PER_PRODUCT = 2048
+PRODUCTS = ("n", "x", "y", "xx", "yy", "xy")
 
 
 @dataclass
@@ -102,8 +104,8 @@ def boxplot(df: DataFrame, stats: list[ColumnStats]) -> DataFrame:
 def correlation(df: DataFrame, stats: Profile | None = None) -> DataFrame | None:
     """Pearson matrix in long form ``(x, y, r)`` over pairwise complete rows; None below two numbers.
 
-    A pair with a constant side has no correlation (null), also on the diagonal.  All pairs share
-    one aggregate up to a limit on its width.
+    A pair with a constant side has no correlation (null), also on the diagonal.  The table is read
+    once: a few pairs are one generated aggregate, many are products of Arrow batches.
     """
     df = nan_to_null(df)
     names = number_columns(df)
@@ -139,14 +141,51 @@ def correlation(df: DataFrame, stats: Profile | None = None) -> DataFrame | None
                 r = row[f"xy{i}"] / stats[a].rows / (stats[a].std_pop * stats[b].std_pop)
             out[a, b] = out[b, a] = r
 
-    size = PAIRS_PER_JOB
-    if stats.rows <= SMALL_TABLE_ROWS:
-        size = min(size, max(SMALL_PAIRS_PER_JOB, math.ceil(len(pairs) / SIDE_BY_SIDE)))
-    chunks = [pairs[i : i + size] for i in range(0, len(pairs), size)]
-    together(*[partial(some_pairs, chunk) for chunk in chunks])
+    if len(pairs) <= PAIRS_PER_JOB:
+        size = PAIRS_PER_JOB
+        if stats.rows <= SMALL_TABLE_ROWS:
+            size = min(size, max(SMALL_PAIRS_PER_JOB, math.ceil(len(pairs) / SIDE_BY_SIDE)))
+        chunks = [pairs[i : i + size] for i in range(0, len(pairs), size)]
+        together(*[partial(some_pairs, chunk) for chunk in chunks])
+    else:
+        moving = [i for i, n in enumerate(names) if not stats[n].constant]
+        for row in product_sums(centred.select(*[f"d{i}" for i in moving])).collect():
+            a, b = names[moving[row["i"]]], names[moving[row["j"]]]
+            out[a, b] = out[b, a] = _pearson(*[row[k] for k in ("n", "x", "y", "xx", "yy", "xy")])
     return df.sparkSession.createDataFrame([(a, b, out[a, b]) for a in names for b in names], "x string, y string, r double")
 
 
+def product_sums(df: DataFrame) -> DataFrame:
+    """``(i, j, n, x, y, xx, yy, xy)`` for all pairs of columns ``i < j``, over rows where both have values.
+
+    One scan: every task multiplies its batches as matrices and sends one row per pair.
+    """
+    width = len(df.columns)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        n, x, xx, xy = (np.zeros((width, width)) for _ in range(4))
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_PER_PRODUCT):
+                part = batch.slice(start, ROWS_PER_PRODUCT)
+                values = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in part.columns], axis=1)
+                there = (~np.isnan(values)).astype(float)
+                values = np.nan_to_num(values)
+                n += there.T @ there
+                x += values.T @ there
+                xx += (values * values).T @ there
+                xy += values.T @ values
+        i, j = np.triu_indices(width, 1)
+        sums = [n[i, j], x[i, j], x[j, i], xx[i, j], xx[j, i], xy[i, j]]
+        columns = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *map(pa.array, sums)]
+        yield pa.RecordBatch.from_arrays(columns, names=["i", "j", *PRODUCTS])
+
+    sums = df.mapInArrow(run, "i int, j int, " + ", ".join(f"{k} double" for k in PRODUCTS))
+    return sums.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in PRODUCTS])
+
+
 def _pearson(n: float | None, x: float, y: float, xx: float, yy: float, xy: float) -> float | None:
     """From sums over the rows where both sides have a value; no spread on a side, no correlation."""
     if not n:
@@ -178,6 +217,32 @@ def describe(df: DataFrame, stats: Profile) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, stat string, value double")
 
 
+def describe_dates(df: DataFrame) -> DataFrame:
+    """``(column, stat, value)``: count, mean, min, quartiles and max of date and time columns.
+
+    Moments are to the second; the count stands in ``n`` and the other statistics in ``value``.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields if kind_of(f.dataType) == "datetime"}
+    schema = "column string, stat string, n bigint, value timestamp_ntz"
+    if not kinds:
+        return df.sparkSession.createDataFrame([], schema)
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    seconds = [
+        F.timestamp_diff("MICROSECOND", epoch, col(c).cast("timestamp_ntz")).cast("double").alias(f"c{i}") / 1e6
+        for i, c in enumerate(kinds)
+    ]
+    numbers = df.select(*[e.alias(f"c{i}") for i, e in enumerate(seconds)])
+    stats = profile(numbers, numbers.columns)
+    rows = []
+    for name, s in zip(kinds, stats):
+        rows.append((name, "count", s.filled, None))
+        facts = {"mean": s.mean, "min": s.low, "25%": s.q1, "50%": s.median, "75%": s.q3, "max": s.high}
+        rows += [(name, stat, None, None if v is None else float(round(v))) for stat, v in facts.items()]
+    found = df.sparkSession.createDataFrame(rows, "column string, stat string, n bigint, seconds double")
+    moment = F.timestamp_add("SECOND", F.col("seconds").cast("bigint"), epoch)
+    return found.select("column", "stat", "n", moment.alias("value"))
+
+
 def sample_statistics(df: DataFrame, stats: Profile | None = None, k: int = 5) -> DataFrame:
     """``(column, stat, item, value)``: mean, std, min, max of numbers; distinct count and top values of the rest."""
     df = nan_to_null(df)

@@ -30,10 +30,10 @@ from tableprep.session import together, written
 
 LOG_SCHEMA = "seq int, action string, details string"
 MISSING_LABEL = "nan"
-MAX_ONE_HOT = 2_000
 SMALL_DICTIONARY = 50_000
 SMALL_DICTIONARY_BYTES = 32 * 1024 * 1024
 HOT_SHARE = 0.001
+SPREAD = 4096
 
 # The age buckets.
 AGE_COLUMN = "Age"
@@ -65,8 +65,9 @@ class LabelCodes:
     """Codes 0..k-1 by sorted text; missing values count as the text ``nan``.
 
     A small dictionary is broadcast.  A large one is keyed by short texts or digests and joined by
-    shuffle, apart from its frequent values (each on at least a thousandth of the rows, so a bounded
-    list), which are broadcast: no task then receives all rows of one hot value.
+    shuffle.  Its frequent values (each on at least a thousandth of the rows, so a bounded list) get
+    their codes from a broadcast beforehand and go through the shuffle under spread keys that match
+    nothing: no task then receives all rows of one hot value, and the input is read once.
     """
 
     column: str
@@ -77,25 +78,24 @@ class LabelCodes:
     def apply(self, df: DataFrame) -> DataFrame:
         text = F.coalesce(col(self.column).cast("string"), F.lit(MISSING_LABEL))
         label = text if self.small else frequencies.short_key(text)
+        others = [col(c) for c in df.columns if c != self.column]
         # The text itself is not needed past this point and does not travel through the join.
-        rest = df.select(*[col(c) for c in df.columns if c != self.column], label.alias("__label"))
+        rest = df.select(*others, label.alias("__label"))
+        codes = self.dictionary.select(F.col("label").alias("__label"), F.col("code").alias("__code"))
         if self.small:
-            out = self._joined(rest, F.broadcast(self.dictionary))
-        elif df.isStreaming or not self.hot:
-            out = self._joined(rest, self.dictionary)
+            out = rest.join(F.broadcast(codes), "__label", "left")
+        elif not self.hot:
+            out = rest.join(codes, "__label", "left")
         else:
-            is_hot = F.col("__label").isin(self.hot)
-            hot_codes = F.broadcast(self.dictionary.filter(F.col("label").isin(self.hot)))
-            out = self._joined(rest.filter(~is_hot), self.dictionary).unionAll(
-                self._joined(rest.filter(is_hot), hot_codes)
-            )
+            hot = codes.filter(F.col("__label").isin(self.hot)).withColumnRenamed("__code", "__hot")
+            met = rest.join(F.broadcast(hot), "__label", "left")
+            spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*others, F.lit(7)), F.lit(SPREAD)).cast("string"))
+            keyed = met.withColumn("__label", F.when(F.col("__hot").isNull(), F.col("__label")).otherwise(spread))
+            cold = codes.withColumn("__cold", F.lit(True))
+            matched = keyed.withColumn("__cold", F.col("__hot").isNull()).join(cold, ["__label", "__cold"], "left")
+            out = matched.withColumn("__code", F.coalesce("__hot", "__code"))
         return out.select(*[(F.col("__code").alias(c) if c == self.column else col(c)) for c in df.columns])
 
-    @staticmethod
-    def _joined(df: DataFrame, dictionary: DataFrame) -> DataFrame:
-        codes = dictionary.select(F.col("label").alias("__label"), F.col("code").alias("__code"))
-        return df.join(codes, "__label", "left")
-
 
 @dataclass
 class Scale:
@@ -168,21 +168,24 @@ class FeaturePlan:
         return spark.createDataFrame([(i, *row) for i, row in enumerate(self.log)], LOG_SCHEMA)
 
 
-def fit_one_hot(df: DataFrame, columns: Sequence[str]) -> list[OneHot]:
+def fit_one_hot(df: DataFrame, columns: Sequence[str], most: int | None = None) -> list[OneHot]:
     """Sorted values of each column, all columns of one type in one job.
 
-    Every value becomes a column, so a column with too many of them is refused, not shortened.
+    Every value becomes a column.  With ``most``, a column with more values than that is refused, and no
+    more than that travel to the driver.
     """
     found: dict[str, list[str]] = {c: [] for c in columns}
     by_value = Window.partitionBy("slot").orderBy("value")
     for _, names, counts in frequencies.value_counts(df, columns):
-        # One value above the limit is enough to refuse; the rank filter is applied before the shuffle.
-        listed = counts.withColumn("at", F.row_number().over(by_value)).filter(F.col("at") <= MAX_ONE_HOT + 1)
+        listed = counts.withColumn("at", F.row_number().over(by_value))
+        if most is not None:
+            # One value above the limit is enough to refuse; the rank filter is applied before the shuffle.
+            listed = listed.filter(F.col("at") <= most + 1)
         for row in listed.select("slot", "at", F.col("value").cast("string").alias("text")).collect():
             found[names[int(row["slot"][1:])]].append((row["at"], row["text"]))
-    wide = [c for c, values in found.items() if len(values) > MAX_ONE_HOT]
+    wide = [c for c, values in found.items() if most is not None and len(values) > most]
     if wide:
-        raise ValueError(f"one-hot of {wide} would add more than {MAX_ONE_HOT} columns; use label codes")
+        raise ValueError(f"one-hot of {wide} would add more than {most} columns; use label codes")
     return [OneHot(c, dtype_of(df, c).simpleString(), [v for _, v in sorted(found[c])]) for c in columns]
 
 
@@ -192,8 +195,8 @@ def fit_labels(
     """The dictionaries of several columns.
 
     Up to ``small`` values a dictionary is collected and becomes a literal table; all of those share
-    two jobs.  Beyond that it stays distributed: values are numbered range by range and the result is
-    written once.
+    two jobs, and their bytes together stay below a bound.  Other dictionaries stay distributed: values
+    are numbered range by range and the result is written once.
     """
     if not columns:
         return []
@@ -207,7 +210,7 @@ def fit_labels(
     )
     totals = [F.count(F.lit(1)).alias("labels"), F.sum("bytes").alias("bytes"), F.sum("n").alias("rows")]
     sizes = {r["slot"]: r for r in keyed.groupBy("slot").agg(*totals).collect()}
-    little = [s for s in slots if s not in sizes or _fits(sizes[s], small)]
+    little = _smallest(slots, sizes, small)
     labels: dict[str, list[str]] = {s: [] for s in little}
     if little:
         for r in long.filter(F.col("slot").isin(little)).distinct().collect():
@@ -223,8 +226,17 @@ def fit_labels(
     return out
 
 
-def _fits(size, small: int) -> bool:
-    return size["labels"] <= small and size["bytes"] <= SMALL_DICTIONARY_BYTES
+def _smallest(slots: list[str], sizes: dict, small: int) -> list[str]:
+    """Columns whose dictionaries have few labels and, smallest first, fit the driver together."""
+    room, out = SMALL_DICTIONARY_BYTES, []
+    for slot in sorted(slots, key=lambda s: sizes[s]["bytes"] if s in sizes else 0):
+        size = sizes.get(slot)
+        if size is None:
+            out.append(slot)
+        elif size["labels"] <= small and size["bytes"] <= room:
+            out.append(slot)
+            room -= size["bytes"]
+    return out
 
 
 def _large_labels(texts: DataFrame, column: str, rows: int, rows_per_range: int) -> LabelCodes:
@@ -353,14 +365,16 @@ def engineer(df: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     return plan.apply(df), plan.log_frame(df.sparkSession)
 
 
-def encode_one_hot(df: DataFrame, column: str) -> DataFrame:
+def encode_one_hot(df: DataFrame, column: str, most: int | None = None) -> DataFrame:
     df = nan_to_null(df)
-    return FeaturePlan(one_hot=fit_one_hot(df, [column])).apply(df)
+    return FeaturePlan(one_hot=fit_one_hot(df, [column], most)).apply(df)
 
 
-def encode_labels(df: DataFrame, column: str, **options) -> DataFrame:
+def encode_labels(df: DataFrame, column: str | Sequence[str], **options) -> DataFrame:
+    """Label codes of one column or of several."""
     df = nan_to_null(df)
-    return FeaturePlan(labels=fit_labels(df, [column], **options)).apply(df)
+    columns = [column] if isinstance(column, str) else list(column)
+    return FeaturePlan(labels=fit_labels(df, columns, **options)).apply(df)
 
 
 def scale(df: DataFrame, column: str, method: str) -> DataFrame:

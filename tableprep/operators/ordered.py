@@ -22,26 +22,33 @@ from tableprep.functions.types import MOMENTS, col, dtype_of, is_number, is_text
 from tableprep.operators.frequencies import short_key
 
 ROWS_PER_RANGE = 2_000_000
-MAX_RANGES = 4096
 SAMPLES_PER_RANGE = 32
-POINT_CHARACTERS = 256
+POINT_BYTES = 64 * 1024 * 1024  # of all split points together
 RANGE = "__range"
 
 
 def split_points(df: DataFrame, by: Sequence[str], rows_per_range: int) -> list[dict]:
-    """Sampled split points over ``by``, as the JSON objects they are; empty when one range is enough."""
+    """Sampled split points over ``by``, as the JSON objects they are; empty when one range is enough.
+
+    Points are whole keys, however long their common start; there are as many as the rows ask for, as
+    long as all of them together fit the driver.
+    """
     rows = df.count()
-    ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range))
+    ranges = math.ceil(rows / rows_per_range)
     if ranges <= 1:
         return []
     share = min(1.0, ranges * SAMPLES_PER_RANGE / rows)
     keys = [col(c) for c in by]
-    # Any constants in order will do as points, so long texts need not be kept whole in them.
-    short = [F.substring(col(c), 1, POINT_CHARACTERS) if is_text(dtype_of(df, c)) else col(c) for c in by]
-    point = F.to_json(F.struct(*[e.alias(c) for e, c in zip(short, by)]), {"ignoreNullFields": "false"})
-    sample = df.select(*keys).sample(False, share, 11).orderBy(*keys).select(point.alias("point")).collect()
-    step = max(1, len(sample) // ranges)
-    return [json.loads(p) for p in dict.fromkeys(row["point"] for row in sample[step::step])]
+    point = F.struct(*[e.alias(c) for e, c in zip(keys, by)])
+    # The least sampled key of each of so many ranges; one key per range leaves the executors.
+    sample = df.select(*keys).sample(False, share, 11).repartitionByRange(ranges, *keys)
+    firsts = sample.groupBy(F.spark_partition_id().alias("__part")).agg(F.min(point).alias("point"))
+    text = F.to_json("point", {"ignoreNullFields": "false"})
+    found = firsts.select("__part", text.alias("point"), F.octet_length(text).alias("bytes"))
+    total = found.agg(F.sum("bytes")).first()[0] or 0
+    thin = math.ceil(total / POINT_BYTES) or 1
+    kept = found.filter(F.col("__part") % thin == 0).orderBy("__part").select("point").collect()
+    return [json.loads(p) for p in dict.fromkeys(row["point"] for row in kept[1:])]
 
 
 def with_range(df: DataFrame, by: Sequence[str], splits: list[dict]) -> DataFrame:

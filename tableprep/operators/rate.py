@@ -117,10 +117,10 @@ def admission(
     """Add ``admitted``: a request is admitted while fewer than ``limit`` admitted ones lie in its window.
 
     A request with fewer than ``limit`` requests of any kind before it is admitted in every case.
-    Only the others, each with the window before it, need to be replayed in order.  They fall into
-    episodes separated by at least one window, and episodes are replayed independently.  Spark sorts
-    an episode; the replay reads it as a stream of batches and keeps at most ``limit`` times, so no
-    group is held in memory.  One user who stays over the limit without a pause is one episode.
+    Only the others need to be replayed in order, each with the window before it.  Where two of them are
+    a window or more apart, all that could matter in between is admitted, so the state is known there:
+    the episodes between such places are replayed independently.  Spark sorts an episode; the replay
+    reads it as a stream of batches and keeps at most ``limit`` times, so no group is held in memory.
     """
     width = window_seconds * MICROS
     counted, splits = _windowed(df, user, ts, tie, window_seconds, rows_per_range, False)
@@ -137,9 +137,16 @@ def admission(
     contested = F.coalesce(F.col("__doubt") - F.col("__t") < width, F.lit(False))
     calm = ahead.filter(~contested).select(*[col(c) for c in df.columns], F.lit(True).alias("admitted"))
     doubtful = running(
-        ahead.filter(contested), [user], ["__t", tie], previous={"__before": F.col("__t")}, **shared
+        ahead.filter(contested),
+        [user],
+        ["__t", tie],
+        previous={"__before": F.when(~sure, F.col("__t")), "__after_sure": sure},
+        **shared,
     )
-    starts = F.when(F.coalesce(F.col("__t") - F.col("__before") < width, F.lit(False)), 0).otherwise(1)
+    # The first contested request behind a doubtful one (or of all), when the next doubtful one is far.
+    first = ~F.coalesce(F.col("__after_sure"), F.lit(False))
+    apart = ~F.coalesce(F.col("__doubt") - F.col("__before") < width, F.lit(False))
+    starts = F.when(first & apart, 1).otherwise(0)
     episodes = staged(
         running(doubtful, [user], ["__t", tie], sums={"__episode": starts}, **shared), "episodes"
     ).select(*[col(c) for c in df.columns], "__t", "__episode", sure.alias("__sure"))

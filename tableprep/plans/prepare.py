@@ -7,8 +7,9 @@ less than caching a large table.  Only a forward fill, which shuffles, is writte
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +22,9 @@ from tableprep.operators.features import FeaturePlan, plan_features
 from tableprep.operators.outliers import OutlierPlan, plan_outliers
 from tableprep.operators.profile import Profile, profile
 from tableprep.plans.decide import MODES, Suggestions
-from tableprep.session import together, written
+from tableprep.session import scratch_scope, together, written
 from tableprep.sources import registry
-from tableprep.sources.tables import first_readable, write_table
+from tableprep.sources.tables import first_readable, is_text_source, read_table, write_table
 
 REPORT_ERROR = "report answer could not be read"
 
@@ -75,7 +76,9 @@ def _report(log: DataFrame, actions: int, answer: str | None) -> DataFrame | Non
     error = F.lit(REPORT_ERROR)
     spare = fallback_report(F.col("actions"), error)
     readable = F.col("reasoning").isNotNull()
-    return parsed.filter(readable | ~is_quota_error(error)).select(
+    # an answer that can be read but explains nothing makes no report
+    told = readable & (F.col("reasoning") == "")
+    return parsed.filter((readable | ~is_quota_error(error)) & ~F.coalesce(told, F.lit(False))).select(
         F.when(readable, F.col("reasoning")).otherwise(spare[0]).alias("reasoning"),
         F.when(readable, F.col("summary")).otherwise(spare[1]).alias("summary"),
         F.when(readable, F.col("recommendations")).otherwise(spare[2]).alias("recommendations"),
@@ -137,8 +140,13 @@ def prepare(
 def prepare_dataset(spark, root: str, dataset_id: str, prefix: str, fmt: str = "parquet", **options) -> PrepResult:
     """Prepare one registered dataset and record every outcome in the registry below ``root``.
 
-    On failure a ``failed`` version is appended and the error is raised again; raw data is kept.
+    Each run writes a folder of its own (table, chart data, fitted plan) and tags its log rows; the
+    registry row that points there comes last, so a repeated or broken run leaves one completed version
+    (``registry.current_logs`` reads its logs).  Text sources are staged once as typed Parquet.  On
+    failure a ``failed`` version is appended and the error is raised again; raw data is kept.
     """
+    from tableprep.plans.store import load_plan, save_plan
+
     entry = registry.latest(registry.read(spark, "Dataset", root)).filter(F.col("id") == dataset_id).first()
     if entry is None:
         raise LookupError(f"no dataset {dataset_id}")
@@ -148,13 +156,22 @@ def prepare_dataset(spark, root: str, dataset_id: str, prefix: str, fmt: str = "
         registry.append(spark.createDataFrame([row], registry.SCHEMAS["Dataset"]), "Dataset", root)
 
     record("processing")
+    run = uuid.uuid4().hex[:12]
+    folder = f"{prefix.rstrip('/')}/datasets/{dataset_id}/run-{run}"
     try:
-        path = entry["rawDataPath"]
-        keyed = f"{prefix.rstrip('/')}/{path}" if path and "://" not in path and not path.startswith("/") else path
-        result = prepare(first_readable(spark, entry["rawUrl"], keyed), entry["mode"], **options)
-        target = f"{prefix.rstrip('/')}/datasets/{dataset_id}/cleaned.{fmt}"
-        write_table(result.df, target, fmt)
-        _record_logs(spark, root, dataset_id, result)
+        with scratch_scope(spark):
+            path = entry["rawDataPath"]
+            keyed = f"{prefix.rstrip('/')}/{path}" if path and "://" not in path and not path.startswith("/") else path
+            source = first_readable(spark, entry["rawUrl"], keyed)
+            if is_text_source(source):
+                source = written(source, "typed")
+            result = prepare(source, entry["mode"], **options)
+            target = write_table(result.df, f"{folder}/cleaned.{fmt}", fmt)
+            result.plan = load_plan(spark, save_plan(spark, result.plan, f"{folder}/plan"))
+            result.df = read_table(spark, target, fmt)
+            if result.eda is not None:
+                result.eda = _stored_charts(spark, result.eda, f"{folder}/charts")
+        _record_logs(spark, root, dataset_id, result, run)
         record("completed", cleanedUrl=target, rows=result.rows, columns=result.columns)
         return result
     except Exception:
@@ -162,21 +179,35 @@ def prepare_dataset(spark, root: str, dataset_id: str, prefix: str, fmt: str = "
         raise
 
 
-def _record_logs(spark, root: str, dataset_id: str, result: PrepResult) -> None:
+def _stored_charts(spark, charts: EdaResult, folder: str) -> EdaResult:
+    """The chart data, written out, so that nothing of it needs the run's scratch files."""
+    stored = {}
+    for part in fields(charts):
+        frame = getattr(charts, part.name)
+        if frame is not None:
+            frame.write.parquet(f"{folder}/{part.name}")
+            frame = spark.read.schema(frame.schema).parquet(f"{folder}/{part.name}")
+        stored[part.name] = frame
+    return EdaResult(**stored)
+
+
+def _record_logs(spark, root: str, dataset_id: str, result: PrepResult, run: str) -> None:
     tag = F.lit(dataset_id).alias("datasetId")
+    name = F.concat(F.lit(f"run-{run}-"), F.expr("uuid()")).alias("id")
     registry.append(
-        result.cleaning_log.select(tag, "column", F.col("null_count").alias("nullCount"), "action", "reason"),
+        result.cleaning_log.select(name, tag, "column", F.col("null_count").alias("nullCount"), "action", "reason"),
         "CleaningLog",
         root,
     )
     registry.append(
-        result.outlier_log.select(tag, "column", F.col("outlier_count").alias("outlierCount"), "method", "action"),
+        result.outlier_log.select(name, tag, "column", F.col("outlier_count").alias("outlierCount"), "method", "action"),
         "OutlierLog",
         root,
     )
-    registry.append(result.feature_log.select(tag, "action", "details"), "FeatureLog", root)
+    registry.append(result.feature_log.select(name, tag, "action", "details"), "FeatureLog", root)
     if result.eda is not None:
         charts = result.eda.manifest.select(
+            name,
             tag,
             "type",
             "column",
@@ -184,7 +215,7 @@ def _record_logs(spark, root: str, dataset_id: str, result: PrepResult) -> None:
         )
         registry.append(charts, "GraphMetadata", root)
     if result.report is not None:
-        registry.append(result.report.select(tag, "*"), "CleaningReport", root)
+        registry.append(result.report.select(name, tag, "*"), "CleaningReport", root)
 
 
 def registry_row(result: PrepResult, dataset_id: str) -> DataFrame:

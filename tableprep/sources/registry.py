@@ -13,14 +13,14 @@ from tableprep.operators.ordered import ROWS_PER_RANGE, running
 # The table schemas.
 SCHEMAS = {
     "Dataset": "id string, createdAt timestamp, updatedAt timestamp, userId string, collaborationId string, "
-    "rows int, columns int, status string, rawDataPath string, cleanedDataPath string, rawUrl string, "
+    "rows bigint, columns int, status string, rawDataPath string, cleanedDataPath string, rawUrl string, "
     "cleanedUrl string, databaseName string, mode string",
     "CleaningReport": "id string, datasetId string, reasoning string, summary string, recommendations string, "
     "createdAt timestamp",
     "UserModeUsage": "id string, userId string, mode string, datasetId string, createdAt timestamp",
-    "CleaningLog": "id string, datasetId string, column string, nullCount int, action string, reason string, "
+    "CleaningLog": "id string, datasetId string, column string, nullCount bigint, action string, reason string, "
     "createdAt timestamp",
-    "OutlierLog": "id string, datasetId string, column string, outlierCount int, method string, action string, "
+    "OutlierLog": "id string, datasetId string, column string, outlierCount bigint, method string, action string, "
     "createdAt timestamp",
     "FeatureLog": "id string, datasetId string, action string, details string, createdAt timestamp",
     "GraphMetadata": "id string, datasetId string, type string, column string, filePath string, createdAt timestamp",
@@ -62,11 +62,27 @@ def read(spark: SparkSession, table: str, root: str) -> DataFrame:
 
 
 def latest(changes: DataFrame, key: str = "id", version: str = "updatedAt") -> DataFrame:
-    """The newest version of each row.  The rank filter is applied per task before the shuffle."""
-    order = Window.partitionBy(key).orderBy(F.desc(version))
+    """The newest version of each row; of equally new ones always the same.
+
+    The rank filter is applied per task before the shuffle.
+    """
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in changes.columns])
+    order = Window.partitionBy(key).orderBy(F.desc(version), tie)
     return changes.withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").drop("__rank")
 
 
+def run_of(path: Column | str) -> Column:
+    """The run that a cleaned dataset or a log row's id belongs to; empty for rows written without one."""
+    return F.regexp_extract(path, "(?:^|/)run-([0-9a-f]+)[-/]", 1)
+
+
+def current_logs(logs: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Log rows of each dataset's latest completed run; rows of failed or repeated runs are left out."""
+    done = latest(datasets.filter(F.col("status") == "completed"))
+    runs = done.select(F.col("id").alias("datasetId"), run_of("cleanedUrl").alias("__run"))
+    return logs.withColumn("__run", run_of(F.col("id"))).join(runs, ["datasetId", "__run"]).drop("__run").select(*logs.columns)
+
+
 def get(table: DataFrame, value: str, key: str = "id") -> DataFrame:
     """Rows with one key."""
     return table.filter(F.col(key) == value)

@@ -72,11 +72,17 @@ def with_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*[_as_type(col(c), types[c]).alias(c) for c in df.columns])
 
 
-def has_quoted_line_breaks(spark: SparkSession, uri: str) -> bool:
-    """Whether some line leaves a quote open.  Only then must a file be read unsplit."""
+def files_with_open_quotes(spark: SparkSession, uri: str) -> list[str]:
+    """Files in which some line leaves a quote open.  Only these must be read unsplit."""
     line = spark.read.text(uri)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not line.filter(quotes % 2 == 1).isEmpty()
+    odd = line.filter(quotes % 2 == 1).select(F.col("_metadata.file_path").alias("path")).distinct()
+    return [r["path"] for r in odd.collect()]
+
+
+def has_quoted_line_breaks(spark: SparkSession, uri: str) -> bool:
+    """Whether some line of some file leaves a quote open."""
+    return bool(files_with_open_quotes(spark, uri))
 
 
 def read_csv(
@@ -88,28 +94,94 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header.  Missing-value texts become null before types are inferred.
 
-    Inference reads the file once; pass ``types`` (column to type) to skip that, and ``multi_line``
-    to skip looking for line breaks inside quotes.
+    Inference reads the files once; pass ``types`` (column to type) to skip that, and ``multi_line``
+    to skip looking for line breaks inside quotes.  Files without such breaks are read in splits, the
+    others are one task each.
     """
-    if multi_line is None:
-        multi_line = has_quoted_line_breaks(spark, uri)
-    reader = spark.read.option("header", True).option("multiLine", multi_line)
-    raw = na_to_null(reader.option("quote", '"').option("escape", '"').csv(uri))
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
+    if multi_line is not None:
+        raw = reader.option("multiLine", multi_line).csv(uri)
+    else:
+        whole = files_with_open_quotes(spark, uri)
+        names = {_plain_path(f) for f in whole}
+        split = [f for f in spark.read.text(uri).inputFiles() if _plain_path(f) not in names] if whole else [uri]
+        parts = [reader.csv(split)] if split else []
+        parts += [reader.option("multiLine", True).csv(whole)] if whole else []
+        raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    raw = na_to_null(raw)
     return with_types(raw, types or infer_types(raw, promote_int_nulls))
 
 
+def _plain_path(uri: str) -> str:
+    return re.sub(r"^file:/+", "/", uri)
+
+
+# Names of JSON columns whose values are read as moments.
+DATE_ENDINGS = ("_at", "_time")
+DATE_STARTS = ("timestamp",)
+DATE_NAMES = ("modified", "date")
+
+
+def _is_date_name(name: str) -> bool:
+    low = name.lower()
+    return low.endswith(DATE_ENDINGS) or low.startswith(DATE_STARTS) or low in DATE_NAMES
+
+
+def with_json_dates(df: DataFrame) -> DataFrame:
+    """Text columns with a telling name become timestamps where every value is one."""
+    names = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and _is_date_name(f.name)]
+    if not names:
+        return df
+    moment = {c: col(c).try_cast("timestamp_ntz") for c in names}
+    row = df.agg(
+        *[F.count_if(col(c).isNotNull() & moment[c].isNull()).alias(f"bad{i}") for i, c in enumerate(names)],
+        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)],
+    ).first()
+    dates = {c for i, c in enumerate(names) if row[f"bad{i}"] == 0 and row[f"n{i}"] > 0}
+    return df.select(*[moment[c].alias(c) if c in dates else col(c) for c in df.columns])
+
+
+def _from_columns(spark: SparkSession, uri: str) -> DataFrame:
+    """One object of columns, each an object of cells by row label or a list of cells.
+
+    The object is one value to parse and so one task's work; its cells are spread over all after that.
+    """
+    text = spark.read.text(uri, wholetext=True)
+    lists = F.from_json("value", "map<string,array<string>>")
+    named = F.from_json("value", "map<string,map<string,string>>")
+    as_cells = F.transform_values(lists, lambda _, v: F.map_from_arrays(F.sequence(F.lit(0), F.size(v) - 1).cast("array<string>"), v))
+    head = text.select(F.trim("value").alias("value")).select(F.regexp_extract("value", r'^\{\s*"(?:[^"\\]|\\.)*"\s*:\s*(.)', 1).alias("first"))
+    shape = head.first()["first"]
+    columns = text.select(F.explode(as_cells if shape == "[" else named).alias("column", "cells"))
+    names = [r["column"] for r in columns.select("column").distinct().orderBy("column").collect()]
+    order = text.select(F.json_object_keys("value").alias("keys")).first()["keys"]
+    cells = columns.select("column", F.explode("cells").alias("row", "cell")).repartition("row")
+    wide = cells.groupBy("row").pivot("column", names).agg(F.first("cell")).select(*[col(c) for c in order])
+    wide = na_to_null(wide)
+    return with_types(wide, infer_types(wide))
+
+
 def read_json(spark: SparkSession, uri: str) -> DataFrame:
-    """JSON records: an array of objects or one object per line."""
+    """JSON records (an array of objects, or one object per line) or one object of columns.
+
+    Columns named like dates (``date``, ``..._at``) become timestamps where all values are.  An array or
+    an object of columns is parsed by one task per file; large tables belong in lines.
+    """
     first = _first_line(spark, uri)
     if first.startswith("["):
-        return spark.read.option("multiLine", True).json(uri)
+        return with_json_dates(spark.read.option("multiLine", True).json(uri))
     df = spark.read.json(uri)
     if df.columns == ["_corrupt_record"]:
         df = spark.read.option("multiLine", True).json(uri)
     kinds = {f.dataType.typeName() for f in df.schema.fields}
     if df.columns and kinds <= {"struct", "array"}:
-        raise ValueError(f"{uri} holds one object of columns; write it as an array of row objects")
-    return df
+        return with_json_dates(_from_columns(spark, uri))
+    return with_json_dates(df)
+
+
+def is_text_source(df: DataFrame) -> bool:
+    """Whether every pass over the table would parse text again."""
+    return any(format_of(f) in ("csv", "json") for f in df.inputFiles()[:1])
 
 
 def read_parquet(spark: SparkSession, uri: str) -> DataFrame:

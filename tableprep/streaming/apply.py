@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.types import StringType, StructField, StructType
+
+from tableprep.session import exists, written
 
 
 def file_stream(spark, folder: str, schema, name_filter: str | None = None, files_per_trigger: int | None = None):
@@ -42,28 +44,33 @@ def write_stream(stream: DataFrame, path: str, checkpoint: str, output_mode: str
     )
 
 
-def _processed(spark, path: str, schema) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-
-
 def intake(
     stream: DataFrame, key: str, process: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Process every key once, however often it is delivered: known keys are left out by an anti join."""
-    schema = process(stream).schema
+    """Process every key once, however often it is delivered: known keys are left out by an anti join.
+
+    ``process`` gets a plain batch, so it may profile, fit and write like any batch job.  Keys that are
+    done stand in a ledger of their own beside the output (``<path>_keys``), written after the output;
+    finding the new ones reads that slim column and never the output.
+    """
+    run = checkpoint.rstrip("/").rsplit("/", 1)[-1]
+    ledger = f"{path}_keys"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # Each batch owns one folder and rewrites it, so a repeated batch replaces its own output
         # and must not count it as processed before.
-        done = _processed(batch.sparkSession, f"{path}/batch=*", schema)
-        earlier = done.filter(~F.contains(F.input_file_name(), F.lit(f"/batch={batch_id}-{run}/"))).select(key)
-        fresh = batch.dropDuplicates([key]).join(earlier, key, "left_anti")
+        spark, own = batch.sparkSession, f"{run}-{batch_id}"
+        fresh = batch.dropDuplicates([key])
+        if exists(spark, ledger):
+            kept = StructType([batch.schema[key], StructField("batch", StringType())])
+            known = spark.read.schema(kept).parquet(ledger)
+            fresh = fresh.join(known.filter(F.col("batch") != own).select(key), key, "left_anti")
+        fresh = written(fresh, "intake")
+        if fresh.isEmpty():
+            return
         process(fresh).write.mode("overwrite").parquet(f"{path}/batch={batch_id}-{run}")
+        fresh.select(key).write.mode("overwrite").parquet(f"{ledger}/batch={own}")
 
-    run = checkpoint.rstrip("/").rsplit("/", 1)[-1]
     return (
         stream.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)

@@ -24,7 +24,6 @@ from tableprep import (
 from tableprep.functions.exprs import cut, histogram_bin
 from tableprep.functions.types import col, nan_to_null
 from tableprep.operators import eda as charts
-from tableprep.operators.features import MAX_ONE_HOT
 
 
 def values(df, name):
@@ -168,7 +167,8 @@ def test_one_hot(spark):
     assert hot.columns == ["i", "f", "x_1.0", "x_2.0"]
     assert [(r["x_1.0"], r["x_2.0"]) for r in hot.orderBy("i").collect()] == [(False, True), (True, False), (False, False)]
     with pytest.raises(ValueError, match="more than"):
-        encode_one_hot(spark.range(MAX_ONE_HOT + 1).withColumn("t", F.col("id").cast("string")), "t")
+        encode_one_hot(spark.range(51).withColumn("t", F.col("id").cast("string")), "t", most=50)
+    assert len(encode_one_hot(spark.range(2100).withColumn("t", F.col("id").cast("string")), "t").columns) == 2101
 
 
 def test_labels_count_missing_as_text(spark):
