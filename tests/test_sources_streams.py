@@ -53,8 +53,8 @@ def test_json_shapes(spark, tmp_path):
     for uri in (array, lines):
         assert sorted(r.a for r in read_json(spark, uri).collect()) == [1, 2]
     columns = put(tmp_path / "columns.json", json.dumps({"a": {"0": 1, "1": 2}, "b": {"0": "x", "1": "y"}}))
-    with pytest.raises(ValueError, match="array of row objects"):
-        read_json(spark, columns)
+    # one object of columns is a table too
+    assert sorted((r.a, r.b) for r in read_json(spark, columns).collect()) == [(1, "x"), (2, "y")]
 
 
 def test_dispatch(spark, tmp_path):
