@@ -224,13 +224,6 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def shared_tokens(met: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` that share enough prefix tokens, from rows ``a, a_n, b, b_n`` per shared token."""
-    fitting = met.where(sizes_fit(F.col("a_n"), F.col("b_n")))
-    counted = fitting.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
-    return counted.where(F.col("shared") >= least_in_prefix(F.col("a_n"), F.col("b_n"))).select("a", "b")
-
-
 def in_groups(active: DataFrame, labels: DataFrame) -> DataFrame:
     """``token, sid, n, label`` of tokens that several groups hold; a set without links is its own group."""
     grouped = active.select("token", "sid", "n").join(labels, "sid", "left")
@@ -240,30 +233,48 @@ def in_groups(active: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def to_hubs(mixed: DataFrame) -> DataFrame:
-    """Pairs of sets with the ``HUBS`` foremost holders of their tokens, where these are in other groups."""
+    """Pairs of sets with one or two of the ``HUBS`` foremost holders of their tokens, in other groups.
+
+    These settle most of what is still apart; nothing depends on which they are.
+    """
     foremost = F.row_number().over(Window.partitionBy("token").orderBy("sid"))
     hubs = mixed.withColumn("at", foremost).where(F.col("at") <= HUBS)
     hubs = hubs.select("token", F.col("sid").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"))
-    met = mixed.join(hubs, "token").where("label <> b_label")
-    return shared_tokens(met.select(F.col("sid").alias("a"), F.col("n").alias("a_n"), "b", "b_n"))
+    met = mixed.withColumnsRenamed({"sid": "a", "n": "a_n"}).join(hubs, "token")
+    met = met.where((F.col("label") != F.col("b_label")) & sizes_fit(F.col("a_n"), F.col("b_n")))
+    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
+    likely = counted.where(F.col("shared") >= least_in_prefix(F.col("a_n"), F.col("b_n")))
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
+    return likely.withColumn("at", best).where("at <= 2").select("a", "b")
 
 
 def to_groups(mixed: DataFrame) -> DataFrame:
     """Pairs of sets with the members of groups that the matrix of tokens and groups lets them open."""
-    matrix = mixed.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = matrix.select("token", F.col("label").alias("group"), "least", "most")
+    matrix = mixed.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("held"))
+    matrix = written(matrix.select("token", F.col("label").alias("group"), "least", "most", "held"), "matrix")
     n, least, most = F.col("n"), F.col("least"), F.col("most")
-    met = mixed.join(matrix, "token").where((F.col("label") < F.col("group")) & (4 * most >= 3 * n) & (4 * n >= 3 * least))
+    may_fit = (4 * most >= 3 * n) & (4 * n >= 3 * least)
+    met = mixed.join(matrix, "token").where((F.col("label") < F.col("group")) & may_fit)
     bounds = met.groupBy("sid", "group").agg(
         F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")
     )
     # the bound on the overlap is smallest at an end of the group's sizes
     low, high = F.greatest(least, F.ceil(n * 3 / F.lit(4))), F.least(most, F.floor(n * 4 / F.lit(3)))
-    bound = F.least(least_in_prefix(n, low), least_in_prefix(n, high)) - 1  # rounding may dip by one in between
-    opened = written(bounds.where(F.col("shared") >= bound).select("sid", "group"), "opened")
-    asked = mixed.join(opened, "sid").select("token", F.col("sid").alias("a"), F.col("n").alias("a_n"), "group")
+    needed = F.greatest(F.lit(1), F.least(least_in_prefix(n, low), least_in_prefix(n, high)) - 1)  # rounding may dip by one in between
+    opened = bounds.withColumn("spare", F.col("shared") - needed).where("spare >= 0")
+    opened = written(opened.select("sid", "group", "spare"), "opened")
+    # A member must hold ``needed`` of the shared tokens, so one of any ``spare + 1``: the rarest in the group.
+    asked = mixed.select("token", "sid", "n").join(opened, "sid").join(matrix, ["token", "group"]).where(may_fit)
+    rarest = F.row_number().over(Window.partitionBy("sid", "group").orderBy("held", "token"))
+    asked = asked.withColumn("at", rarest).where("at <= spare + 1").select("token", "group", F.col("sid").alias("a"), F.col("n").alias("a_n"))
     members = mixed.select("token", F.col("label").alias("group"), F.col("sid").alias("b"), F.col("n").alias("b_n"))
-    return shared_tokens(asked.join(members, ["token", "group"]))
+    inside = asked.join(members, ["token", "group"]).where(sizes_fit(F.col("a_n"), F.col("b_n")))
+    pairs = written(inside.select("a", "b", "a_n", "b_n").distinct(), "inside")
+    # what both hold, from the prefixes' shared tokens as lists
+    lists = mixed.groupBy("sid").agg(F.collect_list("token").alias("tokens"))
+    both = pairs.join(lists.toDF("a", "a_tokens"), "a").join(lists.toDF("b", "b_tokens"), "b")
+    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    return both.where(common >= least_in_prefix(F.col("a_n"), F.col("b_n"))).select("a", "b")
 
 
 def similar_sets(active: DataFrame, docs: DataFrame, representing: DataFrame, shared) -> DataFrame:
