@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -110,21 +109,30 @@ def _constants(seed: str, n: int) -> np.ndarray:
     return np.frombuffer(digest, dtype=np.uint64)[:n].copy()
 
 
-@lru_cache(maxsize=8)
+_kept: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+KEPT_POWERS = 3 * CHUNK_BYTES  # longer rows of powers are made for one text and dropped
+
+
 def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random table of bytes, and the powers of the base and of its inverse up to ``n`` at least."""
+    if seed in _kept and len(_kept[seed][1]) > n:
+        return _kept[seed]
+    size = -(-n // (1 << 18)) << 18
     base = int(_constants(f"base{seed}", 1)[0]) | 5
-    inverse = pow(base, -1, 1 << 64)
-    table = _constants(f"bytes{seed}", 256)
-    up = np.multiply.accumulate(np.full(n, base, dtype=np.uint64))
-    down = np.multiply.accumulate(np.full(n, inverse, dtype=np.uint64))
-    return table, np.concatenate([[np.uint64(1)], up]), np.concatenate([[np.uint64(1)], down])
+    up, down = np.ones(size + 1, dtype=np.uint64), np.ones(size + 1, dtype=np.uint64)
+    np.multiply.accumulate(np.full(size, base, dtype=np.uint64), out=up[1:])
+    np.multiply.accumulate(np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64), out=down[1:])
+    made = (_constants(f"bytes{seed}", 256), up, down)
+    if size <= KEPT_POWERS:
+        _kept[seed] = made
+    return made
 
 
 class Rolling:
     """Hashes of any byte ranges of an array in constant time each (a polynomial over a random byte table)."""
 
     def __init__(self, data: np.ndarray, seed: int = 0):
-        table, up, self.down = _powers(seed, 1 << max(20, math.ceil(math.log2(len(data) + 2))))
+        table, up, self.down = _powers(seed, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(table[data] * up[: len(data)], out=self.sums[1:])
 

@@ -16,7 +16,7 @@ from tableprep.llm.common import ALNUM, LOWER, Chunk, Rolling, annotate, blocks,
 from tableprep.session import written
 
 BLOCK_BYTES = 8 << 20  # benchmark text in one broadcast
-SHARD_BYTES = 2 << 20  # training text in one suffix array
+SHARD_BYTES = 1 << 20  # training text in one suffix array
 
 OUTPUTS = (
     "n_words long, hit_runs array<struct<start:int,stop:int>>, items array<string>, "

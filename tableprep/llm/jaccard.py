@@ -103,7 +103,7 @@ def frequent_tokens(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Order:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, chunk in chunks(batch.column(0).cast(pa.binary()).to_pylist(), 4 << 20):
+            for _, _, chunk in chunks(batch.column(0).cast(pa.binary()).to_pylist(), 1 << 20):
                 tokens, n = np.unique(np.concatenate([*shingle_sets(chunk), np.zeros(0, np.uint64)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
 

@@ -178,7 +178,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
             texts, langs = batch.column(0).cast(pa.binary()).to_pylist(), np.array(batch.column(1).to_pylist())
             for lang in np.unique(langs):
                 mine = [texts[i] for i in np.flatnonzero(langs == lang)]
-                for i, j in ranges([len(t or b"") for t in mine], 4 << 20):
+                for i, j in ranges([len(t or b"") for t in mine], 1 << 19):
                     keys, n = np.unique(Grams(mine[i:j]).keys, return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([str(lang)] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))],

@@ -120,7 +120,7 @@ def count_leaves(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
-            for i, j, chunk in chunks(texts, 4 << 20):
+            for i, j, chunk in chunks(texts, 2 << 20):
                 keys, n = np.unique(grams(chunk.texts)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
@@ -133,7 +133,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
-            for _, _, chunk in chunks(texts, 4 << 20):
+            for _, _, chunk in chunks(texts, 2 << 20):
                 data = LOWER[chunk.data]
                 starts, ends, _ = chunk.words(NOT_SPACE)
                 _, first, n = np.unique(Rolling(data).of(starts, ends), return_index=True, return_counts=True)
