@@ -26,10 +26,8 @@ MOST_REPEATED = 50  # per cent of words in repeated three-word windows
 
 SHARE = 0.75  # of a group's rows that an estimate rests on
 STEPS = 4
-SPREAD_FLOOR = 0.25  # standard deviation every feature has at least
 PRIOR_ROWS = 10  # rows' worth of a prior covariance mixed into each estimate
-PRIOR_SPREAD = 0.5  # standard deviation of every feature in that prior
-REJECTED_SHARE = 1e-9  # of normally distributed rows that the distance limit would reject
+REJECTED_SHARE = 1e-3  # of normally distributed rows that the distance limit would reject
 BROADCAST_GROUPS = 20_000
 
 #: Transformed statistics, as SQL.  Sizes and symbols are log-scaled; the two shares are not, as a single
@@ -42,6 +40,11 @@ FEATURES = {
     "v4": "2 * n_repeat_words / n_words",
 }
 DIMENSIONS = len(FEATURES)
+#: Standard deviation each feature has at least.  Length alone is no fault, and the fixed rules already bound
+#: repeated words (``v4 <= 1``): both count for little next to symbols and repeated lines.
+SPREAD_FLOORS = np.array([1.0, 0.25, 0.25, 0.225, 0.4])
+#: Standard deviation of each feature in the prior.
+PRIOR_SPREADS = np.array([0.5, 0.5, 0.5, 0.2, 0.5])
 
 
 def chunk_statistics(chunk: Chunk) -> list[np.ndarray]:
@@ -139,7 +142,7 @@ def first_estimate(rows: DataFrame) -> DataFrame:
             made = []
             for row in batch.itertuples(index=False):
                 q = np.array([list(getattr(row, v)) for v in FEATURES])
-                spread = ((q[:, 2] - q[:, 0]) / 1.349) ** 2 + SPREAD_FLOOR**2
+                spread = ((q[:, 2] - q[:, 0]) / 1.349) ** 2 + SPREAD_FLOORS**2
                 made.append((row.g_lang, row.g_source, q[:, 1].tolist(), np.diag(1 / spread).ravel().tolist()))
             yield pd.DataFrame(made, columns=["g_lang", "g_source", "centre", "inverse"])
 
@@ -161,8 +164,8 @@ def next_estimate(near: DataFrame) -> DataFrame:
                 scatter = np.zeros((DIMENSIONS, DIMENSIONS))
                 for i, j in PAIRS:
                     scatter[i, j] = scatter[j, i] = getattr(row, f"c{i}{j}")
-                scatter = (CONSISTENCY * scatter * row.n + PRIOR_ROWS * PRIOR_SPREAD**2 * np.eye(DIMENSIONS)) / (row.n + PRIOR_ROWS)
-                inverse = np.linalg.inv(scatter + SPREAD_FLOOR**2 * np.eye(DIMENSIONS))
+                scatter = (CONSISTENCY * scatter * row.n + PRIOR_ROWS * np.diag(PRIOR_SPREADS**2)) / (row.n + PRIOR_ROWS)
+                inverse = np.linalg.inv(scatter + np.diag(SPREAD_FLOORS**2))
                 centre = [getattr(row, f"m{i}") for i in range(DIMENSIONS)]
                 made.append((row.g_lang, row.g_source, centre, inverse.ravel().tolist()))
             yield pd.DataFrame(made, columns=["g_lang", "g_source", "centre", "inverse"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -122,6 +123,40 @@ def test_quality_verdicts(spark):
     assert quality.judge_quality(docs.limit(0)).count() == 0
 
 
+def test_quality_finds_tables_and_menus(spark):
+    """Symbols and repeated lines set a text apart in small groups too; length or one repeated line does not."""
+    rng = random.Random(4)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(2000)]
+             for lang, letters in {"fr": "aeiourstéèç", "de": "aeiunrsthäüß", "es": "aeosrnlñóí"}.items()}
+    rows, kinds = [], []
+
+    def add(kind, text, lang):
+        rows.append((len(rows), text, lang, "s"))
+        kinds.append(kind)
+
+    for lang, own in words.items():
+        prose = lambda n: " ".join(rng.choices(own, k=n))
+        lines = lambda n: [prose(rng.randint(8, 20)) for _ in range(n)]
+        for _ in range(60):
+            add("clean", "\n".join(lines(rng.randint(5, 40))), lang)
+        add("long", "\n".join(lines(1500)), lang)
+        once = lines(3)
+        add("one line twice", "\n".join([once[0], *once[1:], prose(45), once[0]]), lang)
+        for _ in range(2):
+            add("table", " | ".join(prose(2) for _ in range(60)), lang)
+        for share in (60, 70, 80):
+            distinct = [prose(2) for _ in range(100 - share)]
+            menu = distinct + rng.choices(distinct, k=share)
+            rng.shuffle(menu)
+            add(f"menu {share}", "\n".join(menu), lang)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r["doc_id"]: r for r in quality.judge_quality(docs).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    assert {(kinds[i], r["kept"]) for i, r in out.items()} == {
+        ("clean", True), ("long", True), ("one line twice", True), ("table", False), ("menu 60", False), ("menu 70", False), ("menu 80", False),
+    }
+
+
 def test_chi2():
     assert quality.chi2_cdf(quality.chi2_quantile(0.95, 5), 5) == pytest.approx(0.95)
     assert quality.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
