@@ -8,10 +8,12 @@ Everything is DataFrame work.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableprep.session import written
+from tableprep.session import delete, written
 
 # The rules, as (verdict, host and path).
 RULES = (
@@ -22,10 +24,10 @@ RULES = (
     ("block", "net/fr/"),
 )
 DAMPING = 0.85
-STEPS = 12
-TOLERANCE = 1e-6
 #: A host is blocked when its distrust exceeds its trust by what it has if half of its pages are blocked.
 THRESHOLD = 0.5 * (1 - DAMPING)
+TOLERANCE = 1e-6 * THRESHOLD  # how far any host's rank may be from the limit of the iteration
+STEPS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))  # that surely place a seed of one; larger seeds take more
 BROADCAST_HOSTS = 50_000
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,11 +85,21 @@ def walks(links: DataFrame) -> DataFrame:
     return forward.unionAll(backward)
 
 
+def steps_needed(seed: float) -> int:
+    """Steps after which what is left of seeds of this sum is below the tolerance, whatever the links are."""
+    return STEPS + math.ceil(math.log(max(seed, 1.0)) / -math.log(DAMPING))
+
+
 def propagate(start: DataFrame, steps: DataFrame) -> DataFrame:
-    """``kind, host, rank``: personalised PageRanks from the seeds; ranks of hosts without links stay there."""
+    """``kind, host, rank``: personalised PageRanks from the seeds; ranks of hosts without links stay there.
+
+    The sum of all changes of a step, times damping / (1 - damping), bounds what later steps can add to
+    any host.  The iteration ends when that is below the tolerance, on any graph after ``steps_needed``.
+    """
     base = start.select("kind", "host", (F.col("seed") * (1 - DAMPING)).alias("rank"))
-    ranks = base
-    for _ in range(STEPS):
+    ranks, outdated = base, None
+    most = steps_needed(start.agg(F.sum("seed")).first()[0] or 0.0)
+    for _ in range(most):
         moved = steps.join(ranks, ["kind", "host"]).select(
             "kind", F.col("next").alias("host"), (F.col("rank") * F.col("weight") * DAMPING).alias("rank")
         )
@@ -95,8 +107,10 @@ def propagate(start: DataFrame, steps: DataFrame) -> DataFrame:
         fresh = written(fresh, "ranks")  # cut the growing plan; shared by the test and the next step
         gap = fresh.join(ranks.withColumnRenamed("rank", "before"), ["kind", "host"], "left")
         change = gap.agg(F.sum(F.abs(F.col("rank") - F.coalesce("before", F.lit(0.0)))).alias("change")).first()["change"]
-        ranks = fresh
-        if (change or 0) < TOLERANCE:
+        if outdated:
+            delete(start.sparkSession, outdated)
+        ranks, outdated = fresh, fresh.scratch
+        if (change or 0) * DAMPING / (1 - DAMPING) < TOLERANCE:
             break
     return ranks
 

@@ -289,6 +289,32 @@ def test_page_rank(spark):
     assert ranks["distrust", "c"] > ranks["distrust", "b"] > 0
 
 
+def solved(links, start):
+    """Personalised PageRank as the solution of the linear system."""
+    hosts = sorted({h for a, b, _ in links for h in (a, b)} | set(start))
+    at, out = {h: i for i, h in enumerate(hosts)}, Counter()
+    for a, _, n in links:
+        out[a] += n
+    move = np.zeros((len(hosts), len(hosts)))
+    for a, b, n in links:
+        move[at[b], at[a]] += n / out[a]
+    seed = np.array([start.get(h, 0.0) for h in hosts])
+    return dict(zip(hosts, np.linalg.solve(np.eye(len(hosts)) - urls.DAMPING * move, (1 - urls.DAMPING) * seed).tolist()))
+
+
+def test_long_chains(spark):
+    """Distrust of many blocked hosts reaches all hosts of a chain for which it exceeds the threshold."""
+    bad, chain = [f"b{i}" for i in range(40)], [f"c{i}" for i in range(30)]
+    edges = [(chain[0], b, 1) for b in bad] + [(a, b, 1) for b, a in zip(chain, chain[1:])] + [("c1", "c3", 2)]
+    links = spark.createDataFrame(edges, "source string, target string, links long")
+    start = spark.createDataFrame([("distrust", b, 1.0) for b in bad], "kind string, host string, seed double")
+    ranks = {r["host"]: r["rank"] for r in urls.propagate(start, urls.walks(links)).collect()}
+    full = solved([(b, a, n) for a, b, n in edges], dict.fromkeys(bad, 1.0))
+    assert ranks == pytest.approx(full, abs=1e-6)
+    assert full["c15"] > urls.THRESHOLD > full["c29"]
+    assert urls.steps_needed(1e9) < 300
+
+
 def test_rolling():
     data = np.frombuffer(b"abcabcabd", dtype=np.uint8)
     rolling = Rolling(data)
