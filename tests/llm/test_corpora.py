@@ -302,6 +302,53 @@ def solved(links, start):
     return dict(zip(hosts, np.linalg.solve(np.eye(len(hosts)) - urls.DAMPING * move, (1 - urls.DAMPING) * seed).tolist()))
 
 
+def plain_verdicts(pages):
+    """Verdicts of ``(page_id, url, html)`` by rules and the solved linear systems; no host is near the threshold."""
+    judged, links, share = [], Counter(), defaultdict(Counter)
+    for page, url, html in pages:
+        host, path = re.match(r"[^:]*://([^/?#]*)([^?#]*)", url).groups()
+        host = host.lower()
+        fits = [(len(r), v) for v, r in urls.RULES for name, _, p in [r.partition("/")]
+                if ("." + host).endswith("." + name) and path.startswith("/" + p)]
+        judged.append((page, host, max(fits)[1] if fits else None))
+        share[host][judged[-1][2]] += 1
+        for target in re.findall(r'(?i)href="[a-z]+://([^/"]+)', html or ""):
+            links[host, target.lower()] += target.lower() != host
+    edges = [(a, b, n) for (a, b), n in links.items() if n]
+    part = lambda v: {h: c[v] / sum(c.values()) for h, c in share.items()}
+    trust, distrust = solved(edges, part("allow")), solved([(b, a, n) for a, b, n in edges], part("block"))
+    excess = {h: distrust[h] - trust[h] - urls.THRESHOLD for h in trust}
+    assert all(abs(x) > 1e-6 or h not in dict(links) for h, x in excess.items())
+    return {page: v or ("block" if excess[h] > 1e-9 else "allow") for page, h, v in judged}, edges
+
+
+def linked(pages, seed=1):
+    """The pages with links to other hosts added, a third of all links to one hub."""
+    rng = random.Random(seed)
+    hosts = sorted({re.match(r"[^:]*://([^/?#]*)", url)[1] for _, url, _ in pages})
+    hub, out = rng.choice(hosts), []
+    for page, url, html in pages:
+        targets = [hub if rng.random() < 1 / 3 else rng.choice(hosts) for _ in range(rng.randint(0, 8))]
+        out.append((page, url, (html or "") + "".join(f'<a href="https://{t}/x">x</a>' for t in targets)))
+    return out
+
+
+def test_urls_of_linked_pages(spark):
+    """The given pages hold no links between hosts; with links the propagation decides verdicts."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        end = rng.choice(["com", "net", "net", "org", "org", "example.com"])
+        rows.append((i, f"http://h{rng.randrange(60)}.{end}/{rng.choice(['en', 'es', 'fr'])}/{i}", "<a href='/own'>x</a>"))
+    pages = linked(rows)
+    expected, edges = plain_verdicts(pages)
+    assert max(Counter(b for _, b, _ in edges).values()) > 30
+    out = {r["page_id"]: r["verdict"] for r in urls.filter_urls(spark.createDataFrame(pages, PAGES)).collect()}
+    assert out == expected
+    alone = {r["page_id"]: r["verdict"] for r in urls.filter_urls(spark.createDataFrame(rows, PAGES)).collect()}
+    assert sum(out[i] != alone[i] for i in out) > 5
+
+
 def test_long_chains(spark):
     """Distrust of many blocked hosts reaches all hosts of a chain for which it exceeds the threshold."""
     bad, chain = [f"b{i}" for i in range(40)], [f"c{i}" for i in range(30)]
