@@ -8,10 +8,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tableprep.session import written
+
 CHUNK_BYTES = 1 << 20  # texts are worked on in chunks of about so many bytes, which bounds a task's arrays
 SEPARATOR = b"\n"
 
@@ -154,19 +156,31 @@ def sha(text: str | bytes) -> str:
 
 
 def blocks(df: DataFrame, size: str, bound: int) -> Iterator[list]:
-    """The rows of a query table in blocks whose summed ``size`` stays near ``bound``.
+    """The rows of a table without repeated rows, in blocks whose summed ``size`` is at most twice ``bound``.
 
-    Rows are dealt to blocks by hash, so that no order or running total is needed; a block much over
-    the bound (one huge row) is an error rather than an oversized broadcast.
+    Rows are dealt to buckets by hash, a running sum cuts each bucket into parts and parts are packed into
+    blocks, so no order over the whole table is needed.  A row larger than ``bound`` adds to its block alone.
     """
     total = df.agg(F.sum(F.expr(size))).first()[0] or 0
-    n = max(1, math.ceil(1.25 * total / bound)) if total > bound else 1
-    key = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(n))
-    for b in range(n):
-        part = df if n == 1 else df.where(key == b)
-        if n > 1 and (part.agg(F.sum(F.expr(size))).first()[0] or 0) > 2 * bound:
-            raise ValueError(f"a block of the query table is larger than {2 * bound}")
-        yield part.collect()
+    if total <= bound:
+        yield df.collect()
+        return
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    sized = df.select(*columns, F.expr(size).alias("__size"), F.xxhash64(*columns).alias("__key"))
+    sized = sized.withColumn("__bucket", F.pmod("__key", F.lit(math.ceil(total / bound))))
+    before = F.sum("__size").over(Window.partitionBy("__bucket").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1))
+    dealt = sized.withColumn("__part", F.floor(F.coalesce(before, F.lit(0)) / bound)).drop("__key")
+    dealt = written(dealt, "dealt")
+    parts = dealt.groupBy("__bucket", "__part").agg(F.sum("__size").alias("size")).orderBy("__bucket", "__part").collect()
+    packs: list[tuple[list[tuple[int, int]], int]] = [([], 0)]
+    for bucket, part, n in parts:
+        if packs[-1][0] and packs[-1][1] + n > bound:
+            packs.append(([], 0))
+        packs[-1] = (packs[-1][0] + [(bucket, part)], packs[-1][1] + n)
+    for members, _ in packs:
+        chosen = [F.struct(F.lit(k).cast("long").alias("k"), F.lit(p).cast("long").alias("p")) for k, p in members]
+        at = F.struct(F.col("__bucket").cast("long").alias("k"), F.col("__part").cast("long").alias("p"))
+        yield dealt.where(at.isin(*chosen)).select(*columns).collect()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

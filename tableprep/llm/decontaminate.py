@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprep.llm.common import ALNUM, LOWER, Chunk, Rolling, annotate, blocks, chunks
+from tableprep.llm.common import ALNUM, LOWER, Chunk, Rolling, annotate, blocks, chunks, sha
 from tableprep.session import written
 
 BLOCK_BYTES = 8 << 20  # benchmark text in one broadcast
@@ -22,12 +22,14 @@ OUTPUTS = (
     "n_words long, hit_runs array<struct<start:int,stop:int>>, items array<string>, "
     "matches array<struct<item_id:string,item_start:int,doc_start:int,n_words:int>>"
 )
+#: While blocks are joined, matches also name the long item (a digest) that their span was cut from.
+PARTS = OUTPUTS.replace("item_id:string,", "item_id:string,whole:string,")
 
 
 class Probe:
     """The windows of one block of benchmark items, in the form that shards are searched with."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[tuple[str, str, int], str]], window: int):
         chunk = Chunk([(text or "").encode() for _, text in items])
         data = LOWER[chunk.data]
         starts, ends, owner = chunk.words(ALNUM)
@@ -190,6 +192,36 @@ def join_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(r) for r in joined]
 
 
+def spans(text: bytes, window: int, bound: int) -> list[tuple[int, str]]:
+    """A text as spans of about ``bound`` bytes and at least a window, each with the number of its first word.
+
+    Neighbours share ``window`` - 1 words, so that every window lies in one span.
+    """
+    starts, ends, _ = Chunk([text]).words(ALNUM)
+    n, i, made = len(starts), 0, []
+    while True:
+        j = min(n, max(i + window, int(np.searchsorted(ends, starts[i] + bound, side="right")))) if n else 0
+        made.append((i, text[starts[i] : ends[j - 1]].decode("utf-8", "replace") if n else ""))
+        if j == n:
+            return made
+        i = j - window + 1
+
+
+def benchmark_spans(items: DataFrame, window: int, bound: int) -> DataFrame:
+    """``item_id, whole, first, text`` of all different items; long ones as overlapping spans of words."""
+    items = items.select("item_id", "text").distinct()
+
+    def cut(texts):
+        made = [spans(t, window, bound) for t in texts]
+        return [[sha(t) for t in texts], [[{"first": i, "span": s} for i, s in m] for m in made]]
+
+    fits = F.octet_length("text") <= bound
+    short = items.where(fits).select("item_id", F.lit("").alias("whole"), F.lit(0).alias("first"), "text")
+    long = annotate(items.where(~fits), "text", "whole string, spans array<struct<first:int,span:string>>", cut)
+    long = long.select("item_id", "whole", F.explode("spans").alias("s"))
+    return short.unionAll(long.select("item_id", "whole", "s.first", F.col("s.span").alias("text")))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``n_words, hit_runs, items, matches``.
 
@@ -197,16 +229,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     ranges of word numbers inside occurrences, ``matches`` the longest verbatim matches with their
     places.  Null or empty texts have no words and no hits; items without words never occur; an item
     without an id is named ``null``; rows of one item_id count as one item; repeated documents are
-    judged one by one; very long texts are shards of their own.  Columns of ``docs`` named like a
-    result column are replaced.
+    judged one by one; very long texts are shards of their own.  Repeated benchmark rows count once,
+    and items longer than a block are searched as spans.  Columns of ``docs`` named like a result
+    column are replaced.
     """
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").alias("text")
     ).where("text IS NOT NULL")
     spark = docs.sparkSession
     result = None
-    for rows in blocks(items, "octet_length(text)", BLOCK_BYTES):
-        shared = spark.sparkContext.broadcast(Probe([(r["item_id"], r["text"]) for r in rows], window))
+    parts = written(benchmark_spans(items, window, BLOCK_BYTES), "benchmark")
+    for rows in blocks(parts, "octet_length(text)", BLOCK_BYTES):
+        named = [((r["item_id"], r["whole"], r["first"]), r["text"]) for r in rows]
+        shared = spark.sparkContext.broadcast(Probe(named, window))
 
         def compute(texts, shared=shared):
             probe = shared.value
@@ -217,20 +252,49 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                 for k in range(len(chunk.texts)):
                     runs, names, matches = found.get(k, ((), (), ()))
                     out[1].append([{"start": a, "stop": b} for a, b in runs])
-                    out[2].append(list(names))
-                    out[3].append([dict(zip(("item_id", "item_start", "doc_start", "n_words"), m)) for m in matches])
+                    out[2].append(sorted({name for name, _, _ in names}))
+                    out[3].append([
+                        {"item_id": name, "whole": whole, "item_start": first + start, "doc_start": at, "n_words": n}
+                        for (name, whole, first), start, at, n in matches
+                    ])
             return out
 
         if result is None:
-            result = annotate(docs, text, OUTPUTS, compute)
+            result = annotate(docs, text, PARTS, compute)
             continue
         before = written(result, "contamination")
         names = {"hit_runs": "__runs", "items": "__items", "matches": "__matches"}
-        more = annotate(before.withColumnsRenamed(names), text, OUTPUTS, compute)
+        more = annotate(before.withColumnsRenamed(names), text, PARTS, compute)
         result = more.withColumns({c: F.concat(F.col(c), F.col(p)) for c, p in names.items()}).drop(*names.values())
         result = result.withColumn("items", F.array_sort(F.array_distinct("items")))
         result = result.withColumn("hit_runs", joined_runs("hit_runs"))
-    return result
+    return result.withColumn("matches", joined_matches("matches", window))
+
+
+def joined_matches(column: str, window: int):
+    """Matches by place, those joined that were cut because their item was: the next window in the next span."""
+    cut = (
+        "m -> named_struct('item_id', m.item_id, 'whole', m.whole, 'shift', m.doc_start - m.item_start, "
+        "'item_start', m.item_start, 'doc_start', m.doc_start, 'n_words', m.n_words)"
+    )
+    ordered = f"array_sort(transform(filter({column}, m -> m.whole <> ''), {cut}))"
+    follows = (
+        "element_at(ms, -1).item_id = m.item_id and element_at(ms, -1).whole = m.whole and element_at(ms, -1).shift = m.shift "
+        f"and m.item_start = element_at(ms, -1).item_start + element_at(ms, -1).n_words - {window - 1}"
+    )
+    extended = (
+        "named_struct('item_id', m.item_id, 'whole', m.whole, 'shift', m.shift, 'item_start', element_at(ms, -1).item_start, "
+        "'doc_start', element_at(ms, -1).doc_start, 'n_words', m.item_start + m.n_words - element_at(ms, -1).item_start)"
+    )
+    kind = "array<struct<item_id:string,whole:string,shift:int,item_start:int,doc_start:int,n_words:int>>"
+    joined = (
+        f"aggregate({ordered}, cast(array() as {kind}), (ms, m) -> if(size(ms) > 0 and {follows}, "
+        f"concat(slice(ms, 1, size(ms) - 1), array({extended})), concat(ms, array(m))))"
+    )
+    plain = "m -> named_struct('doc_start', m.doc_start, 'item_id', m.item_id, 'item_start', m.item_start, 'n_words', m.n_words)"
+    ranked = f"array_sort(concat(transform(filter({column}, m -> m.whole = ''), {plain}), transform({joined}, {plain})))"
+    final = "m -> named_struct('item_id', m.item_id, 'item_start', m.item_start, 'doc_start', m.doc_start, 'n_words', m.n_words)"
+    return F.expr(f"transform({ranked}, {final})")
 
 
 def joined_runs(column: str):

@@ -91,6 +91,26 @@ def test_decontamination(spark, monkeypatch, block):
     assert not any(r["contaminated"] for r in nothing) and nothing[0]["items_sha256"] == sha("")
 
 
+def test_benchmark_of_long_and_repeated_items(spark, monkeypatch):
+    """Size must not decide between a result and none: long items, heavy blocks and repeated rows as with one block."""
+    rng = random.Random(9)
+    texts = corpus(1)
+    long = " ".join(f"{prose(rng, 12)} q{i}" for i in range(60))
+    words = long.split()
+    texts += ["x " + " ".join(words[40:300]) + " y", " ".join(words[10:25]), long]
+    items = [(1, long), (2, " ".join(texts[0].split()[4:24]))] + [(3, texts[5])] * 9 + [(4 + i, prose(rng, 30)) for i in range(20)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    results = []
+    for block in (decontaminate.BLOCK_BYTES, 400):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        found = decontaminate.find_contamination(frame(spark, texts), benchmark)
+        assert dict(found.dtypes)["matches"] == "array<struct<item_id:string,item_start:int,doc_start:int,n_words:int>>"
+        results.append({r["doc_id"]: (r["n_words"], r["hit_runs"], r["items"], r["matches"]) for r in found.collect()})
+    assert results[0] == results[1]
+    row = results[1][len(texts) - 3]
+    assert [tuple(m) for m in row[3]] == [("1", 40, 1, 260)] and row[2] == ["1"]
+
+
 def test_longest_match(spark):
     words = [f"w{i}" for i in range(40)]
     benchmark = spark.createDataFrame([("q", " ".join(words[5:30]))], "item_id string, text string")
