@@ -156,6 +156,22 @@ def read_json_columns(spark, sf_dir):
     return read_json(spark, path)
 
 
+@query("read_json_column_files", "SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice FROM orders")
+def read_json_column_files(spark, sf_dir):
+    # Many files of one object of columns each, by key range; row labels start anew in every file.
+    names = ("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
+    orders = table(spark, sf_dir, "orders")
+    cells = orders.groupBy(F.floor(F.col("o_orderkey") / 5000).alias("part")).agg(F.collect_list(F.struct(*names)).alias("r"))
+
+    def by_row(column):
+        return F.map_from_entries(F.transform("r", lambda x, i: F.struct(i.cast("string"), x[column]))).alias(column)
+
+    path = scratch_path(spark, "columns")
+    one_each = cells.select(*[by_row(c) for c in names]).write.option("maxRecordsPerFile", 1)
+    one_each.option("ignoreNullFields", False).json(path)
+    return read_json(spark, path)
+
+
 _NAMED = """WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, 'https://files.example.org/data/' || page_id || '/set.v' || page_id || '.csv?sig=a/b.json' FROM pages
 UNION ALL SELECT page_id + 2000000, 'https://files.example.org/index.json' FROM pages UNION ALL SELECT page_id + 3000000, 'plain.csv' FROM pages)"""
 

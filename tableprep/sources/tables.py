@@ -142,27 +142,31 @@ def with_json_dates(df: DataFrame) -> DataFrame:
 
 
 def _from_columns(spark: SparkSession, uri: str) -> DataFrame:
-    """One object of columns, each an object of cells by row label or a list of cells.
+    """Objects of columns, each an object of cells by row label or a list of cells.
 
-    The object is one value to parse and so one task's work; its cells are spread over all after that.
+    An object is one value to parse and so one task's work; its cells are spread over all after that.
+    Every file has rows of its own, whatever their labels, and may lack columns that others have; a file
+    has either objects or lists of cells.
     """
-    text = spark.read.text(uri, wholetext=True)
+    text = spark.read.text(uri, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"))
     lists = F.from_json("value", "map<string,array<string>>")
     named = F.from_json("value", "map<string,map<string,string>>")
-    as_cells = F.transform_values(lists, lambda _, v: F.map_from_arrays(F.sequence(F.lit(0), F.size(v) - 1).cast("array<string>"), v))
-    head = text.select(F.trim("value").alias("value")).select(F.regexp_extract("value", r'^\{\s*"(?:[^"\\]|\\.)*"\s*:\s*(.)', 1).alias("first"))
-    shape = head.first()["first"]
-    columns = text.select(F.explode(as_cells if shape == "[" else named).alias("column", "cells"))
-    names = [r["column"] for r in columns.select("column").distinct().orderBy("column").collect()]
-    order = text.select(F.json_object_keys("value").alias("keys")).first()["keys"]
-    cells = columns.select("column", F.explode("cells").alias("row", "cell")).repartition("row")
-    wide = cells.groupBy("row").pivot("column", names).agg(F.first("cell")).select(*[col(c) for c in order])
-    wide = na_to_null(wide)
+    as_cells = F.transform_values(
+        lists, lambda _, v: F.map_from_entries(F.transform(v, lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value"))))
+    )
+    shape = F.regexp_extract("value", r'^\{\s*"(?:[^"\\]|\\.)*"\s*:\s*(.)', 1)
+    columns = text.select("file", F.explode(F.when(shape == "[", as_cells).otherwise(named)).alias("column", "cells"))
+    keys = text.select("file", F.posexplode(F.json_object_keys("value")).alias("at", "column"))
+    places = keys.groupBy("column").agg(F.min(F.struct("file", "at")).alias("place"))
+    order = [r["column"] for r in places.orderBy("place").select("column").collect()]
+    cells = columns.select("file", "column", F.explode("cells").alias("row", "cell")).repartition("file", "row")
+    wide = cells.groupBy("file", "row").pivot("column", order).agg(F.first("cell"))
+    wide = na_to_null(wide.toDF("__file", "__row", *order).select(*[col(c) for c in order]))
     return with_types(wide, infer_types(wide))
 
 
 def read_json(spark: SparkSession, uri: str) -> DataFrame:
-    """JSON records (an array of objects, or one object per line) or one object of columns.
+    """JSON records (an array of objects, or one object per line) or one object of columns per file.
 
     Columns named like dates (``date``, ``..._at``) become timestamps where all values are.  An array or
     an object of columns is parsed by one task per file; large tables belong in lines.

@@ -46,6 +46,21 @@ def test_inference_of_near_misses(spark):
     assert infer_types(df) == {"a": "double", "b": "string", "c": "string", "d": "double", "e": "double"}
 
 
+def test_json_files_of_columns(spark, tmp_path):
+    folder = tmp_path / "folder.json"
+    folder.mkdir()
+    put(folder / "a.json", json.dumps({"b": {"0": "x", "1": "y"}, "a": {"0": 1, "1": 2}}))
+    put(folder / "b.json", json.dumps({"c": {"0": 7, "1": 8}, "a": {"0": 3, "1": 4}}))
+    put(folder / "c.json", json.dumps({"a": {"0": 5}, "d": {}}))
+    put(folder / "d.json", json.dumps({"row": [6, 9], "none": []}))
+    read = read_json(spark, str(folder))
+    assert read.columns == ["b", "a", "c", "d", "row", "none"]
+    assert sorted(((r.a, r.b, r.c, r.row) for r in read.collect()), key=str) == [
+        (1, "x", None, None), (2, "y", None, None), (3, None, 7, None), (4, None, 8, None), (5, None, None, None),
+        (None, None, None, 6), (None, None, None, 9),
+    ]
+
+
 def test_json_shapes(spark, tmp_path):
     rows = [{"a": 1, "b": "x"}, {"a": 2, "b": None}]
     array = put(tmp_path / "array.json", json.dumps(rows, indent=1))
