@@ -27,6 +27,7 @@ MODEL_GRAMS = 1 << 19  # most frequent grams kept per language
 MOST_LANGUAGES = 512
 CALIBRATION = 4  # one in so many drawn documents calibrates instead of training
 STRICTNESS = 8.0  # deviations above a language's usual cross-entropy at which a text is rejected
+LEAST_SPREAD = 0.02  # deviation of cross-entropies between texts, in nats, that every language has at least
 UNDETERMINED = "und"
 
 OUTPUTS = "lang_pred string, score double, cross_entropy double, rejected boolean"
@@ -162,12 +163,14 @@ class LanguageModels:
 
 
 def drawn(docs: DataFrame, rows: int) -> DataFrame:
-    """Labelled documents, about ``rows`` of each language, chosen by a hash of the text."""
+    """Different labelled documents, at most about ``rows`` of each language, chosen by a hash of the text."""
     sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count")).limit(MOST_LANGUAGES).collect()}
     share: Column = F.lit(0)
     for lang, size in sizes.items():
         share = F.when(F.col("lang") == lang, min(1_000_000, rows * 1_000_000 // size + 1)).otherwise(share)
-    return docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+    chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+    # a copied text counts once; copies meet under a digest, one of each per task
+    return chosen.groupBy("lang", F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text")).drop("digest")
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -225,7 +228,7 @@ def calibrate(models: LanguageModels, docs: DataFrame) -> LanguageModels:
     )
     for row in usual.collect():
         low, middle, high = row["q"]
-        models.usual[row["best"]] = (middle, ((high - low) / 2) ** 2, row["within"])
+        models.usual[row["best"]] = (middle, max((high - low) / 2, LEAST_SPREAD) ** 2, row["within"])
     return models
 
 

@@ -181,6 +181,24 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in language.predict_languages(docs, empty).collect()} == {"und"}
 
 
+def test_copied_texts_calibrate_once(spark):
+    """A text copied many times does not become the only usual one, whichever side of the split it falls on."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("aeioursntl") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    prose = lambda n, own: " ".join(rng.choices(own, k=n))
+    texts = [prose(60, rng.sample(words, 250)) for _ in range(200)]
+    clean = [prose(20_000, rng.sample(words, 250)) for _ in range(4)]
+    frames = lambda rows: spark.createDataFrame([(i, t, "xx") for i, t in enumerate(rows)], "doc_id long, text string, lang string")
+    from pyspark.sql import functions as F
+
+    side = F.pmod(F.xxhash64("text", F.lit("calibrate")), F.lit(language.CALIBRATION)) == 0
+    hot = frames(texts).where(side).first()["text"]
+    alone, copied = (language.fit_languages(frames(rows)) for rows in (texts, [*texts, *[hot] * 3000]))
+    assert copied.usual.tolist() == alone.usual.tolist()
+    assert copied.usual[0][1] >= language.LEAST_SPREAD**2
+    assert not any(r["rejected"] for r in language.predict_languages(frames(clean), copied).collect())
+
+
 def test_language_models_are_distributions():
     import numpy as np
 
