@@ -26,6 +26,7 @@ WIDTH = 5  # words in a shingle
 SAMPLE_DOCS = 10_000  # documents whose shingles tell which are frequent
 FREQUENT = 1_000_000  # most shingles remembered as frequent
 HUBS = 8  # foremost holders of a token that sets of other groups are held against
+SEEN_SETS = 500_000  # ids of sets that a task remembers
 SALTS = 64  # parts a frequent token's holders are dealt over
 BROADCAST_IDS = 2_000_000
 HASH_BITS = 57
@@ -165,15 +166,32 @@ def sizes_fit(x: Column, y: Column) -> Column:
     return (4 * x >= 3 * y) & (4 * y >= 3 * x)
 
 
+def once_per_task(sets: DataFrame) -> DataFrame:
+    """The rows without those whose set the same task has seen: copies need no tokens, they meet again by id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            new = []
+            for i, sid in enumerate(batch.column(0).to_pylist()):
+                if sid not in seen:
+                    seen.add(sid)
+                    new.append(i)
+            if len(seen) > SEEN_SETS:  # bounds memory; copies that slip through are only extra work
+                seen.clear()
+            yield batch.take(pa.array(new, type=pa.int64()))
+
+    return sets.mapInArrow(run, sets.schema)
+
+
 def active_tokens(sets: DataFrame) -> DataFrame:
     """Prefix tokens of two or more different sets: ``token, sid, n, leader``, each once.
 
     Tokens are dealt once, frequent ones over several parts.  The parts of a frequent token are brought
     together as one row each; there are no more of those tokens than ``FREQUENT``.
     """
-    spread = sets.where("sid IS NOT NULL").select(
-        "sid", F.col("n_shingles").cast("int").alias("n"), "n_rare", F.posexplode("prefix").alias("at", "token")
-    )
+    own = sets.where("sid IS NOT NULL").select("sid", F.col("n_shingles").cast("int").alias("n"), "n_rare", "prefix")
+    spread = once_per_task(own).select("sid", "n", "n_rare", F.posexplode("prefix").alias("at", "token"))
     frequent = F.col("at") >= F.col("n_rare")
     salt = F.when(frequent, F.pmod("sid", F.lit(SALTS))).otherwise(0)
     dealt = spread.select("token", salt.alias("salt"), frequent.alias("frequent"), "sid", "n")

@@ -192,6 +192,18 @@ def test_components(spark, monkeypatch, seed, sample, hubs):
     ]
 
 
+def test_copies_spread_no_tokens(spark, monkeypatch):
+    """A copied text gives its prefix tokens once per task, not once per row."""
+    rows, made, write = [], {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, label: made.setdefault(label, write(df, label)))
+    for sid, times in ((1, 2000), (2, 1), (3, 300)):
+        rows += [(i, 7, 9, sid, 4, [10, 11, 12, sid + 90]) for i in range(times)]
+    sets = spark.createDataFrame(rows, "doc_id long, key long, n_shingles long, sid long, n_rare int, prefix array<long>").repartition(4)
+    active = jaccard.active_tokens(sets).collect()
+    assert sorted((r["token"], r["sid"], r["leader"]) for r in active) == [(t, s, 1) for t in (10, 11, 12) for s in (1, 2, 3)]
+    assert made["met"].count() <= 3 * 3 * 4
+
+
 def test_one_of_each(spark):
     rng = random.Random(9)
     text, other = prose(rng, 50), prose(rng, 50)
