@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tableprep.llm.alignment import alignment_report
 from tableprep.llm.chat import conversation_digests, format_turns, read_turns
 from tableprep.llm.common import table
 from tableprep.llm.decontaminate import contamination_report
@@ -21,6 +22,7 @@ from tableprep.llm.urls import filter_urls
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
+BYTE_MODEL = "byte_bpe_50k.json"
 CONVERSATION = "conv_id long, turn long, role string, text string"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +158,11 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_dedup")
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return alignment_report(docs, public_tokenizers.path(BYTE_MODEL), public_tokenizers.path(PIECE_MODEL))
