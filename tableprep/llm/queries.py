@@ -17,6 +17,7 @@ from tableprep.llm.pieces import encode_pieces
 from tableprep.llm.ppm import score_report
 from tableprep.llm.quality import judge_quality
 from tableprep.llm.repeats import repeat_report
+from tableprep.llm.resampling import resampling_report
 from tableprep.llm.secrets import secret_report
 from tableprep.llm.urls import filter_urls
 
@@ -166,3 +167,8 @@ def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return alignment_report(docs, public_tokenizers.path(BYTE_MODEL), public_tokenizers.path(PIECE_MODEL))
+
+
+@query("op12_importance_resampling")
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
