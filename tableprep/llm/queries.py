@@ -13,6 +13,7 @@ from tableprep.llm.common import table
 from tableprep.llm.decontaminate import contamination_report
 from tableprep.llm.jaccard import near_duplicates
 from tableprep.llm.language import language_report
+from tableprep.llm.licenses import SLACK, license_report, templates
 from tableprep.llm.pieces import encode_pieces
 from tableprep.llm.ppm import score_report
 from tableprep.llm.quality import judge_quality
@@ -172,3 +173,53 @@ def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_importance_resampling")
 def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _sql_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+SQL_TEMPLATES = ", ".join(
+    f"({k}, '{label}', {base}, {_sql_list(words)}, "
+    + "["
+    + ", ".join(f"{{'shift': {shift}, 'phrase': {_sql_list(phrase)}}}" for shift, phrase in phrases)
+    + "])"
+    for k, (label, base, words, phrases) in enumerate(templates())
+)
+
+
+@query(
+    "op13_license_scan",
+    f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {SQL_WORDS} AS w FROM documents),
+templates(t, label, base, passage, phrases) AS (VALUES {SQL_TEMPLATES}),
+needed AS (SELECT t, unnest(range(len(phrases))) AS k, unnest(phrases) AS p FROM templates),
+places AS (
+  SELECT r, t, k, p.shift AS shift, unnest(list_filter(range(1, len(w) - len(p.phrase) + 2), lambda i: w[i:i + len(p.phrase) - 1] = p.phrase)) - 1 AS pos
+  FROM docs JOIN needed ON list_has_all(w, p.phrase)
+),
+main AS (SELECT r, t, pos - shift AS start FROM places WHERE k = 0),
+near AS (
+  SELECT m.r, m.t, m.start, count(DISTINCT o.k) AS n FROM main m LEFT JOIN places o
+    ON o.r = m.r AND o.t = m.t AND o.k > 0 AND abs(o.pos - (m.start + o.shift)) <= {SLACK}
+  GROUP BY m.r, m.t, m.start
+),
+found AS (
+  SELECT r, label, base, start,
+    len(list_filter(range(1, len(passage) + 1), lambda j: start + j >= 1 AND w[greatest(start + j, 1)] = passage[j])) / len(passage) AS share
+  FROM near JOIN templates USING (t) JOIN docs USING (r) WHERE n = len(phrases) - 1
+),
+summed AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM found GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+  CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM docs LEFT JOIN summed USING (r)
+""",
+)
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
