@@ -120,7 +120,7 @@ def validate_shape(spark, sf_dir):
     "SELECT doc_id + 1000000000, lang, n_chars FROM documents WHERE trim(text) <> ''",
 )
 def read_csv_quoted(spark, sf_dir):
-    # Texts with line breaks and quotes in some files, plain ones in others; only the former are read unsplit.
+    # Texts with line breaks and quotes in some files, plain ones in others; both are read in splits.
     docs = table(spark, sf_dir, "documents").filter("trim(text) <> ''")
     path = scratch_path(spark, "quoted")
     write_table(docs.select("doc_id", "text", "n_chars"), f"{path}/broken.csv", "csv")
@@ -128,6 +128,36 @@ def read_csv_quoted(spark, sf_dir):
     return read_csv(spark, f"{path}/*.csv")
 
 
+@query(
+    "read_json_array",
+    "SELECT doc_id, text, CAST(n_chars AS BIGINT) AS n_chars, lang AS language, source AS origin FROM documents",
+)
+def read_json_array(spark, sf_dir):
+    # One array of nested objects in one file, as record exports are; it is read in splits.
+    docs = table(spark, sf_dir, "documents")
+    item = F.to_json(F.struct("doc_id", "text", "n_chars", F.struct("lang", F.array(F.struct("source")).alias("from")).alias("about")))
+    one_file = docs.select(item.alias("item")).coalesce(1)
+    separated = one_file.select(F.concat(F.when(F.monotonically_increasing_id() == 0, "[").otherwise(","), "item").alias("line"))
+    closed = separated.unionByName(spark.createDataFrame([("]",)], "line string")).coalesce(1)
+    path = scratch_path(spark, "array")
+    closed.write.option("lineSep", " ").text(path)
+    read = read_json(spark, path)
+    return read.select("doc_id", "text", "n_chars", F.col("about.lang").alias("language"), F.col("about.from")[0]["source"].alias("origin"))
+
+
+@query(
+    "read_csv_quoted_file",
+    "SELECT doc_id, text, lang, CASE WHEN doc_id % 3 = 0 THEN 'a \"b\"' || chr(10) || chr(13) || chr(10) || 'c,' || source ELSE source END AS source, "
+    "n_chars FROM documents WHERE trim(text) <> ''",
+)
+def read_csv_quoted_file(spark, sf_dir):
+    # One file with line breaks, quotes and separators in most records; it is read in splits.
+    docs = table(spark, sf_dir, "documents").filter("trim(text) <> ''")
+    broken = F.concat(F.lit('a "b"\n\r\nc,'), "source")
+    rows = docs.select("doc_id", "text", "lang", F.when(F.col("doc_id") % 3 == 0, broken).otherwise(F.col("source")).alias("source"), "n_chars")
+    return read_csv(spark, write_table(rows.coalesce(1), scratch_path(spark, "broken") + ".csv", "csv"))
+
+
 @query(
     "read_json_dates",
     "SELECT event_id, date_trunc('second', ts) AS created_at, CASE WHEN event_id % 2 = 0 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d') END AS date, "

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tableprep.functions.types import col
 from tableprep.operators.profile import EXPRESSIONS_PER_JOB
+from tableprep.session import scratch_path
+from tableprep.sources.ranges import first_character, json_lines, quoted_csv
 
 # The texts that mean "missing" in a CSV field.
 NA_TOKENS = [
@@ -73,7 +75,7 @@ def with_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def files_with_open_quotes(spark: SparkSession, uri: str) -> list[str]:
-    """Files in which some line leaves a quote open.  Only these must be read unsplit."""
+    """Files in which some line leaves a quote open.  Only these cannot be read line by line."""
     line = spark.read.text(uri)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     odd = line.filter(quotes % 2 == 1).select(F.col("_metadata.file_path").alias("path")).distinct()
@@ -95,18 +97,19 @@ def read_csv(
     """CSV with a header.  Missing-value texts become null before types are inferred.
 
     Inference reads the files once; pass ``types`` (column to type) to skip that, and ``multi_line``
-    to skip looking for line breaks inside quotes.  Files without such breaks are read in splits, the
-    others are one task each.
+    to skip looking for line breaks inside quotes.  All files are read in splits: those without such
+    breaks line by line, the others with the state of their quotes carried from split to split.
     """
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
+    options = {"quote": '"', "escape": '"'}
+    reader = spark.read.option("header", True).options(**options)
     if multi_line is not None:
         raw = reader.option("multiLine", multi_line).csv(uri)
     else:
-        whole = files_with_open_quotes(spark, uri)
-        names = {_plain_path(f) for f in whole}
-        split = [f for f in spark.read.text(uri).inputFiles() if _plain_path(f) not in names] if whole else [uri]
-        parts = [reader.csv(split)] if split else []
-        parts += [reader.option("multiLine", True).csv(whole)] if whole else []
+        broken = files_with_open_quotes(spark, uri)
+        names = {_plain_path(f) for f in broken}
+        plain = [f for f in spark.read.text(uri).inputFiles() if _plain_path(f) not in names] if broken else [uri]
+        parts = [reader.csv(plain)] if plain else []
+        parts += [quoted_csv(spark, broken, options)] if broken else []
         raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     raw = na_to_null(raw)
     return with_types(raw, types or infer_types(raw, promote_int_nulls))
@@ -168,12 +171,14 @@ def _from_columns(spark: SparkSession, uri: str) -> DataFrame:
 def read_json(spark: SparkSession, uri: str) -> DataFrame:
     """JSON records (an array of objects, or one object per line) or one object of columns per file.
 
-    Columns named like dates (``date``, ``..._at``) become timestamps where all values are.  An array or
-    an object of columns is parsed by one task per file; large tables belong in lines.
+    Columns named like dates (``date``, ``..._at``) become timestamps where all values are.  Arrays are cut
+    into lines in splits, written once to scratch storage and read from there; an object of columns is
+    parsed by one task per file.
     """
-    first = _first_line(spark, uri)
-    if first.startswith("["):
-        return with_json_dates(spark.read.option("multiLine", True).json(uri))
+    if first_of(spark, uri) == "[":
+        path = scratch_path(spark, "lines")
+        json_lines(spark, uri).write.text(path)
+        return with_json_dates(spark.read.json(path))
     df = spark.read.json(uri)
     if df.columns == ["_corrupt_record"]:
         df = spark.read.option("multiLine", True).json(uri)
@@ -192,9 +197,9 @@ def read_parquet(spark: SparkSession, uri: str) -> DataFrame:
     return spark.read.parquet(uri)
 
 
-def _first_line(spark: SparkSession, uri: str) -> str:
-    row = spark.read.text(uri).filter(F.trim("value") != "").first()
-    return row["value"].strip() if row else ""
+def first_of(spark: SparkSession, uri: str) -> str:
+    """The first character of the first file that has any."""
+    return next((c for c in (first_character(spark, f) for f in sorted(spark.read.text(uri).inputFiles())) if c), "")
 
 
 def format_of(uri: str) -> str | None:
@@ -215,7 +220,7 @@ def read_any(spark: SparkSession, uri: str) -> DataFrame:
     """Read by suffix, else by the first character of the data: JSON if ``{`` or ``[``, otherwise CSV."""
     fmt = format_of(uri)
     if fmt is None:
-        fmt = "json" if _first_line(spark, uri)[:1] in ("{", "[") else "csv"
+        fmt = "json" if first_of(spark, uri) in ("{", "[") else "csv"
     return read_table(spark, uri, fmt)
 
 
