@@ -23,7 +23,7 @@ from tableprep.functions.types import (
     text_literal,
 )
 from tableprep.operators import frequencies
-from tableprep.operators.ordered import ROWS_PER_RANGE, running
+from tableprep.operators.ordered import numbered
 from tableprep.operators.profile import Profile, profile
 from tableprep.plans.decide import Suggestions, feature_suggestions, wants_feature_advice
 from tableprep.session import together, written
@@ -189,14 +189,12 @@ def fit_one_hot(df: DataFrame, columns: Sequence[str], most: int | None = None)
     return [OneHot(c, dtype_of(df, c).simpleString(), [v for _, v in sorted(found[c])]) for c in columns]
 
 
-def fit_labels(
-    df: DataFrame, columns: Sequence[str], rows_per_range: int = ROWS_PER_RANGE, small: int = SMALL_DICTIONARY
-) -> list[LabelCodes]:
+def fit_labels(df: DataFrame, columns: Sequence[str], small: int = SMALL_DICTIONARY) -> list[LabelCodes]:
     """The dictionaries of several columns.
 
     Up to ``small`` values a dictionary is collected and becomes a literal table; all of those share
     two jobs, and their bytes together stay below a bound.  Other dictionaries stay distributed: values
-    are numbered range by range and the result is written once.
+    are sorted across partitions, numbered by their places and written once.
     """
     if not columns:
         return []
@@ -222,7 +220,7 @@ def fit_labels(
             rows = list(zip(ordered, range(len(ordered))))
             out.append(LabelCodes(column, df.sparkSession.createDataFrame(rows, "label string, code bigint"), True))
         else:
-            out.append(_large_labels(texts.select(F.col(slot).alias("label")), column, sizes[slot]["rows"], rows_per_range))
+            out.append(_large_labels(texts.select(F.col(slot).alias("label")), column, sizes[slot]["rows"]))
     return out
 
 
@@ -239,11 +237,10 @@ def _smallest(slots: list[str], sizes: dict, small: int) -> list[str]:
     return out
 
 
-def _large_labels(texts: DataFrame, column: str, rows: int, rows_per_range: int) -> LabelCodes:
+def _large_labels(texts: DataFrame, column: str, rows: int) -> LabelCodes:
     counts = written(texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "labels")
-    numbered = running(counts, [], ["label"], sums={"code": F.lit(1)}, rows_per_range=rows_per_range)
     key = frequencies.short_key(F.col("label")).alias("label")
-    dictionary = written(numbered.select(key, (F.col("code") - 1).cast("bigint").alias("code")), "dictionary")
+    dictionary = written(numbered(counts, ["label"], "code").select(key, F.col("code").cast("bigint")), "dictionary")
     hot = counts.filter(F.col("n") >= HOT_SHARE * rows).select(key).collect()
     return LabelCodes(column, dictionary, False, [r["label"] for r in hot])
 

@@ -1,16 +1,15 @@
 """Running values over an order, without one task per key.
 
 ``Window.partitionBy(key).orderBy(t)`` puts a whole key, or with no key the whole table, into one
-task.  Here the (key, order) space is first cut into ranges of about equal row counts at sampled
-split points.  The window runs inside a range, and what earlier ranges of the same key contribute is
-carried in.  A range boundary interrupts at most one key, so the carry table has at most two rows
-per range, whatever the skew.
+task.  Here the table is first sorted by (key, order) across partitions and written; a row's place
+(its partition, and how many rows stand before it there) tells its range, so all ranges but a
+partition's last have the same number of rows, whatever the keys.  The window runs inside a range, and
+what earlier ranges of the same key contribute is carried in.  A range boundary interrupts at most one
+key, so the carry table has at most two rows per range.  No split point ever becomes part of a plan.
 """
 
 from __future__ import annotations
 
-import json
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,55 +19,43 @@ from pyspark.sql.window import WindowSpec
 
 from tableprep.functions.types import MOMENTS, col, dtype_of, is_number, is_text
 from tableprep.operators.frequencies import short_key
+from tableprep.session import written
 
 ROWS_PER_RANGE = 2_000_000
-SAMPLES_PER_RANGE = 32
-POINT_BYTES = 64 * 1024 * 1024  # of all split points together
 RANGE = "__range"
+PLACE = "__place"
+ROW_BITS = 33  # of a place: the lower ones count the rows of a partition, the upper ones are the partition
 
 
-def split_points(df: DataFrame, by: Sequence[str], rows_per_range: int) -> list[dict]:
-    """Sampled split points over ``by``, as the JSON objects they are; empty when one range is enough.
-
-    Points are whole keys, however long their common start; there are as many as the rows ask for, as
-    long as all of them together fit the driver.
-    """
-    rows = df.count()
-    ranges = math.ceil(rows / rows_per_range)
-    if ranges <= 1:
-        return []
-    share = min(1.0, ranges * SAMPLES_PER_RANGE / rows)
+def sorted_places(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:
+    """The rows sorted by ``by`` across partitions, written once, with their ``PLACE``, which grows with the order."""
     keys = [col(c) for c in by]
-    point = F.struct(*[e.alias(c) for e, c in zip(keys, by)])
-    # The least sampled key of each of so many ranges; one key per range leaves the executors.
-    sample = df.select(*keys).sample(False, share, 11).repartitionByRange(ranges, *keys)
-    firsts = sample.groupBy(F.spark_partition_id().alias("__part")).agg(F.min(point).alias("point"))
-    text = F.to_json("point", {"ignoreNullFields": "false"})
-    found = firsts.select("__part", text.alias("point"), F.octet_length(text).alias("bytes"))
-    total = found.agg(F.sum("bytes")).first()[0] or 0
-    thin = math.ceil(total / POINT_BYTES) or 1
-    kept = found.filter(F.col("__part") % thin == 0).orderBy("__part").select("point").collect()
-    return [json.loads(p) for p in dict.fromkeys(row["point"] for row in kept[1:])]
-
-
-def with_range(df: DataFrame, by: Sequence[str], splits: list[dict]) -> DataFrame:
-    """Add the number of split points at or before each row: its range, increasing with the order of ``by``.
-
-    The points become one sorted literal, and each column below is one step of a binary search in it.
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return written(ordered.withColumn(PLACE, F.monotonically_increasing_id()), label)
+
+
+def with_ranges(df: DataFrame, by: Sequence[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Add each row's range, a number that grows with the order of ``by``.
+
+    A table of one range is returned as it is, without the column.
     """
-    out = df.withColumn(RANGE, F.lit(0))
-    if not splits:
-        return out
-    fields = [T.StructField(c, dtype_of(df, c)) for c in by]
-    points = F.sort_array(F.from_json(F.lit(json.dumps(splits)), T.ArrayType(T.StructType(fields))))
-    out = out.withColumn("__key", F.struct(*[col(c).alias(c) for c in by]))
-    step = 1 << (len(splits).bit_length() - 1)
-    while step:
-        at = F.col(RANGE) + step
-        reached = (at <= len(splits)) & (F.element_at(points, F.least(at, F.lit(len(splits)))) <= F.col("__key"))
-        out = out.withColumn(RANGE, F.when(reached, at).otherwise(F.col(RANGE)))
-        step >>= 1
-    return out.drop("__key")
+    if df.count() <= rows_per_range:
+        return df
+    rows = F.col(PLACE).bitwiseAND((1 << ROW_BITS) - 1)
+    range_ = F.col(PLACE) - rows + F.floor(rows / F.lit(rows_per_range))
+    return sorted_places(df, by, "ranges").withColumn(RANGE, range_).drop(PLACE)
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str, label: str = "numbered") -> DataFrame:
+    """Add the number of rows before each row in ``order``, which must be total: one sort, no window."""
+    placed = sorted_places(df, order, label)
+    part = F.shiftright(PLACE, ROW_BITS)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))  # one row per partition
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    joined = placed.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    at = F.col("__start") + F.col(PLACE).bitwiseAND((1 << ROW_BITS) - 1)
+    return joined.select(*[col(c) for c in df.columns], at.alias(name))
 
 
 def running(
@@ -80,20 +67,22 @@ def running(
     lasts: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
     nexts: dict[str, Column] | None = None,
-    rows_per_range: int = ROWS_PER_RANGE,
-    splits: list[dict] | None = None,
+    rows_per_range: int | None = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Add, for each row in ``order`` within ``keys``:
 
     ``sums``: the total up to and including the row; ``lasts``: the last non-null value up to and
     including it; ``previous``: the same, before it; ``nexts``: the first non-null value from it on.
 
-    ``order`` must be total within a key: add a unique column when ties are possible.  ``splits``
-    over ``keys + order`` may be passed in to share them between calls.
+    ``order`` must be total within a key: add a unique column when ties are possible.  A table that
+    ``with_ranges`` has cut by ``keys + order`` (or by columns between them that the rows left do not
+    differ in) is not cut again and keeps its ranges; ``rows_per_range=None`` says that it is small.
     """
     sums, lasts, previous, nexts = dict(sums or {}), dict(lasts or {}), dict(previous or {}), dict(nexts or {})
-    if splits is None:
-        splits = split_points(df, [*keys, *order], rows_per_range)
+    given = df.columns
+    if RANGE not in given and rows_per_range is not None:
+        df = with_ranges(df, [*keys, *order], rows_per_range)
+    ranged = RANGE in df.columns
     wanted = {
         **{n: ("sum", e) for n, e in sums.items()},
         **{n: ("last", e) for n, e in lasts.items()},
@@ -102,30 +91,28 @@ def running(
     }
     kinds = [kind for kind, _ in wanted.values()]
     tags = [short_key(col(k)) if is_text(dtype_of(df, k)) else col(k) for k in keys]
-    inputs = df.select(
+    named = df.select(
         "*",
         *[e.alias(f"__x{i}") for i, (_, e) in enumerate(wanted.values())],
         *[tag.alias(f"__k{i}") for i, tag in enumerate(tags)],
     )
-    named = with_range(inputs, [*keys, *order], splits)
-    inside = Window.partitionBy(*[col(c) for c in keys], *([RANGE] if splits else [])).orderBy(*[col(c) for c in order])
+    inside = Window.partitionBy(*[col(c) for c in keys], *([RANGE] if ranged else [])).orderBy(*[col(c) for c in order])
     frames = {
         "sum": inside.rowsBetween(Window.unboundedPreceding, 0),
         "last": inside.rowsBetween(Window.unboundedPreceding, 0),
         "previous": inside.rowsBetween(Window.unboundedPreceding, -1),
-        "next": _reversed(keys, order, bool(splits)).rowsBetween(Window.unboundedPreceding, 0),
+        "next": _reversed(keys, order, ranged).rowsBetween(Window.unboundedPreceding, 0),
     }
     local = named.select(
         *[col(c) for c in df.columns],
         *[f"__k{i}" for i in range(len(keys))],
-        RANGE,
         *[
             (F.sum(f"__x{i}") if kind == "sum" else F.last(f"__x{i}", True)).over(frames[kind]).alias(f"__r{i}")
             for i, kind in enumerate(kinds)
         ],
     )
-    if not splits:
-        return local.select(*[col(c) for c in df.columns], *[F.col(f"__r{i}").alias(n) for i, n in enumerate(wanted)])
+    if not ranged:
+        return local.select(*[col(c) for c in given], *[F.col(f"__r{i}").alias(n) for i, n in enumerate(wanted)])
     carry = _carry(named, len(keys), order, kinds)
     same_place = F.col(f"a.{RANGE}") == F.col(f"b.{RANGE}")
     for i in range(len(keys)):
@@ -141,7 +128,7 @@ def running(
         return here + F.coalesce(carried, F.lit(0)) if kind == "sum" else F.coalesce(here, carried)
 
     return joined.select(
-        *[F.col(f"a.`{c.replace('`', '``')}`").alias(c) for c in df.columns],
+        *[F.col(f"a.`{c.replace('`', '``')}`").alias(c) for c in given],
         *[total(i, kind).alias(n) for i, (n, kind) in enumerate(zip(wanted, kinds))],
     )
 

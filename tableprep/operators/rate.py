@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableprep.functions.types import col, dtype_of
-from tableprep.operators.ordered import ROWS_PER_RANGE, running, split_points
+from tableprep.operators.ordered import RANGE, ROWS_PER_RANGE, running, with_ranges
 from tableprep.session import written
 
 # The limits that apply unless others are given.
@@ -37,10 +37,9 @@ def micros(df: DataFrame, ts: str) -> Column:
 
 def _windowed(
     df: DataFrame, user: str, ts: str, tie: str, window_seconds: int, rows_per_range: int, oldest: bool
-) -> tuple[DataFrame, list]:
-    """``df`` plus ``__t`` and ``prior`` (and ``__oldest``), and the split points over (user, time, tie)."""
+) -> DataFrame:
+    """``df`` plus ``__t`` and ``prior`` (and ``__oldest``), on a large table also its ranges over (user, time, tie)."""
     marked = df.withColumn("__t", micros(df, ts))
-    splits = split_points(marked, [user, "__t", tie], rows_per_range)
     leaves = F.col("__t") + F.lit(window_seconds * MICROS)
     arrivals = marked.select("*", F.lit(1).alias("__kind"), F.lit(None).cast("bigint").alias("__leaves"))
     expiries = marked.select(
@@ -50,17 +49,19 @@ def _windowed(
         leaves.alias("__leaves"),
     )
     # At equal times an expiry comes first: the window is open on its left.
+    order = ["__t", "__kind", tie]
     counted = running(
-        arrivals.unionAll(expiries),
+        with_ranges(arrivals.unionAll(expiries), [user, *order], 2 * rows_per_range),
         [user],
-        ["__t", "__kind", tie],
+        order,
         sums={"__open": F.when(F.col("__kind") == 1, 1).otherwise(-1)},
         nexts={"__next": F.col("__leaves")} if oldest else None,
-        splits=[{**p, "__kind": 1} for p in splits],
+        rows_per_range=None,
     )
     extra = [(F.col("__next") - F.lit(window_seconds * MICROS)).alias("__oldest")] if oldest else []
+    extra += [F.col(RANGE)] if RANGE in counted.columns else []
     prior = (F.col("__open") - 1).cast("bigint").alias("prior")
-    return counted.filter("__kind = 1").select(*[col(c) for c in df.columns], "__t", prior, *extra), splits
+    return counted.filter("__kind = 1").select(*[col(c) for c in df.columns], "__t", prior, *extra)
 
 
 def sliding_counts(
@@ -75,7 +76,7 @@ def sliding_counts(
 
     ``tie`` is a unique column that orders requests of the same instant.
     """
-    return _windowed(df, user, ts, tie, window_seconds, rows_per_range, False)[0].drop("__t")
+    return _windowed(df, user, ts, tie, window_seconds, rows_per_range, False).drop("__t", RANGE)
 
 
 def audit(
@@ -91,7 +92,7 @@ def audit(
 
     ``remaining`` is null for denied requests, ``retry_after`` for admitted ones.
     """
-    counted, _ = _windowed(df, user, ts, tie, window_seconds, rows_per_range, True)
+    counted = _windowed(df, user, ts, tie, window_seconds, rows_per_range, True)
     leaves = F.lit(window_seconds * MICROS)
     denied = F.col("prior") >= limit
     wait = F.floor((F.col("__oldest") + leaves - F.col("__t")) / F.lit(MICROS)).cast("bigint") + 1
@@ -123,12 +124,12 @@ def admission(
     reads it as a stream of batches and keeps at most ``limit`` times, so no group is held in memory.
     """
     width = window_seconds * MICROS
-    counted, splits = _windowed(df, user, ts, tie, window_seconds, rows_per_range, False)
-    shared = {"splits": splits}
+    counted = _windowed(df, user, ts, tie, window_seconds, rows_per_range, False)
+    shared = {"rows_per_range": None}
 
     def staged(frame: DataFrame, label: str) -> DataFrame:
         # On a large table every running pass would otherwise repeat the ones before it.
-        return written(frame, label) if splits else frame
+        return written(frame, label) if RANGE in frame.columns else frame
 
     sure = F.col("prior") < limit
     ahead = staged(

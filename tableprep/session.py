@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -44,32 +45,51 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/tableprep/{label}-{uuid.uuid4().hex}"
 
 
-_made: list[list[str]] = []  # scratch folders made inside each open scratch_scope
+class ScratchRun:
+    """Scratch folders made inside one open scope; scopes of one thread of work are nested."""
+
+    def __init__(self, outer: ScratchRun | None):
+        self.outer = outer
+        self.paths: list[str] = []
+
+
+_run: ContextVar[ScratchRun | None] = ContextVar("scratch_run", default=None)
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession):
     """Delete what ``written`` makes inside the block when it ends, but for tables given to ``keep``.
 
-    ``with scratch_scope(spark) as keep: ...; result = keep(written(table, "result"))``
+    ``with scratch_scope(spark) as keep: ...; result = keep(written(table, "result"))``.  A kept table
+    belongs to the scope around.  Scopes of other threads are apart; jobs given to ``together`` belong to
+    the scope that it is called in.
     """
-    made: list[str] = []
-    _made.append(made)
+    run = ScratchRun(_run.get())
+    token = _run.set(run)
 
     def keep(df):
-        made.remove(df.scratch)
-        if len(_made) > 1:
-            _made[-2].append(df.scratch)
+        run.paths.remove(df.scratch)
+        if run.outer is not None:
+            run.outer.paths.append(df.scratch)
         return df
 
     try:
         yield keep
     finally:
-        _made.remove(made)
-        for path in made:
+        _run.reset(token)
+        for path in run.paths:
             delete(spark, path)
 
 
+def scoped_path(spark: SparkSession, label: str) -> str:
+    """A fresh scratch folder that the open scope, if any, deletes when it ends."""
+    path = scratch_path(spark, label)
+    run = _run.get()
+    if run is not None:
+        run.paths.append(path)
+    return path
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a file or folder on any storage that Spark can reach."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -87,9 +107,7 @@ def written(df, label: str):
     A lost executor then costs a file read, not a recomputation of everything before it, and later
     jobs all see the same rows in the same files.
     """
-    path = scratch_path(df.sparkSession, label)
-    if _made:
-        _made[-1].append(path)
+    path = scoped_path(df.sparkSession, label)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path
@@ -101,4 +119,4 @@ def together(*jobs: Callable[[], Any]) -> list[Any]:
     if len(jobs) < 2:
         return [job() for job in jobs]
     with ThreadPoolExecutor(min(8, len(jobs))) as pool:
-        return [f.result() for f in [pool.submit(job) for job in jobs]]
+        return [f.result() for f in [pool.submit(copy_context().run, job) for job in jobs]]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tableprep.functions.types import col
 from tableprep.operators.profile import EXPRESSIONS_PER_JOB
-from tableprep.session import scratch_path
+from tableprep.session import scoped_path
 from tableprep.sources.ranges import first_character, json_lines, quoted_csv
 
 # The texts that mean "missing" in a CSV field.
@@ -176,7 +176,7 @@ def read_json(spark: SparkSession, uri: str) -> DataFrame:
     parsed by one task per file.
     """
     if first_of(spark, uri) == "[":
-        path = scratch_path(spark, "lines")
+        path = scoped_path(spark, "lines")
         json_lines(spark, uri).write.text(path)
         return with_json_dates(spark.read.json(path))
     df = spark.read.json(uri)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -10,10 +13,10 @@ from pyspark.sql import functions as F
 from tableprep import prepare, prepare_dataset, read_csv, read_json
 from tableprep.operators.eda import correlation
 from tableprep.operators.features import encode_labels, fit_labels
-from tableprep.operators.ordered import split_points, with_range
+from tableprep.operators.ordered import RANGE, running, with_ranges
 from tableprep.operators.rate import MICROS, admission
 from tableprep.plans.store import load_plan, save_plan
-from tableprep.session import exists, scratch_path, scratch_scope, written
+from tableprep.session import exists, scratch_path, scratch_scope, together, written
 from tableprep.sources import registry
 from tableprep.streaming.apply import file_stream, intake
 
@@ -53,12 +56,29 @@ def test_small_dictionaries_are_bounded_together(spark, monkeypatch):
 
 
 def test_ranges_stay_even_behind_a_common_start(spark):
-    start = "same " * 60
-    df = spark.range(2000).select(F.concat(F.lit(start), F.lpad(F.col("id").cast("string"), 5, "0")).alias("k"))
-    points = split_points(df, ["k"], 50)
-    sizes = [r["count"] for r in with_range(df, ["k"], points).groupBy("__range").count().collect()]
-    assert len(points) >= 30 and max(sizes) <= 150
-    assert len(split_points(spark.range(50_000), ["id"], 10)) > 4096
+    start = "same " * 400  # keys of 2 KB
+    df = spark.range(40_000).select(F.concat(F.lit(start), F.lpad(F.col("id").cast("string"), 5, "0")).alias("k"), "id").repartition(5)
+    began = time.time()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be one partition
+    try:
+        ranged = with_ranges(df, ["k"], 10)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in ranged.groupBy(RANGE).count().collect()]
+    assert len(sizes) >= 4000 and max(sizes) == 10
+    spread = ranged.groupBy((F.shiftright(RANGE, 33)).alias("part")).count().toPandas()["count"]
+    assert len(spread) > 1 and spread.max() < 3 * spread.mean()
+    assert [r["k"][-5:] for r in ranged.orderBy(RANGE, "k").limit(3).collect()] == ["00000", "00001", "00002"]
+    assert time.time() - began < 60
+
+
+def test_thousands_of_ranges(spark):
+    df = spark.range(60_000).select("id", (F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 == 0, F.col("id")).alias("v")).repartition(7)
+    began = time.time()
+    out = running(df, [], ["id"], sums={"n": F.lit(1)}, lasts={"last": F.col("v")}, rows_per_range=2)
+    wrong = out.filter((F.col("n") != F.col("id") + 1) | (F.col("last") != F.col("id") - F.col("id") % 7))
+    assert out.count() == 60_000 and wrong.isEmpty()
+    assert time.time() - began < 60
 
 
 def test_counts_beyond_integers(spark, tmp_path):
@@ -125,6 +145,55 @@ def test_scratch_is_deleted(spark):
     assert not exists(spark, path)
 
 
+def test_scopes_of_two_threads_are_apart(spark):
+    started, deleted, seen = threading.Event(), threading.Event(), []
+
+    def slow():
+        with scratch_scope(spark):
+            df = written(spark.range(7), "slow")
+            started.set()
+            deleted.wait(60)
+            seen.append(df.count())
+            seen.append(df.scratch)
+
+    thread = threading.Thread(target=slow)
+    thread.start()
+    started.wait(60)
+    with scratch_scope(spark):
+        own = written(spark.range(5), "quick").scratch
+    deleted.set()
+    thread.join()
+    assert seen[0] == 7 and not exists(spark, own) and not exists(spark, seen[1])
+
+
+def test_empty_inner_scopes_and_errors_inside(spark):
+    with scratch_scope(spark) as keep_outer:
+        with scratch_scope(spark):
+            pass
+        with scratch_scope(spark) as keep:
+            inner = keep(written(spark.range(3), "inner"))
+        with pytest.raises(ZeroDivisionError), scratch_scope(spark):
+            lost = written(spark.range(4), "lost").scratch
+            raise ZeroDivisionError
+        assert inner.count() == 3 and not exists(spark, lost)
+        both = together(lambda: written(spark.range(1), "one"), lambda: written(spark.range(2), "two"))
+        kept = keep_outer(both[0])
+    assert exists(spark, kept.scratch) and not exists(spark, both[1].scratch) and not exists(spark, inner.scratch)
+
+
+def test_two_runs_side_by_side(spark, tmp_path):
+    root, store = str(tmp_path / "registry"), str(tmp_path / "store")
+    for k in "ab":
+        lines = ["n,t"] + [f"{i if i % 4 else ''},{'xy'[i % 2]}" for i in range(50)]
+        (tmp_path / f"{k}.csv").write_text("\n".join(lines) + "\n")
+        row = [(k, "fast", str(tmp_path / f"{k}.csv"), "uploaded")]
+        registry.append(spark.createDataFrame(row, "id string, mode string, rawUrl string, status string"), "Dataset", root)
+    results = together(*[lambda k=k: prepare_dataset(spark, root, k, store) for k in "ab"])
+    assert [r.df.count() for r in results] == [50, 50]
+    states = registry.latest(registry.read(spark, "Dataset", root)).select("id", "status").collect()
+    assert sorted(tuple(r) for r in states) == [("a", "completed"), ("b", "completed")]
+
+
 def test_stored_plans(spark, tmp_path):
     rows = [(i, "abc"[i % 3] if i % 7 else None, f"k{i % 40}", float(i % 9) if i % 4 else None, 1000.0 if i == 5 else float(i % 13)) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, few string, many string, gap double, far double")

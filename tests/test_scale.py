@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tableprep import admission, audit, encode_labels, forward_fill, profile
 from tableprep.operators import frequencies, quantiles
 from tableprep.operators import profile as profiling
-from tableprep.operators.ordered import RANGE, running, split_points, with_range
+from tableprep.operators.ordered import RANGE, numbered, running, with_ranges
 from tableprep.sources import registry
 
 
@@ -58,14 +58,13 @@ def test_a_wrong_bracket_is_noticed(spark, skewed):
 
 
 def test_ranges_follow_the_order(skewed):
-    _, df = skewed
-    splits = split_points(df, ["user", "t", "id"], 100)
-    assert 20 <= len(splits) <= 32
-    placed = with_range(df, ["user", "t", "id"], splits)
+    frame, df = skewed
+    placed = with_ranges(df, ["user", "t", "id"], 100)
     ranges = [r[RANGE] for r in placed.orderBy("user", "t", "id").collect()]
     assert ranges == sorted(ranges)
     sizes = pd.Series(ranges).value_counts()
-    assert sizes.max() < 400 and len(sizes) >= 20
+    assert sizes.max() == 100 and len(sizes) >= len(frame) // 100
+    assert RANGE not in with_ranges(df, ["user", "t", "id"], len(frame)).columns
 
 
 @pytest.mark.parametrize("rows_per_range", [10**9, 200, 37])
@@ -97,6 +96,12 @@ def test_running_values(skewed, keys, rows_per_range):
         pd.testing.assert_series_equal(out[c], expected[c], check_dtype=False, check_names=False)
 
 
+def test_numbers_follow_the_order(skewed):
+    frame, df = skewed
+    out = numbered(df, ["user", "t", "id"], "n").toPandas().sort_values(["user", "t", "id"])
+    assert out["n"].tolist() == list(range(len(frame)))
+
+
 def test_running_keeps_null_keys_and_orders(spark):
     rows = [(i, None if i % 3 == 0 else "a", None if i % 5 == 0 else i, i if i % 4 == 0 else None) for i in range(400)]
     df = spark.createDataFrame(rows, "id int, k string, o int, v int")
@@ -188,7 +193,7 @@ def test_large_dictionary(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"v{i % 200:03d}" + "x" * (i % 90) if i % 7 else None) for i in range(1500)]
     df = spark.createDataFrame(rows, "id int, t string")
     small = encode_labels(df, "t").orderBy("id").collect()
-    large = encode_labels(df, "t", small=0, rows_per_range=25)
+    large = encode_labels(df, "t", small=0)
     assert large.orderBy("id").collect() == small
     texts = sorted({"nan" if t is None else t for _, t in rows})
     assert [r.t for r in small] == [texts.index("nan" if t is None else t) for _, t in rows]
@@ -239,4 +244,5 @@ def test_number_of_jobs_does_not_grow_with_columns(spark):
 
 
 def _job_count(spark) -> int:
-    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    """Jobs submitted so far; the status tracker forgets early ones."""
+    return spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
