@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tableprep.llm.common import annotate
-from tableprep.operators.ordered import ROWS_PER_RANGE, running, split_points
+from tableprep.operators.ordered import RANGE, running, with_ranges
 from tableprep.session import written
 
 START_TEXT, END_TEXT = "<|im_start|>", "<|im_end|>"
@@ -112,12 +112,12 @@ def format_turns(conversations: DataFrame, ranks: str, pattern: str, learned: tu
         return [list(column) for column in zip(*made)]
 
     order = ["turn", "role", "digest"]
-    # split points come from the plain turns, so that texts are encoded once
-    splits = split_points(turns, ["conv_id", *order], ROWS_PER_RANGE)
-    made = annotate(turns, "segment", TURN, compute).drop("segment")
-    made = written(made, "turns") if splits else made
+    # ranges come from the plain turns, so that texts are encoded once
+    ranged = with_ranges(turns, ["conv_id", *order])
+    made = annotate(ranged, "segment", TURN, compute).drop("segment")
+    made = written(made, "turns") if RANGE in made.columns else made
     stop = {"ids_stop": F.size("ids").cast("long")}
-    placed = running(made, ["conv_id"], order, sums=stop, splits=splits).withColumn("ids_start", F.col("ids_stop") - F.size("ids"))
+    placed = running(made, ["conv_id"], order, sums=stop, rows_per_range=None).withColumn("ids_start", F.col("ids_stop") - F.size("ids"))
     masked = F.col("role").isin(*learned)
     return placed.select(
         "conv_id", "turn", "role", "digest", "ids", "ids_start",
