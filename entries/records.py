@@ -516,6 +516,30 @@ def prepare_dataset_twice(spark, sf_dir):
     )
 
 
+@query(
+    "registry_log_lookup",
+    "WITH l AS (SELECT 'column_' || l_linenumber AS \"column\", CAST(l_quantity AS BIGINT) AS q, l_orderkey FROM lineitem) "
+    "SELECT 'table' AS scope, \"column\", count(*) AS lines, CAST(sum(q) AS BIGINT) AS outliers FROM l GROUP BY \"column\" UNION ALL "
+    "SELECT 'dataset', \"column\", count(*), CAST(sum(q) AS BIGINT) FROM l WHERE l_orderkey = (SELECT max(l_orderkey) FROM lineitem) GROUP BY \"column\"",
+)
+def registry_log_lookup(spark, sf_dir):
+    # Logs written in more appends than a level holds, then read as a whole and for one dataset.
+    root = scratch_path(spark, "registry")
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "CAST(l_orderkey AS STRING) AS datasetId", "concat('column_', l_linenumber) AS column", "CAST(l_quantity AS BIGINT) AS outlierCount",
+        "pmod(xxhash64(l_orderkey, l_linenumber), 18) AS part", "l_orderkey",
+    )
+    for part in range(18):
+        registry.append(lines.filter(F.col("part") == part).drop("part"), "OutlierLog", root)
+    last = str(lines.agg(F.max("l_orderkey")).first()[0])
+    out = None
+    for scope, logs in (("table", registry.read(spark, "OutlierLog", root)), ("dataset", registry.read(spark, "OutlierLog", root, last))):
+        counted = logs.groupBy("column").agg(F.count(F.lit(1)).alias("lines"), F.sum("outlierCount").alias("outliers"))
+        counted = counted.select(F.lit(scope).alias("scope"), "column", "lines", "outliers")
+        out = counted if out is None else out.unionAll(counted)
+    return out
+
+
 @query(
     "registry_location",
     f"""SELECT id, coalesce("rawUrl", CASE WHEN "rawDataPath" LIKE 'data/%' THEN "rawDataPath" ELSE 'data/' || "rawDataPath" END) AS location FROM ({DATASETS})""",

@@ -147,7 +147,7 @@ def prepare_dataset(spark, root: str, dataset_id: str, prefix: str, fmt: str = "
     """
     from tableprep.plans.store import load_plan, save_plan
 
-    entry = registry.latest(registry.read(spark, "Dataset", root)).filter(F.col("id") == dataset_id).first()
+    entry = registry.latest(registry.read(spark, "Dataset", root, dataset_id)).first()
     if entry is None:
         raise LookupError(f"no dataset {dataset_id}")
 

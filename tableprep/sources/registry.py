@@ -1,6 +1,6 @@
 """The registry: dataset, log and usage tables, and the questions asked of them.
 
-Tables are append-only files; an update is a further version of a row, and the latest version wins.
+Tables are append-only (``commits.py``); an update is a further version of a row, and the latest version wins.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tableprep.operators.ordered import ROWS_PER_RANGE, running
+from tableprep.sources.commits import append_run, read_runs
 
 # The table schemas.
 SCHEMAS = {
@@ -25,6 +26,9 @@ SCHEMAS = {
     "FeatureLog": "id string, datasetId string, action string, details string, createdAt timestamp",
     "GraphMetadata": "id string, datasetId string, type string, column string, filePath string, createdAt timestamp",
 }
+# The column that a table's rows are looked up by.
+KEYS = {"Dataset": "id", "UserModeUsage": "userId"}
+DEFAULT_KEY = "datasetId"
 # States, their progress texts, quotas per user and mode, queues.
 STATUSES = ["uploaded", "processing", "completed", "failed"]
 PROGRESS = {
@@ -54,11 +58,13 @@ def append(df: DataFrame, table: str, root: str) -> None:
         default = defaults.get(f.name, F.lit(None))
         value = default if given is None else (F.coalesce(given, default) if f.name in defaults else given)
         out.append(value.cast(f.dataType).alias(f.name))
-    df.select(*out).write.mode("append").parquet(f"{root.rstrip('/')}/{table}")
+    append_run(df.select(*out), f"{root.rstrip('/')}/{table}", KEYS.get(table, DEFAULT_KEY))
 
 
-def read(spark: SparkSession, table: str, root: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[table]).parquet(f"{root.rstrip('/')}/{table}")
+def read(spark: SparkSession, table: str, root: str, key: str | None = None) -> DataFrame:
+    """A table as of now; ``key`` reads the rows of one dataset (usage: of one user) from one bucket of the files."""
+    rows = read_runs(spark, f"{root.rstrip('/')}/{table}", empty(spark, table).schema, key)
+    return rows if key is None else rows.filter(F.col(KEYS.get(table, DEFAULT_KEY)) == key)
 
 
 def latest(changes: DataFrame, key: str = "id", version: str = "updatedAt") -> DataFrame:
