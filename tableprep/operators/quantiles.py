@@ -1,18 +1,22 @@
-"""Exact quantiles with bounded memory.
+"""Exact quantiles by counts alone.
 
 ``percentile`` sends a value-to-count map of the whole column to one reducer, which cannot work for
-billions of distinct doubles.  Here a sketch brackets every wanted order statistic, a second
-pass counts what lies below and on the bracket ends and fetches only the values strictly between
-them, and the exact order statistics are read off.  When the sketch is too coarse for that (very
-many rows), extra passes of the same shape shrink the brackets first.  No pass shuffles the table:
-only bracketed values move, and no buffer grows with the number of rows.
-
-The counts are exact, so a bracket that missed its target is noticed and widened, never trusted.
+billions of distinct doubles.  Here a sketch brackets every wanted order statistic, and passes over the
+table narrow the brackets: the values of a bracket are counted in bins of equal width, with the least and
+greatest value of each bin, and the bin that holds the wanted rank becomes the next bracket.
+
+Bins are cut in the doubles' own order: a double's 64 bits, read as an integer, grow with its value, so a
+bin holds as many possible doubles whatever their size.  Each pass takes the next dozen bits, so after six
+at most a bin is a single value, however the values lie; mostly the first pass is the last, because a rank
+that is the first, the second or the last of its bin is known.  No value list is ever gathered, what reaches
+the driver is at most ``BINS`` counts per quantile, and the counts are exact, so a bracket that missed its
+target is noticed and opened to the column's whole range.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -23,12 +27,11 @@ from tableprep.functions.types import as_double, dtype_of
 from tableprep.session import together
 
 ACCURACY = 10_000
-COLLECT_LIMIT = 50_000
+COLLECT_LIMIT = 50_000  # columns of fewer values are not sketched
 SLOTS_PER_JOB = 90
 SMALL_TABLE_ROWS = 20_000_000
 SIDE_BY_SIDE = 4
-MAX_PASSES = 40
-GRID = [i / 200 for i in range(201)]
+BINS = 4096
 
 
 @dataclass
@@ -87,135 +90,137 @@ def make_targets(
     return out
 
 
-def _pick(target: Target, below: int, at_lo: int, at_hi: int, inner: list[float], rank: int) -> float | None:
-    rank -= below
-    if rank < 0:
-        return None
-    if rank < at_lo:
-        return target.lo
-    rank -= at_lo
-    if rank < len(inner):
-        return inner[rank]
-    return target.hi if rank - len(inner) < at_hi else None
+def _interpolate(a: float, b: float, position: float) -> float:
+    return a if a == b else a + (b - a) * (position - math.floor(position))
+
+
+def order_key(value: float) -> int:
+    """The bits of a double as an integer that grows with the value; both zeros are 0."""
+    magnitude = int.from_bytes(struct.pack(">d", abs(value)))
+    return -magnitude if value < 0 else magnitude
+
+
+def order_keys(v: Column) -> Column:
+    """``order_key`` of a column, from exponent and fraction; every step is exact in doubles."""
+    m = F.abs(v)
+    guess = F.floor(F.log2(m)).cast("int")
+    power = lambda e: F.pow(F.lit(2.0), e)
+    down = guess - F.when(power(guess) > m, 1).otherwise(0)
+    exponent = down + F.when(power(down + 1) <= m, 1).otherwise(0)
+    fraction = ((m / power(exponent) - 1.0) * 2.0**52).cast("bigint")
+    normal = F.shiftleft((exponent + 1023).cast("bigint"), 52) + fraction
+    least = (m * 2.0**537 * 2.0**537).cast("bigint")
+    magnitude = (
+        F.when(m == math.inf, F.lit(0x7FF << 52).cast("bigint")).when(m < 2.0**-1022, least).otherwise(normal)
+    )
+    return F.when(v < 0, -magnitude).otherwise(magnitude)
 
 
-def _interpolate(a: float, b: float, position: float) -> float:
-    return a + (b - a) * (position - math.floor(position))
+def bin_shift(lo: float, hi: float, bins: int) -> tuple[int, int]:
+    """How many low bits of a key to leave out so that [lo, hi] has at most ``bins`` bins, and the first bin."""
+    low, high, shift = order_key(lo), order_key(hi), 0
+    while (high >> shift) - (low >> shift) + 1 > bins:
+        shift += 1
+    return shift, low >> shift
 
 
-def solve(df: DataFrame, targets: list[Target], accuracy: int = ACCURACY, limit: int = COLLECT_LIMIT) -> None:
-    """Fill in ``value`` of every target; jobs are per pass, not per target."""
+def solve(df: DataFrame, targets: list[Target], accuracy: int = ACCURACY, limit: int = BINS) -> None:
+    """Fill in ``value`` of every target with at most ``limit`` bins each; jobs are per pass, not per target."""
     pending = [t for t in targets if t.rows > 0]
     for t in pending:
         if t.floor == t.ceiling:
             t.value = t.floor
     pending = [t for t in pending if t.value is None]
-    for _ in range(MAX_PASSES):
-        if not pending:
-            return
+    while pending:
         size = SLOTS_PER_JOB
         if pending[0].rows <= SMALL_TABLE_ROWS:
             size = min(size, 3 * math.ceil(len(pending) / (3 * SIDE_BY_SIDE)))
         batches = [pending[i : i + size] for i in range(0, len(pending), size)]
-        together(*[partial(_one_pass, df, batch, accuracy, limit) for batch in batches])
+        together(*[partial(_one_pass, df, batch, max(limit, 3)) for batch in batches])
         pending = [t for t in pending if t.value is None]
-    raise RuntimeError(f"no exact quantile after {MAX_PASSES} passes; NaN left in {pending[0].column!r}?")
 
 
-def _one_pass(df: DataFrame, batch: list[Target], accuracy: int, limit: int) -> None:
-    """Count below and on the bracket ends, and fetch the values (or a grid of them) between.
+def _one_pass(df: DataFrame, batch: list[Target], bins: int) -> None:
+    """Count below the brackets, on their ends, and in the bins between.
 
     Columns are stacked to ``(c, v)`` and brackets looked up by ``c``, so the generated code stays
     small however many columns there are.
     """
     columns = list(dict.fromkeys(t.column for t in batch))
     of_column = [[i for i, t in enumerate(batch) if t.column == c] for c in columns]
-    width = max(len(ids) for ids in of_column)
     stacked = F.array(*[as_double(c, dtype_of(df, c)) for c in columns])
     long = df.select(F.posexplode(stacked).alias("c", "v")).filter("v IS NOT NULL")
+    counts, found = together(
+        lambda: _end_counts(long, batch, of_column),
+        lambda: _bin_counts(long, batch, of_column, bins),
+    )
+    for i, t in enumerate(batch):
+        below, at_lo, at_hi = counts[i]
+        inner = sorted(found.get(i, []))
+        _advance(t, below, [(-1, at_lo, t.lo, t.lo), *inner, (bins, at_hi, t.hi, t.hi)])
 
-    def bound(end: str, w: int) -> Column:
-        """The ``w``-th bracket end of the row's column; NaN, which no comparison meets, where there is none."""
-        ends = [float(getattr(batch[ids[w]], end)) if w < len(ids) else math.nan for ids in of_column]
-        return F.element_at(F.array(*[F.lit(e) for e in ends]), F.col("c") + 1)
 
-    v = F.col("v")
-    counts = []
-    for w in range(width):
-        lo, hi = bound("lo", w), bound("hi", w)
+def _ends(batch: list[Target], of_column: list[list[int]], end: str, w: int) -> Column:
+    """The ``w``-th bracket end of the row's column; NaN, which no value is below or reaches, where there is none."""
+    ends = [float(getattr(batch[ids[w]], end)) if w < len(ids) else math.nan for ids in of_column]
+    return F.element_at(F.array(*[F.lit(e) for e in ends]), F.col("c") + 1)
+
+
+def _end_counts(long: DataFrame, batch: list[Target], of_column: list[list[int]]) -> dict[int, tuple[int, int, int]]:
+    """Values below each bracket, on its lower end and on its upper one (0 where that is the same)."""
+    v, counts = F.col("v"), []
+    for w in range(max(len(ids) for ids in of_column)):
+        lo, hi = _ends(batch, of_column, "lo", w), _ends(batch, of_column, "hi", w)
         counts += [F.count_if(v < lo).alias(f"b{w}"), F.count_if(v == lo).alias(f"l{w}")]
         counts.append(F.count_if((v == hi) & (lo < hi)).alias(f"h{w}"))
-    inside = [(v > bound("lo", w)) & (v < bound("hi", w)) for w in range(width)]
-    rows, found = together(
-        lambda: {r["c"]: r for r in long.groupBy("c").agg(*counts).collect()},
-        lambda: _values_inside(long, batch, of_column, inside, accuracy, limit),
-    )
-    for k, ids in enumerate(of_column):
-        for w, i in enumerate(ids):
-            below, at_lo, at_hi = (rows[k][f"{name}{w}"] for name in "blh")
-            inner, known = found.get(i, (0, []))
-            _advance(batch[i], below, at_lo, at_hi, inner, known, accuracy, limit)
+    rows = {r["c"]: r for r in long.groupBy("c").agg(*counts).collect()}  # one row per column
+    return {i: tuple(rows[k][f"{x}{w}"] for x in "blh") for k, ids in enumerate(of_column) for w, i in enumerate(ids)}
 
 
-def _values_inside(
-    long: DataFrame, batch: list[Target], of_column: list[list[int]], inside: list[Column], accuracy: int, limit: int
-) -> dict[int, tuple[int, list[float]]]:
-    """Per target with an open bracket: how many values lie inside, and all of them or a grid of them."""
+def _bin_counts(
+    long: DataFrame, batch: list[Target], of_column: list[list[int]], bins: int
+) -> dict[int, list[tuple[int, int, float, float]]]:
+    """Per target the bins between its bracket's ends that have values: (bin, values, least, greatest)."""
     if all(t.lo == t.hi for t in batch):
         return {}
+    v = F.col("v")
     hits, any_inside = [], F.lit(False)
-    for w, hit in enumerate(inside):
+    for w in range(max(len(ids) for ids in of_column)):
+        lo, hi = _ends(batch, of_column, "lo", w), _ends(batch, of_column, "hi", w)
+        inside = (v > lo) & (v < hi)
         targets = F.array(*[F.lit(ids[w] if w < len(ids) else -1) for ids in of_column])
-        hits.append(F.when(hit, F.element_at(targets, F.col("c") + 1)))
-        any_inside = any_inside | hit
+        hits.append(F.when(inside, F.element_at(targets, F.col("c") + 1)))
+        any_inside = any_inside | inside
     slots = F.explode(F.array_compact(F.array(*hits))).alias("slot")
-    found = long.filter(any_inside).select("v", slots)
-    small = [i for i, t in enumerate(batch) if t.inner <= limit]
-    listed = F.collect_list(F.when(F.col("slot").isin(small), F.col("v"))).alias("listed")
-    grid = F.percentile_approx(F.when(~F.col("slot").isin(small), F.col("v")), GRID, accuracy).alias("grid")
-    wanted = [listed] if len(small) == len(batch) else [listed, grid]
-    rows = found.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), *wanted).collect()
-    return {r["slot"]: (r["n"], r["listed"] or r.asDict().get("grid")) for r in rows}
-
-
-def _advance(
-    t: Target, below: int, at_lo: int, at_hi: int, inner: int, values: list[float] | None, accuracy: int, limit: int
-) -> None:
+    found = long.filter(any_inside).select("v", order_keys(v).alias("key"), slots)
+    cuts = [bin_shift(t.lo, t.hi, bins) for t in batch]
+    shift = F.element_at(F.array(*[F.lit(s) for s, _ in cuts]), F.col("slot") + 1)
+    first = F.element_at(F.array(*[F.lit(b).cast("bigint") for _, b in cuts]), F.col("slot") + 1)
+    binned = found.select("slot", "v", (F.call_function("shiftright", F.col("key"), shift) - first).cast("int").alias("bin"))
+    counted = binned.groupBy("slot", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    out: dict[int, list[tuple[int, int, float, float]]] = {}
+    for slot, bin_, n, least, most in counted.collect():  # at most ``bins`` rows per target
+        out.setdefault(slot, []).append((bin_, n, least, most))
+    return out
+
+
+def _advance(t: Target, below: int, found: list[tuple[int, int, float, float]]) -> None:
+    """Read the value off the bins, or narrow the bracket to the bin that holds it."""
     first, last = t.ranks
-    if first < below or last >= below + at_lo + inner + at_hi:
-        t.lo, t.hi, t.inner = t.floor, t.ceiling, t.rows
+    if first < below or last >= below + sum(n for _, n, _, _ in found):
+        if (t.lo, t.hi) == (t.floor, t.ceiling):
+            raise RuntimeError(f"values of {t.column!r} lie outside of its range; NaN left?")
+        t.lo, t.hi = t.floor, t.ceiling
         return
-    if t.inner <= limit or inner == 0 or last < below + at_lo or first >= below + at_lo + inner:
-        known = sorted(values or []) if t.inner <= limit else []
-        padded = known if t.inner <= limit else _Blank(inner)
-        a = _pick(t, below, at_lo, at_hi, padded, first)
-        b = _pick(t, below, at_lo, at_hi, padded, last)
-        if a is not None and b is not None:
-            t.value = _interpolate(a, b, t.position)
-            return
-    # Too many values between the ends: move the ends to the nearest grid points around the target.
-    start = below + at_lo
-    slack = 2.0 / accuracy + 1.5 / (len(GRID) - 1)
-    low_share = max(0.0, (first - start) / inner - slack)
-    high_share = min(1.0, (last - start + 1) / inner + slack)
-    low_index = math.floor(low_share * (len(GRID) - 1))
-    high_index = math.ceil(high_share * (len(GRID) - 1))
-    if first >= start and low_index > 0:
-        t.lo = float(values[low_index])
-    if last < start + inner and high_index < len(GRID) - 1:
-        t.hi = float(values[high_index])
-    width = (high_index - low_index) / (len(GRID) - 1) + 2.0 / accuracy
-    t.inner = min(inner, math.ceil(width * inner) + 2)
-
-
-class _Blank:
-    """Stands for ``size`` unknown inner values: ranks falling there stay unresolved."""
-
-    def __init__(self, size: int):
-        self.size = size
-
-    def __len__(self) -> int:
-        return self.size
-
-    def __getitem__(self, index: int) -> None:
-        return None
+    known = {}
+    for _, n, least, most in found:
+        for rank in {first, last} - known.keys():
+            if n and rank == below or (below < rank < below + n and least == most):
+                known[rank] = least
+            elif rank == below + n - 1:
+                known[rank] = most
+            elif below < rank < below + n:
+                t.lo, t.hi = least, most
+                return
+        below += n
+    t.value = _interpolate(known[first], known[last], t.position)

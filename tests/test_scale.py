@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import deque
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -246,3 +248,49 @@ def test_number_of_jobs_does_not_grow_with_columns(spark):
 def _job_count(spark) -> int:
     """Jobs submitted so far; the status tracker forgets early ones."""
     return spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+
+
+def adversarial(kind: str) -> list[float]:
+    rng = np.random.default_rng(3)
+    tiny = [np.nextafter(1.0, 2.0) + i * 2.0**-52 for i in range(3000)]
+    return {
+        "neighbours": [float(x) for x in tiny] * 2,
+        "all sizes": [float(s * 10.0**e) for e in range(-320, 309) for s in (-1.0, -3.3, 1.0, 7.7)],
+        "least": [float(i * 5e-324) for i in range(-1500, 1500)],
+        "bits": [x for x in rng.integers(-(2**62), 2**62, 5000).view(np.float64).tolist() if x == x and abs(x) < math.inf],
+        "hot": [0.0] * 4000 + [-0.0] * 500 + [1e-300 * i for i in range(1000)] + [1e300],
+        "ends": [-math.inf, math.inf] + [float(i) for i in range(100)],
+    }[kind]
+
+
+@pytest.mark.parametrize("bins", [3, 64, quantiles.BINS])
+@pytest.mark.parametrize("kind", ["neighbours", "all sizes", "least", "bits", "hot"])
+def test_quantiles_end_on_adversarial_values(spark, kind, bins):
+    values = adversarial(kind)
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    ordered = sorted(values)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    targets = quantiles.make_targets("v", probs, len(values), ordered[0], ordered[-1], None)
+    passes = []
+    original = quantiles._bin_counts
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(quantiles, "_bin_counts", lambda *a: passes.append(1) or original(*a))
+        patched.setattr(quantiles, "SMALL_TABLE_ROWS", 0)
+        quantiles.solve(df, targets, limit=bins)
+    for t in targets:
+        low, high = ordered[t.ranks[0]], ordered[t.ranks[1]]
+        assert t.value == quantiles._interpolate(low, high, t.position)
+    assert len(passes) <= {3: 64, 64: 12, quantiles.BINS: 7}[bins]
+
+
+def test_order_keys_are_the_bits(spark):
+    values = [v for k in ("neighbours", "all sizes", "least", "bits", "ends") for v in adversarial(k)] + [2.0**e for e in range(-1074, 1024)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", quantiles.order_keys(F.col("v")).alias("k")).collect()
+    assert all(r.k == quantiles.order_key(r.v) for r in rows)
+    assert [r.k for r in sorted(rows)] == sorted(r.k for r in rows)
+
+
+def test_values_outside_of_the_range_are_noticed(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),)], "v double")
+    with pytest.raises(RuntimeError, match="NaN"):
+        quantiles.solve(df, quantiles.make_targets("v", [0.9], 3, 1.0, 2.0, None))
