@@ -17,6 +17,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -121,20 +122,17 @@ class Aligner:
     def slots_of(self, cut: list[list[str]]) -> np.ndarray:
         if len(self.slots) > TABLE_CHUNKS or self.characters > TABLE_CHARACTERS:
             self.clear()
-        known = self.slots
-        new = list(dict.fromkeys(c for keys in cut for c in keys if c not in known))
+        flat = list(chain.from_iterable(cut))
+        new = dict.fromkeys(flat).keys() - self.slots.keys()
         if new:
-            self.add(new)
-        return np.fromiter((s for keys in cut for s in map(known.__getitem__, keys)), dtype=np.int64)
+            self.add(list(new))
+        return np.array(list(map(self.slots.__getitem__, flat)), dtype=np.int64)
 
     def add(self, keys: list[str]) -> None:
         chunks = [k if k[:1] in (" ", "\n") and k else " " + k for k in keys]
-        strings: list[list[int]] = [[]]
-        for i, chunk in enumerate(chunks):
-            strings[-1].append(i)
-            if len(strings[-1]) == JOINED or chunk[-1].isspace():
-                strings.append([])
-        strings = [s for s in strings if s]
+        last = [i for i, c in enumerate(chunks) if c[-1].isspace()]  # nothing may follow in their string
+        others = sorted(set(range(len(chunks))) - set(last)) if last else range(len(chunks))
+        strings = [list(others[at : at + JOINED]) for at in range(0, len(others), JOINED)] + [[i] for i in last]
         for at in range(0, len(strings), 64):
             self.align(keys, chunks, strings[at : at + 64])
 
@@ -147,36 +145,40 @@ class Aligner:
         sizes: list[int] = []
         a_ids, a_ends, b_ids, b_ends, base = [], [], [], [], 0
         for string, text, a, b in zip(strings, texts, of_a, of_b):
-            data = text.encode()
-            if not (self.left.spells(a.ids, data) and self.right.spells(b["ids"], data)):
+            data, ids = text.encode(), a.ids
+            if not (self.left.spells(ids, data) and self.right.spells(b["ids"], data)):
                 if len(string) == 1:
-                    self.put(keys[string[0]], np.zeros(5, dtype=np.int64), "", np.zeros(0, dtype=self.kind))
+                    self.put([keys[string[0]]], np.zeros((5, 1), dtype=np.int64), [""], np.zeros(0, dtype=self.kind))
                 else:
                     self.align(keys, chunks, [[i] for i in string])
                 continue
-            ids, spans = np.array(a.ids, dtype=np.int64), np.array(a.offsets, dtype=np.int64)
-            if len(data) > len(text):
+            ids, spans = np.array(ids, dtype=np.int64), spans_of(a.offsets)
+            plain = len(data) == len(text)
+            if not plain:
                 points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
                 width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
                 spans = np.concatenate([[0], np.cumsum(width)])[spans]
             a_ids.append(ids)
             a_ends.append(base + self.left.ends(ids, spans[:, 0], spans[:, 1]))
-            ids, spans = np.array(b["ids"], dtype=np.int64), np.array(b["offsets"], dtype=np.int64) + 1
+            ids, spans = np.array(b["ids"], dtype=np.int64), spans_of(b["offsets"]) + 1
             spans[0, 0] = 0
             b_ids.append(ids)
             b_ends.append(base + self.right.ends(ids, spans[:, 0], spans[:, 1]))
-            members += [-1, *string]
-            sizes += [len(FIRST), *[len(chunks[i].encode()) for i in string]]
+            members.append(-1)
+            members += string
+            sizes.append(len(FIRST))
+            sizes += [len(chunks[i]) if plain else len(chunks[i].encode()) for i in string]
             base += len(data)
         if members:
             joined = [np.concatenate(x) for x in (a_ids, a_ends, b_ids, b_ends)]
-            self.store(keys, members, np.cumsum(sizes), *joined)
+            self.store(keys, np.array(members), np.cumsum(sizes), *joined)
 
     def store(self, keys, members, stops, a_ids, a_ends, b_ids, b_ends) -> None:
-        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        edges = np.union1d(a_ends, b_ends)  # each stretch between two edges is the overlap of one A and one B token
+        both = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+        again = both[1:] == both[:-1]
+        cuts = both[1:][again]  # where a token of each side ends
+        edges = both[np.concatenate([[True], ~again])]  # each stretch between two edges is the overlap of one A and one B token
         links = a_ids[np.searchsorted(a_ends, edges)] * self.n_b + b_ids[np.searchsorted(b_ends, edges)]
-        links = links.astype(self.kind)
         through = [np.searchsorted(x, stops, side="right") for x in (a_ends, b_ends, cuts, edges)]
         if len(stops) and not (cuts[through[2] - 1] == stops).all():
             raise ValueError("a token reaches over the end of a chunk")
@@ -184,31 +186,32 @@ class Aligner:
         shown = np.empty(len(a_ids) + len(b_ids), dtype=object)
         at_a = np.arange(len(a_ids)) + np.searchsorted(in_b, in_a, side="left")
         at_b = np.arange(len(b_ids)) + np.searchsorted(in_a, in_b, side="right")
-        shown[at_a] = self.left.shown[np.isin(a_ends, cuts, assume_unique=True).astype(np.int8), a_ids]
-        shown[at_b] = self.right.shown[np.isin(b_ends, cuts, assume_unique=True).astype(np.int8), b_ids]
+        shown[at_a] = self.left.shown[(cuts[in_a] == a_ends).astype(np.int8), a_ids]
+        shown[at_b] = self.right.shown[(cuts[in_b] == b_ends).astype(np.int8), b_ids]
         parts = shown.tolist()
         before = [np.concatenate([[0], x[:-1]]) for x in through]
         counts = np.array([t - s for s, t in zip(before, through)] + [np.ones(len(stops), dtype=np.int64)])
-        lo, hi = (before[0] + before[1]).tolist(), (through[0] + through[1]).tolist()
-        from_, to = before[3].tolist(), through[3].tolist()
-        for k, member in enumerate(members):
-            if member >= 0:
-                self.put(keys[member], counts[:, k], "".join(parts[lo[k] : hi[k]]), links[from_[k] : to[k]])
-
-    def put(self, key: str, counts: np.ndarray, shown: str, links: np.ndarray) -> None:
-        n = len(self.shown)
-        if n == len(self.ends):
+        kept = np.flatnonzero(members >= 0)
+        lo, hi = (before[0] + before[1])[kept].tolist(), (through[0] + through[1])[kept].tolist()
+        texts = ["".join(parts[i:j]) for i, j in zip(lo, hi)]
+        names = [keys[m] for m in members[kept].tolist()]
+        self.put(names, counts[:, kept], texts, links[np.repeat(members >= 0, counts[3])].astype(self.kind))
+
+    def put(self, keys: list[str], counts: np.ndarray, shown: list[str], links: np.ndarray) -> None:
+        """Add chunks with their counts, the texts of their groups and all their links one after the other."""
+        n, k = len(self.shown), len(keys)
+        while n + k > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)], axis=1)
         start = int(self.ends[n - 1]) if n else 0
         while start + len(links) > len(self.links):
             self.links = np.concatenate([self.links, np.zeros_like(self.links)])
         self.links[start : start + len(links)] = links
-        self.ends[n] = start + len(links)
-        self.counts[:, n] = counts
-        self.shown.append(shown)
-        self.slots[key] = n
-        self.characters += len(key)
+        self.ends[n : n + k] = start + np.cumsum(counts[3])
+        self.counts[:, n : n + k] = counts
+        self.shown += shown
+        self.slots.update(zip(keys, range(n, n + k)))
+        self.characters += sum(map(len, keys))
 
     def links_of(self, slots: np.ndarray) -> np.ndarray:
         ends = self.ends[slots]
@@ -246,8 +249,11 @@ class Aligner:
 
     def made(self, slots: np.ndarray) -> tuple:
         counts = self.counts[:4, slots].sum(axis=1).tolist()
-        shown = self.shown
-        return (*counts, "".join([shown[s] for s in slots.tolist()])[:-1], self.links_of(slots))
+        return (*counts, "".join(map(self.shown.__getitem__, slots.tolist()))[:-1], self.links_of(slots))
+
+
+def spans_of(offsets: list[tuple[int, int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(offsets), dtype=np.int64, count=2 * len(offsets)).reshape(-1, 2)
 
 
 def decoded(text: bytes | None) -> str:
