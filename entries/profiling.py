@@ -344,8 +344,7 @@ def top_variance_columns(spark, sf_dir):
 
 @query("sample_head", f"SELECT event_id, event_type, value, props FROM ({GAPPY.sql}) ORDER BY ts, event_id LIMIT 10")
 def sample_head(spark, sf_dir):
-    df = GAPPY.frame(spark, sf_dir).orderBy("ts", "event_id").limit(10)
-    return df.select("event_id", "event_type", "value", "props")
+    return charts.head(GAPPY.frame(spark, sf_dir), 10, ["ts", "event_id"]).select("event_id", "event_type", "value", "props")
 
 
 ORDER_OTHERS = ["o_orderstatus", "o_orderdate", "o_orderpriority"]

@@ -24,7 +24,7 @@ from tableprep.sources.tables import (
     write_table,
 )
 from tableprep.sources.tables import validate_shape as check_shape
-from tableprep.streaming.apply import apply_to_stream, file_stream, intake, write_stream
+from tableprep.streaming.apply import apply_to_stream, file_stream, intake, intake_datasets, write_stream
 from tableprep.streaming.rate import ROCKSDB, admit_stream, rate_windows
 
 # ---------------------------------------------------------------- sources and sinks
@@ -760,6 +760,31 @@ def stream_intake(spark, sf_dir):
     return spark.read.schema("id string, mode string, n bigint").parquet(f"{path}/batch=*")
 
 
+@query(
+    "stream_intake_datasets",
+    "SELECT 'events' AS id, 'completed' AS status, count(*) AS row_count, 1 AS completed_runs, 0 AS failed_runs FROM events UNION ALL "
+    "SELECT 'lost', 'failed', NULL, 0, 4 UNION ALL SELECT 'orders', 'completed', count(*), 1, 0 FROM orders UNION ALL "
+    "SELECT 'part', 'completed', count(*), 1, 0 FROM part",
+)
+def stream_intake_datasets(spark, sf_dir):
+    # One dataset of the batch cannot be read: it alone fails, twice per delivery; the second delivery repeats no other.
+    root = scratch_path(spark, "registry")
+    given = [(n, "fast", "uploaded", f"{sf_dir}/{f}.parquet") for n, f in (("events", "events"), ("orders", "orders"), ("part", "part"), ("lost", "no_such_table"))]
+    registry.append(spark.createDataFrame(given, "id string, mode string, status string, rawUrl string"), "Dataset", root)
+    arriving = f"{root}-arriving"
+    registry.read(spark, "Dataset", root).write.parquet(arriving)
+    schema = spark.read.parquet(arriving).schema
+    for delivery in ("first", "again"):
+        moving = file_stream(spark, arriving, schema, files_per_trigger=2)
+        intake_datasets(moving, root, f"{root}-store", f"{root}-{delivery}", charts=False).awaitTermination()
+    versions = registry.read(spark, "Dataset", root)
+    runs = versions.groupBy("id").agg(
+        F.count_if(F.col("status") == "completed").cast("int").alias("completed_runs"),
+        F.count_if(F.col("status") == "failed").cast("int").alias("failed_runs"),
+    )
+    return registry.latest(versions).select("id", "status", F.col("rows").alias("row_count")).join(runs, "id")
+
+
 @query(
     "stream_rate_windows",
     """WITH w AS (SELECT user_id, epoch_us(ts) AS t, i.i AS i FROM events, range(6) AS i(i)),

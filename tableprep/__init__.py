@@ -1,7 +1,7 @@
 """Profile, clean and prepare tables with Spark: profile once, decide per column, apply in one projection."""
 
 from tableprep.operators.clean import CleaningPlan, clean, fill, plan_cleaning
-from tableprep.operators.eda import eda
+from tableprep.operators.eda import eda, head
 from tableprep.operators.features import FeaturePlan, encode_labels, encode_one_hot, engineer, plan_features, scale
 from tableprep.operators.ordered import forward_fill
 from tableprep.operators.outliers import OutlierPlan, detect_outliers, plan_outliers, treat_column, treat_outliers
@@ -29,6 +29,7 @@ __all__ = [
     "engineer",
     "fill",
     "forward_fill",
+    "head",
     "local_session",
     "plan_cleaning",
     "plan_features",

@@ -7,6 +7,7 @@ for all columns together.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import partial
 from itertools import combinations, permutations
@@ -22,6 +23,7 @@ from tableprep.plans.decide import top_variance, useful_categories
 from tableprep.session import together
 
 BINS = 30
+HEAD_ROWS = 10
 COUNT_PLOT_VALUES = 20
 PAIRS_PER_JOB = 600
 SMALL_PAIRS_PER_JOB = 60
@@ -243,6 +245,11 @@ def describe_dates(df: DataFrame) -> DataFrame:
     return found.select("column", "stat", "n", moment.alias("value"))
 
 
+def head(df: DataFrame, n: int = HEAD_ROWS, order_by: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows in ``order_by`` (nulls first); without an order any ``n`` rows, as files come."""
+    return (df.orderBy(*[col(c) for c in order_by]) if order_by else df).limit(n)
+
+
 def sample_statistics(df: DataFrame, stats: Profile | None = None, k: int = 5) -> DataFrame:
     """``(column, stat, item, value)``: mean, std, min, max of numbers; distinct count and top values of the rest."""
     df = nan_to_null(df)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tableprep.plans.prepare import prepare_dataset
 from tableprep.session import exists, written
+from tableprep.sources import registry
 
 
 def file_stream(spark, folder: str, schema, name_filter: str | None = None, files_per_trigger: int | None = None):
@@ -77,3 +80,39 @@ def intake(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def intake_datasets(
+    stream: DataFrame, root: str, prefix: str, checkpoint: str, attempts: int = 2, side_by_side: int = 4, **options
+) -> StreamingQuery:
+    """Prepare every registered dataset whose ``id`` arrives, each as a run of its own (``prepare_dataset``).
+
+    A dataset that is completed is not prepared again, however often it is delivered.  One that fails is
+    tried ``attempts`` times per delivery and left as ``failed`` in the registry; the others of its batch
+    and the stream go on, and a later delivery tries it anew.  An id the registry does not know is left
+    out.  A batch's ids come to the driver, so ``files_per_trigger`` of the stream bounds them; up to
+    ``side_by_side`` runs share the cluster.
+    """
+
+    def one(spark, name: str) -> None:
+        entry = registry.latest(registry.read(spark, "Dataset", root, name)).first()
+        if entry is None or entry["status"] == "completed":
+            return
+        for _ in range(attempts):
+            try:
+                prepare_dataset(spark, root, name, prefix, **options)
+                return
+            except Exception:  # noqa: BLE001 - the run has recorded it; the other datasets go on
+                continue
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        names = sorted(r["id"] for r in batch.select("id").where("id IS NOT NULL").distinct().collect())
+        with ThreadPoolExecutor(side_by_side) as pool:
+            list(pool.map(lambda name: one(batch.sparkSession, name), names))
+
+    return (
+        stream.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,12 +20,24 @@ def rate_windows(
     slide: str = "10 seconds",
     lateness: str = "10 minutes",
 ) -> DataFrame:
-    """Requests per user and sliding window; a window is final once the watermark has passed its end."""
-    return (
-        stream.withColumn("__ts", F.col(ts).cast("timestamp"))
+    """Requests per user and sliding window; a window is final once the watermark has passed its end.
+
+    Requests are counted once, in panes as long as the slide, and windows are sums of finished panes; so a
+    request is one row of state and of shuffle, not one for each window it lies in.  A request older than
+    the watermark (the latest time less ``lateness``) is in no window.  Times without a zone are UTC,
+    whatever the session zone.  ``window`` must be a multiple of ``slide``.
+    """
+    if pd.Timedelta(window) % pd.Timedelta(slide):
+        raise ValueError(f"a window of {window} is not made of panes of {slide}")
+    panes = (
+        stream.select(F.col(user), F.timestamp_micros(micros(stream, ts)).alias("__ts"))
         .withWatermark("__ts", lateness)
-        .groupBy(F.window("__ts", window, slide).alias("w"), F.col(user))
-        .agg(F.count(F.lit(1)).alias("requests"))
+        .groupBy(F.window("__ts", slide).alias("pane"), F.col(user))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return (
+        panes.groupBy(F.window(F.window_time("pane"), window, slide).alias("w"), F.col(user))
+        .agg(F.sum("n").alias("requests"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), user, "requests")
     )
 

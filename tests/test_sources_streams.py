@@ -280,3 +280,46 @@ def test_admission_state_spans_triggers(spark, tmp_path, lateness):
     admitted = {r.id for r in spark.read.parquet(out).collect() if r.admitted}
     assert len(spark.read.parquet(out).collect()) == 12
     assert {0, 1, 3} <= admitted and 2 not in admitted and {21, 22} <= admitted and 23 not in admitted
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_rate_windows_in_any_session_zone(spark, tmp_path, zone):
+    import random
+    from datetime import datetime, timedelta
+
+    from tableprep.streaming.rate import rate_windows
+
+    rng = random.Random(4)
+    start = datetime(2024, 3, 1, 10, 0, 0)
+    rows = [(rng.randrange(3), start + timedelta(milliseconds=rng.randrange(1_200_000))) for _ in range(400)]
+    spark.createDataFrame(rows, "u int, t timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        moving = file_stream(spark, str(tmp_path / "in"), "u int, t timestamp_ntz")
+        counted = rate_windows(moving, "u", "t").withColumn("start", F.unix_micros("window_start"))
+        write_stream(counted, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        got = {(r.u, r.start): r.requests for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    epoch = datetime(1970, 1, 1)
+    latest = max((t - epoch) // timedelta(milliseconds=1) for _, t in rows) - 600_000
+    expected: dict = {}
+    for u, t in rows:
+        at = (t - epoch) // timedelta(seconds=1)
+        for i in range(6):
+            edge = at - at % 10 - 10 * i
+            if (edge + 60) * 1000 <= latest:
+                expected[u, edge * 1_000_000] = expected.get((u, edge * 1_000_000), 0) + 1
+    assert got == expected
+    with pytest.raises(ValueError):
+        rate_windows(moving, "u", "t", "60 seconds", "7 seconds")
+
+
+def test_head(spark):
+    from tableprep import head
+
+    df = spark.createDataFrame([(3, "c"), (1, "a"), (None, "z"), (2, "b")], "n int, `a.b` string")
+    assert [r[0] for r in head(df, 2, ["n"]).collect()] == [None, 1]
+    assert [r[1] for r in head(df, 3, ["a.b"]).collect()] == ["a", "b", "c"]
+    assert head(df).count() == 4 and head(df, 0).count() == 0
