@@ -46,6 +46,7 @@ class Target:
     inner: int
     floor: float = 0.0
     ceiling: float = 0.0
+    offset: int = 0  # of the column's values, those left out below the ones that are looked at
     value: float | None = field(default=None)
 
     @property
@@ -54,7 +55,7 @@ class Target:
 
     @property
     def ranks(self) -> tuple[int, int]:
-        return math.floor(self.position), math.ceil(self.position)
+        return math.floor(self.position) - self.offset, math.ceil(self.position) - self.offset
 
 
 def bracket_probs(probs: list[float], accuracy: int = ACCURACY) -> list[float]:
@@ -140,8 +141,22 @@ def solve(df: DataFrame, targets: list[Target], accuracy: int = ACCURACY, limit:
         pending = [t for t in pending if t.value is None]
 
 
+def solve_counts(counted: DataFrame, targets: list[Target], limit: int = BINS) -> None:
+    """Fill in ``value`` of every target from values with counts: rows ``(c, v, n)``, ``c`` the target's number."""
+    numbers = {id(t): i for i, t in enumerate(targets)}
+    pending = targets
+    while pending:
+        for start in range(0, len(pending), SLOTS_PER_JOB):
+            batch = pending[start : start + SLOTS_PER_JOB]
+            place = {numbers[id(t)]: k for k, t in enumerate(batch)}
+            local = F.element_at(F.array(*[F.lit(place.get(i)).cast("int") for i in range(len(targets))]), F.col("c") + 1)
+            long = counted.select(local.alias("c"), "v", "n").filter("c IS NOT NULL AND v IS NOT NULL")
+            _pass_over(long, batch, [[k] for k in range(len(batch))], max(limit, 3))
+        pending = [t for t in pending if t.value is None]
+
+
 def _one_pass(df: DataFrame, batch: list[Target], bins: int) -> None:
-    """Count below the brackets, on their ends, and in the bins between.
+    """One pass over the columns of the targets.
 
     Columns are stacked to ``(c, v)`` and brackets looked up by ``c``, so the generated code stays
     small however many columns there are.
@@ -150,6 +165,11 @@ def _one_pass(df: DataFrame, batch: list[Target], bins: int) -> None:
     of_column = [[i for i, t in enumerate(batch) if t.column == c] for c in columns]
     stacked = F.array(*[as_double(c, dtype_of(df, c)) for c in columns])
     long = df.select(F.posexplode(stacked).alias("c", "v")).filter("v IS NOT NULL")
+    _pass_over(long, batch, of_column, bins)
+
+
+def _pass_over(long: DataFrame, batch: list[Target], of_column: list[list[int]], bins: int) -> None:
+    """Count below the brackets, on their ends, and in the bins between; values may have counts ``n``."""
     counts, found = together(
         lambda: _end_counts(long, batch, of_column),
         lambda: _bin_counts(long, batch, of_column, bins),
@@ -171,10 +191,15 @@ def _end_counts(long: DataFrame, batch: list[Target], of_column: list[list[int]]
     v, counts = F.col("v"), []
     for w in range(max(len(ids) for ids in of_column)):
         lo, hi = _ends(batch, of_column, "lo", w), _ends(batch, of_column, "hi", w)
-        counts += [F.count_if(v < lo).alias(f"b{w}"), F.count_if(v == lo).alias(f"l{w}")]
-        counts.append(F.count_if((v == hi) & (lo < hi)).alias(f"h{w}"))
+        for name, hit in (("b", v < lo), ("l", v == lo), ("h", (v == hi) & (lo < hi))):
+            count = F.sum(F.when(hit, F.col("n")).otherwise(0)) if "n" in long.columns else F.count_if(hit)
+            counts.append(count.alias(f"{name}{w}"))
     rows = {r["c"]: r for r in long.groupBy("c").agg(*counts).collect()}  # one row per column
-    return {i: tuple(rows[k][f"{x}{w}"] for x in "blh") for k, ids in enumerate(of_column) for w, i in enumerate(ids)}
+    return {
+        i: tuple(rows[k][f"{x}{w}"] for x in "blh") if k in rows else (0, 0, 0)
+        for k, ids in enumerate(of_column)
+        for w, i in enumerate(ids)
+    }
 
 
 def _bin_counts(
@@ -192,12 +217,13 @@ def _bin_counts(
         hits.append(F.when(inside, F.element_at(targets, F.col("c") + 1)))
         any_inside = any_inside | inside
     slots = F.explode(F.array_compact(F.array(*hits))).alias("slot")
-    found = long.filter(any_inside).select("v", order_keys(v).alias("key"), slots)
+    weight = F.col("n") if "n" in long.columns else F.lit(1)
+    found = long.filter(any_inside).select("v", weight.alias("n"), order_keys(v).alias("key"), slots)
     cuts = [bin_shift(t.lo, t.hi, bins) for t in batch]
     shift = F.element_at(F.array(*[F.lit(s) for s, _ in cuts]), F.col("slot") + 1)
     first = F.element_at(F.array(*[F.lit(b).cast("bigint") for _, b in cuts]), F.col("slot") + 1)
-    binned = found.select("slot", "v", (F.call_function("shiftright", F.col("key"), shift) - first).cast("int").alias("bin"))
-    counted = binned.groupBy("slot", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    binned = found.select("slot", "v", "n", (F.call_function("shiftright", F.col("key"), shift) - first).cast("int").alias("bin"))
+    counted = binned.groupBy("slot", "bin").agg(F.sum("n").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
     out: dict[int, list[tuple[int, int, float, float]]] = {}
     for slot, bin_, n, least, most in counted.collect():  # at most ``bins`` rows per target
         out.setdefault(slot, []).append((bin_, n, least, most))

@@ -294,3 +294,49 @@ def test_values_outside_of_the_range_are_noticed(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),)], "v double")
     with pytest.raises(RuntimeError, match="NaN"):
         quantiles.solve(df, quantiles.make_targets("v", [0.9], 3, 1.0, 2.0, None))
+
+
+def removed_in_order(frame: pd.DataFrame, max_share: float) -> tuple[list[tuple], list[int]]:
+    """Column after column: fences of the rows left, and what lies outside removed."""
+    log = []
+    names = [c for c in frame.columns if c != "id" and frame[c].nunique() > 1]
+    for c in ["id", *names]:
+        q1, q3 = frame[c].quantile(0.25), frame[c].quantile(0.75)
+        far = (frame[c] < q1 - 1.5 * (q3 - q1)) | (frame[c] > q3 + 1.5 * (q3 - q1))
+        if far.sum():
+            log.append((c, int(far.sum()), bool(far.sum() / len(frame) <= max_share)))
+            frame = frame[~far] if log[-1][2] else frame
+    return log, sorted(frame["id"])
+
+
+@pytest.mark.parametrize("kind", ["apart", "together", "few values"])
+def test_removal_reads_the_table_a_fixed_number_of_times(spark, kind, monkeypatch):
+    from tableprep.operators import outliers
+
+    rng = np.random.default_rng(8)
+    n = 4000
+    frame = pd.DataFrame({"id": np.arange(n)})
+    hidden = rng.standard_t(2, n)
+    for k in range(6):
+        if kind == "apart":
+            frame[f"c{k}"] = np.round(rng.standard_t(3, n), 3)
+        elif kind == "together":  # whoever is far in one column is so in the next: quartiles and fences move
+            frame[f"c{k}"] = np.round(hidden * (k + 1) + rng.normal(size=n) * 0.3, 3)
+        else:
+            frame[f"c{k}"] = rng.choice([1.0, 2.0, 3.0, 4.0, 30.0], n, p=[0.3, 0.3, 0.2, 0.15, 0.05])
+        frame.loc[rng.random(n) < 0.1, f"c{k}"] = np.nan
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "id long, " + ", ".join(f"c{k} double" for k in range(6))).repartition(3)
+    calls = []
+    original = outliers.profile
+    monkeypatch.setattr(outliers, "profile", lambda *a, **o: calls.append(1) or original(*a, **o))
+    assert removed_in_order(frame, 0.3)[0] == [row[:2] + (row[3] == "Removed rows",) for row in outliers.plan_outliers(df, strategy="remove", max_share=0.3).log]
+    assert len(calls) > 4  # a small table is profiled for every removal
+    calls.clear()
+    monkeypatch.setattr(outliers, "SMALL_ROWS", 0)
+    plan = outliers.plan_outliers(df, strategy="remove", max_share=0.3)
+    log, kept = removed_in_order(frame, 0.3)
+    assert [(c, count, action == "Removed rows") for c, count, _, action in plan.log] == log
+    assert sorted(r.id for r in plan.apply(df).select("id").collect()) == kept
+    assert len(plan.steps) >= 4
+    if kind == "apart":
+        assert len(calls) == 2  # constants, and the first quartiles
