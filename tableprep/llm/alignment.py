@@ -14,6 +14,7 @@ for many chunks at once, on arrays of token ends.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -75,6 +76,7 @@ class Aligner:
     """A table of aligned chunks, filled as texts need it."""
 
     def __init__(self, a: str, b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -345,25 +347,28 @@ def pair_counts(aligned: DataFrame, kind: str) -> DataFrame:
     """How often each pair of ids is linked, over all ``links``: counted per task, then summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        fresh: list[np.ndarray] = []
+        counted: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
             for links in batch.column(0):
-                held.append((np.frombuffer(links.as_buffer(), dtype=kind), None))
-                size += len(held[-1][0])
+                fresh.append(np.frombuffer(links.as_buffer(), dtype=kind))
+                size += len(fresh[-1])
                 if size > TASK_PAIRS:
-                    held = [summed(held)]
-                    size = len(held[0][0])
-                    if size > TASK_PAIRS // 2:
-                        yield as_batch(held.pop())
-                        size = 0
-        if held:
-            yield as_batch(summed(held))
-
-    def summed(held):
-        pairs, at = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
-        weights = np.concatenate([np.ones(len(p), dtype=np.int64) if n is None else n for p, n in held])
-        return pairs, np.bincount(at, weights=weights, minlength=len(pairs)).astype(np.int64)
+                    counted = [summed([*counted, np.unique(np.concatenate(fresh), return_counts=True)])]
+                    fresh, size = [], 0
+                    if len(counted[0][0]) > TASK_PAIRS // 2:
+                        yield as_batch(counted.pop())
+        if fresh or counted:
+            last = np.concatenate([*fresh, np.zeros(0, dtype=kind)])
+            yield as_batch(summed([*counted, np.unique(last, return_counts=True)]))
+
+    def summed(counted):
+        pairs = np.concatenate([p for p, _ in counted])
+        order = np.argsort(pairs, kind="stable")
+        pairs, n = pairs[order], np.concatenate([n for _, n in counted])[order]
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
+        return pairs[first], np.add.reduceat(n, first) if len(first) else n
 
     def as_batch(counted) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in counted], names=["pair", "n"])
@@ -441,7 +446,7 @@ def summing(shared, kind: str, n_b: int):
         for batch in batches:
             n_best, count_sum, rare = [], [], []
             for links in batch.column("links"):
-                pairs = np.frombuffer(links.as_buffer(), dtype=kind)
+                pairs = np.sort(np.frombuffer(links.as_buffer(), dtype=kind))  # sorted needles are found faster
                 at = np.searchsorted(codes, pairs)
                 at[at == len(codes)] = 0
                 found = codes[at] == pairs if len(codes) else np.zeros(len(pairs), dtype=bool)
