@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableprep.llm.common import annotate, mix, ranges
@@ -24,8 +24,8 @@ BITS = 16  # of a character in a packed gram; rarer characters beyond them share
 SPACE = 32
 TRAIN_ROWS = 4_000  # labelled documents per language that a model is fitted on, on average over draws
 MODEL_GRAMS = 1 << 19  # most frequent grams kept per language
-MOST_LANGUAGES = 512
-CALIBRATION = 4  # one in so many drawn documents calibrates instead of training
+MOST_LANGUAGES = 512  # more are refused: every gram has a log probability in each language
+CALIBRATION = 4  # every so manyth drawn document of a language calibrates instead of training
 STRICTNESS = 8.0  # deviations above a language's usual cross-entropy at which a text is rejected
 LEAST_SPREAD = 0.02  # deviation of cross-entropies between texts, in nats, that every language has at least
 UNDETERMINED = "und"
@@ -164,7 +164,9 @@ class LanguageModels:
 
 def drawn(docs: DataFrame, rows: int) -> DataFrame:
     """Different labelled documents, at most about ``rows`` of each language, chosen by a hash of the text."""
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count")).limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages among the labels")
     share: Column = F.lit(0)
     for lang, size in sizes.items():
         share = F.when(F.col("lang") == lang, min(1_000_000, rows * 1_000_000 // size + 1)).otherwise(share)
@@ -192,9 +194,17 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 def fit_languages(labelled: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModels:
-    """Models of all languages among the labelled documents (``text, lang``; null labels are left out)."""
+    """Models of all languages among the labelled documents (``text, lang``; null labels and texts are left out).
+
+    Every language gets a model, from one text on: of its drawn texts every fourth in the order of a hash
+    calibrates, so with fewer than four none does, and nothing is rejected as that language.  A repeated
+    text counts once.  More than ``MOST_LANGUAGES`` labels are refused with a ValueError.  Very long texts are
+    read whole, one at a time.
+    """
     sample = drawn(labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL"), rows)
-    calibrates = F.pmod(F.xxhash64("text", F.lit("calibrate")), F.lit(CALIBRATION)) == 0
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit("calibrate")), "text")
+    sample = written(sample.withColumn("at", F.row_number().over(by_hash)), "sample")
+    calibrates = F.col("at") % CALIBRATION == 0
     counts = written(count_grams(sample.where(~calibrates)), "grams")
     found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for (lang,) in counts.select("lang").distinct().collect():
@@ -202,7 +212,7 @@ def fit_languages(labelled: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModels
         kept = own.select("gram", "n").toArrow()
         found[lang] = (kept["gram"].to_numpy().view(np.uint64), kept["n"].to_numpy())
     models = LanguageModels(found)
-    return calibrate(models, sample.where(calibrates))
+    return calibrate(models, sample.where(calibrates).drop("at"))
 
 
 def calibrate(models: LanguageModels, docs: DataFrame) -> LanguageModels:

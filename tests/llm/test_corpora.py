@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 import corpus_pipeline
@@ -420,7 +421,7 @@ def test_pipeline_against_plain(spark, tmp_path):
     words = dict(zip(left, word_lists([texts[i] for i in left])))
     windows = {tuple(passage_words[i : i + 10]) for passage_words in word_lists([passage]) for i in range(len(passage_words) - 9)}
     left = [i for i in left if not any(tuple(words[i][p : p + 10]) in windows for p in range(len(words[i])))]
-    table = queries.encode_pieces.__globals__["chunk_table"](corpus_pipeline.PIECES)
+    table = queries.encode_pieces.__globals__["chunk_table"](public_tokenizers.path(corpus_pipeline.PIECES))
     assert sorted(out) == left
     assert 0 not in out and max(len(g) for g in (left,)) > 30
     for i in left:
