@@ -16,6 +16,9 @@ from tableprep.session import written
 
 CHUNK_BYTES = 1 << 20  # texts are worked on in chunks of about so many bytes, which bounds a task's arrays
 SEPARATOR = b"\n"
+ARROW_BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_DEFAULT = "67108864b"
 
 
 def annotate(
@@ -183,5 +186,16 @@ def blocks(df: DataFrame, size: str, bound: int) -> Iterator[list]:
         yield dealt.where(at.isin(*chosen)).select(*columns).collect()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have texts handed to Python in batches of a few megabytes, unless the session says otherwise.
+
+    A batch is held by the executor and by the worker at once, each with room to grow; by default it may
+    have ten thousand long texts.
+    """
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, str(ARROW_BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprep.llm.common import Chunk, Rolling, chunks, ranges
+from tableprep.llm.common import CHUNK_BYTES, Chunk, Rolling, ranges
 from tableprep.session import written
 
 LENGTH = 200  # bytes of a string that counts as repeated
@@ -86,8 +87,7 @@ def suffix_tuples(keyed: DataFrame, length: int, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for i, j, chunk in chunks(texts):
+            for i, j, chunk in sliced_chunks(batch.column(1)):
                 runs = Anchors(chunk, length, width)
                 if len(runs.first):
                     start = chunk.starts[runs.owner]
@@ -102,6 +102,13 @@ def suffix_tuples(keyed: DataFrame, length: int, width: int) -> DataFrame:
     return keyed.select("key", "text").mapInArrow(run, schema)
 
 
+def sliced_chunks(column: pa.Array) -> Iterator[tuple[int, int, Chunk]]:
+    """Chunks of a column of texts; only one chunk's texts are copied at a time."""
+    texts = column.cast(pa.binary())
+    for i, j in ranges(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), CHUNK_BYTES):
+        yield i, j, Chunk(texts.slice(i, j - i).to_pylist())
+
+
 def with_lists(keyed: DataFrame, lists: DataFrame) -> DataFrame:
     """Texts that have a list, with it; only their texts are shuffled as long as the keys fit a broadcast."""
     keys = lists.select("key")
@@ -135,8 +142,7 @@ def over_lists(asked: DataFrame, schema: str, hashes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for i, j, chunk in chunks(texts):
+            for i, j, chunk in sliced_chunks(batch.column(1)):
                 owner, columns = hashes(Listed(batch.column(2).slice(i, j - i), chunk), chunk)
                 if len(owner):
                     made = {"key": pa.array(keys[i:j][owner]), **{k: pa.array(v) for k, v in columns.items()}}
@@ -226,9 +232,10 @@ def cut_texts(keyed: DataFrame, spans: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for i, j in ranges([len(t) for t in texts]):
-                done = [cut(text, listed.as_py()) for text, listed in zip(texts[i:j], batch.column(2).slice(i, j - i))]
+            texts = batch.column(1).cast(pa.binary())
+            for i, j in ranges(pc.binary_length(texts).to_pylist()):
+                some = texts.slice(i, j - i).to_pylist()
+                done = [cut(text, listed.as_py()) for text, listed in zip(some, batch.column(2).slice(i, j - i))]
                 removed = [sum(b - a for a, b in runs) for _, runs in done]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(removed, pa.int64()),
