@@ -30,6 +30,7 @@ from tableprep.session import together, written
 
 LOG_SCHEMA = "seq int, action string, details string"
 MISSING_LABEL = "nan"
+MOST_ONE_HOT = 10_000  # columns that one column may become unless more are asked for
 SMALL_DICTIONARY = 50_000
 SMALL_DICTIONARY_BYTES = 32 * 1024 * 1024
 HOT_SHARE = 0.001
@@ -168,22 +169,21 @@ class FeaturePlan:
         return spark.createDataFrame([(i, *row) for i, row in enumerate(self.log)], LOG_SCHEMA)
 
 
-def fit_one_hot(df: DataFrame, columns: Sequence[str], most: int | None = None) -> list[OneHot]:
+def fit_one_hot(df: DataFrame, columns: Sequence[str], most: int = MOST_ONE_HOT) -> list[OneHot]:
     """Sorted values of each column, all columns of one type in one job.
 
-    Every value becomes a column.  With ``most``, a column with more values than that is refused, and no
-    more than that travel to the driver.
+    Every value becomes a column.  A column with more than ``most`` values is refused, and no more than
+    that travel to the driver.
     """
     found: dict[str, list[str]] = {c: [] for c in columns}
     by_value = Window.partitionBy("slot").orderBy("value")
     for _, names, counts in frequencies.value_counts(df, columns):
         listed = counts.withColumn("at", F.row_number().over(by_value))
-        if most is not None:
-            # One value above the limit is enough to refuse; the rank filter is applied before the shuffle.
-            listed = listed.filter(F.col("at") <= most + 1)
+        # One value above the limit is enough to refuse; the rank filter is applied before the shuffle.
+        listed = listed.filter(F.col("at") <= most + 1)
         for row in listed.select("slot", "at", F.col("value").cast("string").alias("text")).collect():
             found[names[int(row["slot"][1:])]].append((row["at"], row["text"]))
-    wide = [c for c, values in found.items() if most is not None and len(values) > most]
+    wide = [c for c, values in found.items() if len(values) > most]
     if wide:
         raise ValueError(f"one-hot of {wide} would add more than {most} columns; use label codes")
     return [OneHot(c, dtype_of(df, c).simpleString(), [v for _, v in sorted(found[c])]) for c in columns]
@@ -362,7 +362,7 @@ def engineer(df: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     return plan.apply(df), plan.log_frame(df.sparkSession)
 
 
-def encode_one_hot(df: DataFrame, column: str, most: int | None = None) -> DataFrame:
+def encode_one_hot(df: DataFrame, column: str, most: int = MOST_ONE_HOT) -> DataFrame:
     df = nan_to_null(df)
     return FeaturePlan(one_hot=fit_one_hot(df, [column], most)).apply(df)
 
