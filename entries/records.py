@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import entries.cleaning  # noqa: F401 - registers the twin of the streamed preparation
 from pyspark.sql import functions as F
 
@@ -29,6 +31,15 @@ from tableprep.streaming.rate import ROCKSDB, admit_stream, rate_windows
 
 # ---------------------------------------------------------------- sources and sinks
 
+FILE_BYTES = 256 << 20  # texts of one written file, about; more than a split
+
+
+def in_large_files(df, size):
+    """The rows in files of about ``FILE_BYTES``, so one file where they are few; ``size`` is the bytes of a row."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return df.coalesce(max(1, math.ceil(total / FILE_BYTES)))
+
+
 TOKENS = ["''", "'NA'", "'N/A'", "'NaN'", "'null'", "'None'", "'#N/A'", "'<NA>'"]
 _TOKEN = "CASE event_id % 8 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(TOKENS)) + " END"
 
@@ -151,11 +162,12 @@ def read_json_array(spark, sf_dir):
     "n_chars FROM documents WHERE trim(text) <> ''",
 )
 def read_csv_quoted_file(spark, sf_dir):
-    # One file with line breaks, quotes and separators in most records; it is read in splits.
+    # Large files with line breaks, quotes and separators in most records; each is read in splits.
     docs = table(spark, sf_dir, "documents").filter("trim(text) <> ''")
     broken = F.concat(F.lit('a "b"\n\r\nc,'), "source")
     rows = docs.select("doc_id", "text", "lang", F.when(F.col("doc_id") % 3 == 0, broken).otherwise(F.col("source")).alias("source"), "n_chars")
-    return read_csv(spark, write_table(rows.coalesce(1), scratch_path(spark, "broken") + ".csv", "csv"))
+    files = in_large_files(rows, F.octet_length("text") + 50)
+    return read_csv(spark, write_table(files, scratch_path(spark, "broken") + ".csv", "csv"))
 
 
 @query(

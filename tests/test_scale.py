@@ -340,3 +340,31 @@ def test_removal_reads_the_table_a_fixed_number_of_times(spark, kind, monkeypatc
     assert len(plan.steps) >= 4
     if kind == "apart":
         assert len(calls) == 2  # constants, and the first quartiles
+
+
+@pytest.fixture
+def many_documents(spark, tmp_path):
+    """A folder of tables whose documents lie in five files, read in as many splits."""
+    rows = [(i, f'text {i} "q"\n{"x" * 200}', "en", f"s{i % 3}", 200 + i) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in kept:
+        spark.conf.set(k, "4000")
+    yield str(tmp_path), rows
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name, reader", [("read_csv_quoted_file", "read_csv")])
+def test_no_task_writes_all_documents_to_one_file(spark, many_documents, monkeypatch, name, reader):
+    from entries import records
+
+    folder, rows = many_documents
+    files = []
+    read = getattr(records, reader)
+    monkeypatch.setattr(records, "FILE_BYTES", 10_000, raising=False)
+    monkeypatch.setattr(records, reader, lambda s, path: files.extend(s.read.text(path).inputFiles()) or read(s, path))
+    found = getattr(records, name)(spark, folder).collect()
+    assert len(files) > 1
+    assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in found) == [(r[0], r[1], r[4]) for r in rows]
