@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import entries.cleaning  # noqa: F401 - registers the twin of the streamed preparation
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from entries.common import GAPPY, ORACLES, query, rounded, table, union_all
@@ -40,6 +41,18 @@ def in_large_files(df, size):
     return df.coalesce(max(1, math.ceil(total / FILE_BYTES)))
 
 
+def as_array(batches):
+    """The elements of a part as the lines of one JSON array."""
+    before = "["
+    for batch in batches:
+        lines = []
+        for item in batch.column(0).to_pylist():
+            lines.append(before + item)
+            before = ","
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["line"])
+    yield pa.RecordBatch.from_arrays([pa.array(["]" if before == "," else "[]"])], names=["line"])
+
+
 TOKENS = ["''", "'NA'", "'N/A'", "'NaN'", "'null'", "'None'", "'#N/A'", "'<NA>'"]
 _TOKEN = "CASE event_id % 8 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(TOKENS)) + " END"
 
@@ -144,14 +157,12 @@ def read_csv_quoted(spark, sf_dir):
     "SELECT doc_id, text, CAST(n_chars AS BIGINT) AS n_chars, lang AS language, source AS origin FROM documents",
 )
 def read_json_array(spark, sf_dir):
-    # One array of nested objects in one file, as record exports are; it is read in splits.
+    # One array of nested objects in every large file, as record exports are; each is read in splits.
     docs = table(spark, sf_dir, "documents")
     item = F.to_json(F.struct("doc_id", "text", "n_chars", F.struct("lang", F.array(F.struct("source")).alias("from")).alias("about")))
-    one_file = docs.select(item.alias("item")).coalesce(1)
-    separated = one_file.select(F.concat(F.when(F.monotonically_increasing_id() == 0, "[").otherwise(","), "item").alias("line"))
-    closed = separated.unionByName(spark.createDataFrame([("]",)], "line string")).coalesce(1)
+    files = in_large_files(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 100)
     path = scratch_path(spark, "array")
-    closed.write.option("lineSep", " ").text(path)
+    files.select(item.alias("item")).mapInArrow(as_array, "line string").write.option("lineSep", " ").text(path)
     read = read_json(spark, path)
     return read.select("doc_id", "text", "n_chars", F.col("about.lang").alias("language"), F.col("about.from")[0]["source"].alias("origin"))
 

@@ -356,7 +356,7 @@ def many_documents(spark, tmp_path):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name, reader", [("read_csv_quoted_file", "read_csv")])
+@pytest.mark.parametrize("name, reader", [("read_csv_quoted_file", "read_csv"), ("read_json_array", "read_json")])
 def test_no_task_writes_all_documents_to_one_file(spark, many_documents, monkeypatch, name, reader):
     from entries import records
 
