@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,7 @@ FALSE_TEXTS = ["False", "FALSE", "false"]
 FORMATS = ("csv", "json", "parquet")
 DEFAULT_NAME = "dataset_from_url"
 MAX_ROWS = 100_000
+CELL_BYTES = 4 << 20  # of files of columns, whose cells one task puts together; in memory they are many times larger
 MAX_COLUMNS = 100
 
 _INTEGER = r"^\s*[+-]?[0-9]+\s*$"
@@ -152,19 +154,23 @@ def _from_columns(spark: SparkSession, uri: str) -> DataFrame:
     has either objects or lists of cells.
     """
     text = spark.read.text(uri, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"))
+    size = spark.read.format("binaryFile").load(uri).agg(F.sum("length")).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(size / CELL_BYTES))
     lists = F.from_json("value", "map<string,array<string>>")
     named = F.from_json("value", "map<string,map<string,string>>")
     as_cells = F.transform_values(
         lists, lambda _, v: F.map_from_entries(F.transform(v, lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value"))))
     )
     shape = F.regexp_extract("value", r'^\{\s*"(?:[^"\\]|\\.)*"\s*:\s*(.)', 1)
-    columns = text.select("file", F.explode(F.when(shape == "[", as_cells).otherwise(named)).alias("column", "cells"))
+    # cells carry a number in place of their file's name, which is longer than they are
+    numbered = text.withColumn("number", F.monotonically_increasing_id())
+    columns = numbered.select("number", F.explode(F.when(shape == "[", as_cells).otherwise(named)).alias("column", "cells"))
     keys = text.select("file", F.posexplode(F.json_object_keys("value")).alias("at", "column"))
     places = keys.groupBy("column").agg(F.min(F.struct("file", "at")).alias("place"))
     order = [r["column"] for r in places.orderBy("place").select("column").collect()]
-    cells = columns.select("file", "column", F.explode("cells").alias("row", "cell")).repartition("file", "row")
-    wide = cells.groupBy("file", "row").pivot("column", order).agg(F.first("cell"))
-    wide = na_to_null(wide.toDF("__file", "__row", *order).select(*[col(c) for c in order]))
+    cells = columns.select("number", "column", F.explode("cells").alias("row", "cell")).repartition(parts, "number", "row")
+    wide = cells.groupBy("number", "row").pivot("column", order).agg(F.first("cell"))
+    wide = na_to_null(wide.toDF("__number", "__row", *order).select(*[col(c) for c in order]))
     return with_types(wide, infer_types(wide))
 
 

@@ -368,3 +368,18 @@ def test_no_task_writes_all_documents_to_one_file(spark, many_documents, monkeyp
     found = getattr(records, name)(spark, folder).collect()
     assert len(files) > 1
     assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in found) == [(r[0], r[1], r[4]) for r in rows]
+
+
+def test_files_of_columns_are_put_together_in_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    import json
+
+    from tableprep.sources import tables
+
+    for k in range(3):
+        cells = {"a": {str(i): 100 * k + i for i in range(50)}, "b": {str(i): f"t{k}-{i}" for i in range(50)}}
+        (tmp_path / f"{k}.json").write_text(json.dumps(cells))
+    monkeypatch.setattr(tables, "CELL_BYTES", 100, raising=False)
+    read = tables.read_json(spark, str(tmp_path))
+    assert sorted((r["a"], r["b"]) for r in read.collect()) == [(100 * k + i, f"t{k}-{i}") for k in range(3) for i in range(50)]
+    size = sum(f.stat().st_size for f in tmp_path.glob("*.json"))
+    assert read.rdd.getNumPartitions() >= size // 100
