@@ -29,6 +29,7 @@ SCHEMAS = {
 # The column that a table's rows are looked up by.
 KEYS = {"Dataset": "id", "UserModeUsage": "userId"}
 DEFAULT_KEY = "datasetId"
+BROADCAST_KEYS = 100_000
 # States, their progress texts, quotas per user and mode, queues.
 STATUSES = ["uploaded", "processing", "completed", "failed"]
 PROGRESS = {
@@ -95,8 +96,14 @@ def get(table: DataFrame, value: str, key: str = "id") -> DataFrame:
 
 
 def get_all(table: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
-    """Rows whose key occurs in the one column of ``wanted``."""
-    return table.join(wanted.toDF(key), key, "left_semi")
+    """Rows whose key occurs in the one column of ``wanted``.
+
+    Few keys are sent to every task.  More are dealt with the table's rows, and a task holds its share of
+    the keys; the rows themselves are neither sorted nor held.
+    """
+    keys = wanted.toDF(key)
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return table.join(F.broadcast(keys) if few else keys.hint("shuffle_hash"), key, "left_semi")
 
 
 def listing(

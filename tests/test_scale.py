@@ -383,3 +383,18 @@ def test_files_of_columns_are_put_together_in_parts_of_bounded_size(spark, tmp_p
     assert sorted((r["a"], r["b"]) for r in read.collect()) == [(100 * k + i, f"t{k}-{i}") for k in range(3) for i in range(50)]
     size = sum(f.stat().st_size for f in tmp_path.glob("*.json"))
     assert read.rdd.getNumPartitions() >= size // 100
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_rows_of_wanted_keys_are_not_sorted(spark, monkeypatch, most):
+    monkeypatch.setattr(registry, "BROADCAST_KEYS", most, raising=False)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        logs = spark.createDataFrame([("1", 1), ("2", 2), ("2", 3), (None, 4), ("4", 5)], "datasetId string, n int")
+        wanted = spark.createDataFrame([("2",), ("2",), (None,), ("4",), ("9",)], "id string")
+        found = registry.get_all(logs, wanted, "datasetId")
+        assert sorted(r["n"] for r in found.collect()) == [2, 3, 5]
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
