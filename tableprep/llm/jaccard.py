@@ -266,23 +266,37 @@ def to_hubs(mixed: DataFrame) -> DataFrame:
     return likely.withColumn("at", best).where("at <= 2").select("a", "b")
 
 
+def least_in_any_prefix(x: Column, low: Column, high: Column) -> Column:
+    """The smallest ``least_in_prefix`` of a set with sets of ``low`` to ``high`` tokens.
+
+    It grows with the other set's size up to the set's own and falls from there; as it is rounded, it can
+    be lower up to six sizes before the end.
+    """
+    last = [F.greatest(low, high - k) for k in range(7)]
+    return F.least(least_in_prefix(x, low), *[least_in_prefix(x, y) for y in last])
+
+
 def to_groups(mixed: DataFrame) -> DataFrame:
     """Pairs of sets with the members of groups that the matrix of tokens and groups lets them open."""
-    matrix = mixed.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("held"))
-    matrix = written(matrix.select("token", F.col("label").alias("group"), "least", "most", "held"), "matrix")
+    matrix = mixed.groupBy("token", F.col("label").alias("group")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("sid").alias("last"), F.count(F.lit(1)).alias("held")
+    )
+    matrix = written(matrix, "matrix")
     n, least, most = F.col("n"), F.col("least"), F.col("most")
     may_fit = (4 * most >= 3 * n) & (4 * n >= 3 * least)
     met = mixed.join(matrix, "token").where((F.col("label") < F.col("group")) & may_fit)
     bounds = met.groupBy("sid", "group").agg(
-        F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")
-    )
-    # the bound on the overlap is smallest at an end of the group's sizes
+        F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"),
+        F.max("last").alias("last"),
+    )
     low, high = F.greatest(least, F.ceil(n * 3 / F.lit(4))), F.least(most, F.floor(n * 4 / F.lit(3)))
-    needed = F.greatest(F.lit(1), F.least(least_in_prefix(n, low), least_in_prefix(n, high)) - 1)  # rounding may dip by one in between
-    opened = bounds.withColumn("spare", F.col("shared") - needed).where("spare >= 0")
-    opened = written(opened.select("sid", "group", "spare"), "opened")
+    opened = bounds.withColumn("spare", F.col("shared") - least_in_any_prefix(n, low, high)).where("spare >= 0")
+    opened = written(opened.select("sid", "group", "spare", "last"), "opened")
+    # a group is named by its smallest set: where no other holds a shared token, the bound was that pair's own
+    direct = opened.where(F.col("last") == F.col("group")).select(F.col("sid").alias("a"), F.col("group").alias("b"))
+    opened = opened.where(F.col("last") != F.col("group")).drop("last")
     # A member must hold ``needed`` of the shared tokens, so one of any ``spare + 1``: the rarest in the group.
-    asked = mixed.select("token", "sid", "n").join(opened, "sid").join(matrix, ["token", "group"]).where(may_fit)
+    asked = mixed.select("token", "sid", "n").join(opened, "sid").join(matrix.drop("last"), ["token", "group"]).where(may_fit)
     rarest = F.row_number().over(Window.partitionBy("sid", "group").orderBy("held", "token"))
     asked = asked.withColumn("at", rarest).where("at <= spare + 1").select("token", "group", F.col("sid").alias("a"), F.col("n").alias("a_n"))
     members = mixed.select("token", F.col("label").alias("group"), F.col("sid").alias("b"), F.col("n").alias("b_n"))
@@ -292,7 +306,7 @@ def to_groups(mixed: DataFrame) -> DataFrame:
     lists = mixed.groupBy("sid").agg(F.collect_list("token").alias("tokens"))
     both = pairs.join(lists.toDF("a", "a_tokens"), "a").join(lists.toDF("b", "b_tokens"), "b")
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return both.where(common >= least_in_prefix(F.col("a_n"), F.col("b_n"))).select("a", "b")
+    return both.where(common >= least_in_prefix(F.col("a_n"), F.col("b_n"))).select("a", "b").unionAll(direct)
 
 
 def similar_sets(active: DataFrame, docs: DataFrame, representing: DataFrame, shared) -> DataFrame:

@@ -14,6 +14,8 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from tableprep.llm import decontaminate, jaccard, language, ppm, queries, repeats, secrets, urls
 from tableprep.llm.common import Rolling
 
@@ -432,3 +434,36 @@ def test_registered_queries():
     names = {re.match(r"op\d+_", n)[0] for n in queries.QUERIES}
     assert names == {f"op{n}_" for n in range(1, 14)}
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_groups_are_opened_by_the_exact_bound(spark, monkeypatch):
+    """Sets of one group each are no candidates unless they share what two sets of their sizes must."""
+    from tableprep.llm import jaccard
+
+    def least(x, y):
+        outside = max(-(-3 * x // 4), -(-3 * y // 4)) - 1
+        return max(1, -(-3 * (x + y) // 7) - outside)
+
+    ranges = [(x, low, high) for x in range(1, 90, 4) for low in range(-(-3 * x // 4), 4 * x // 3 + 1) for high in range(low, 4 * x // 3 + 1)]
+    if hasattr(jaccard, "least_in_any_prefix"):
+        frame = spark.createDataFrame(ranges, "x int, low int, high int")
+        bound = jaccard.least_in_any_prefix(F.col("x"), F.col("low"), F.col("high"))
+        got = {(r[0], r[1], r[2]): r[3] for r in frame.select("x", "low", "high", bound).collect()}
+        assert got == {(x, low, high): min(least(x, y) for y in range(low, high + 1)) for x, low, high in ranges}
+    # thirty sets of 40 tokens, all holding the same few of their prefixes: one less than any pair must share
+    few = least(40, 40) - 1
+    rows = [(t, s, 40, s) for s in range(1, 31) for t in range(1, few + 1)]
+    mixed = spark.createDataFrame(rows, "token long, sid long, n int, label long")
+    sizes = {}
+    real = jaccard.written
+
+    def counted(df, label):
+        out = real(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    assert jaccard.to_groups(mixed).count() == 0
+    assert sizes["opened"] == 0
+    enough = mixed.unionByName(spark.createDataFrame([(few + 1, s, 40, s) for s in (3, 7)], mixed.schema))
+    assert [(r["a"], r["b"]) for r in jaccard.to_groups(enough).collect()] == [(3, 7)]
