@@ -23,7 +23,8 @@ from tableprep.session import scratch_scope, written
 
 WIDTH = 5  # words in a shingle
 # Similarity 3/4: sets x, y are linked when 4 * common >= 3 * (|x| + |y| - common).
-SAMPLE_DOCS = 10_000  # documents whose shingles tell which are frequent
+SAMPLE_DOCS = 10_000  # documents whose shingles tell which are frequent, at least
+SAMPLE_SHARE = 12  # one document of so many, where that is more
 FREQUENT = 1_000_000  # most shingles remembered as frequent
 HUBS = 8  # foremost holders of a token that sets of other groups are held against
 SEEN_SETS = 500_000  # ids of sets that a task remembers
@@ -95,12 +96,14 @@ class Order:
 
 
 def frequent_tokens(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Order:
-    """Tokens seen more than once in a bounded sample of documents.
+    """Tokens seen more than once in a sample of documents.
 
-    The order only steers which tokens serve as prefixes: any order gives the same links.
+    The order only steers which tokens serve as prefixes: any order gives the same links.  The sample grows
+    with the documents, so that the holders of a token that it misses do not.
     """
     rows = docs.count()
-    picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(min(1.0, sample / max(rows, 1)) * 1_000_000))
+    share = min(1.0, max(sample / max(rows, 1), 1 / SAMPLE_SHARE)) if sample else 0.0
+    picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,6 +169,15 @@ def sizes_fit(x: Column, y: Column) -> Column:
     return (4 * x >= 3 * y) & (4 * y >= 3 * x)
 
 
+def reach_of(n: Column, at: Column) -> Column:
+    """The most tokens of a set that may have its first token in common with this one at position ``at``.
+
+    From there on a set of ``n`` has ``n - at`` tokens, and must have ``least_common`` of them in common.  So
+    sets linked by a token that is the first both hold are each within the other's reach.
+    """
+    return F.floor((4 * n - 7 * at) / F.lit(3)).cast("int")
+
+
 def once_per_task(sets: DataFrame) -> DataFrame:
     """The rows without those whose set the same task has seen: copies need no tokens, they meet again by id."""
 
@@ -185,7 +197,7 @@ def once_per_task(sets: DataFrame) -> DataFrame:
 
 
 def active_tokens(sets: DataFrame) -> DataFrame:
-    """Prefix tokens of two or more different sets: ``token, sid, n, leader``, each once.
+    """Prefix tokens of two or more different sets: ``token, sid, n, reach, leader``, each once.
 
     Tokens are dealt once, frequent ones over several parts.  The parts of a frequent token are brought
     together as one row each; there are no more of those tokens than ``FREQUENT``.
@@ -194,14 +206,15 @@ def active_tokens(sets: DataFrame) -> DataFrame:
     spread = once_per_task(own).select("sid", "n", "n_rare", F.posexplode("prefix").alias("at", "token"))
     frequent = F.col("at") >= F.col("n_rare")
     salt = F.when(frequent, F.pmod("sid", F.lit(SALTS))).otherwise(0)
-    dealt = spread.select("token", salt.alias("salt"), frequent.alias("frequent"), "sid", "n")
+    reach = reach_of(F.col("n"), F.col("at")).alias("reach")
+    dealt = spread.select("token", salt.alias("salt"), frequent.alias("frequent"), "sid", "n", reach)
     holders = Window.partitionBy("token", "salt")
     met = dealt.withColumns({"low": F.min("sid").over(holders), "high": F.max("sid").over(holders)})
     met = written(met.where("frequent OR low < high").drop("salt"), "met")
     ends = met.where("frequent").groupBy("token").agg(F.min("low").alias("leader"), F.max("high").alias("last"))
     ends = written(ends.where("leader < last").drop("last"), "leaders")
-    often = met.where("frequent").join(F.broadcast(ends), "token").select("token", "sid", "n", "leader")
-    rare = met.where("NOT frequent").select("token", "sid", "n", F.col("low").alias("leader"))
+    often = met.where("frequent").join(F.broadcast(ends), "token").select("token", "sid", "n", "reach", "leader")
+    rare = met.where("NOT frequent").select("token", "sid", "n", "reach", F.col("low").alias("leader"))
     return rare.unionAll(often).distinct()
 
 
@@ -243,8 +256,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def in_groups(active: DataFrame, labels: DataFrame) -> DataFrame:
-    """``token, sid, n, label`` of tokens that several groups hold; a set without links is its own group."""
-    grouped = active.select("token", "sid", "n").join(labels, "sid", "left")
+    """``token, sid, n, reach, label`` of tokens that several groups hold; a set without links is its own group."""
+    grouped = active.select("token", "sid", "n", "reach").join(labels, "sid", "left")
     grouped = written(grouped.withColumn("label", F.coalesce("label", "sid")), "grouped")
     mixed = grouped.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     return written(grouped.join(mixed.select("token"), "token", "left_semi"), "mixed")
@@ -277,36 +290,53 @@ def least_in_any_prefix(x: Column, low: Column, high: Column) -> Column:
 
 
 def to_groups(mixed: DataFrame) -> DataFrame:
-    """Pairs of sets with the members of groups that the matrix of tokens and groups lets them open."""
+    """Pairs of sets with the members of groups that the matrix of tokens and groups lets them open.
+
+    A set meets a group by the tokens that can be the first it has in common with a member: each within
+    the other's ``reach``.  Without that column any token of a prefix can be the first.
+    """
+    if "reach" not in mixed.columns:
+        mixed = mixed.withColumn("reach", reach_of(F.col("n"), F.lit(0)))
     matrix = mixed.groupBy("token", F.col("label").alias("group")).agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.max("sid").alias("last"), F.count(F.lit(1)).alias("held")
-    )
-    matrix = written(matrix, "matrix")
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("far"),
+        F.min("sid").alias("first"), F.max("sid").alias("last"), F.count(F.lit(1)).alias("held"),
+    )
+    # most groups are one set, which names them
+    matrix = written(matrix.withColumns({c: F.nullif(F.col(c), F.col("group")) for c in ("first", "last")}), "matrix")
     n, least, most = F.col("n"), F.col("least"), F.col("most")
     may_fit = (4 * most >= 3 * n) & (4 * n >= 3 * least)
-    met = mixed.join(matrix, "token").where((F.col("label") < F.col("group")) & may_fit)
-    bounds = met.groupBy("sid", "group").agg(
-        F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"),
-        F.max("last").alias("last"),
+    may_start = (least <= F.col("reach")) & (n <= F.col("far"))
+    met = mixed.join(matrix, "token").where((F.col("label") < F.col("group")) & may_start & may_fit)
+    met = met.groupBy("sid", "group").agg(
+        F.first("n").alias("n"), F.max("most").alias("most"),
+        F.min(F.coalesce("first", "group")).alias("first"), F.max(F.coalesce("last", "group")).alias("last"),
     )
+    met = written(met, "met_groups")
+    # where one member alone holds the tokens that they meet by, it is the only one that can be linked
+    alone = F.col("first") == F.col("last")
+    direct = met.where(alone).select(F.col("sid").alias("a"), F.col("first").alias("b"), F.col("n").alias("a_n"), F.col("most").alias("b_n"))
+    several = met.where(~alone).select("sid", "group")
+    cells = matrix.drop("first", "last", "far")
+    shared = mixed.select("token", "sid", "n").join(several, "sid").join(cells, ["token", "group"]).where(may_fit)
+    bounds = shared.groupBy("sid", "group").agg(
+        F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")
+    )
     low, high = F.greatest(least, F.ceil(n * 3 / F.lit(4))), F.least(most, F.floor(n * 4 / F.lit(3)))
     opened = bounds.withColumn("spare", F.col("shared") - least_in_any_prefix(n, low, high)).where("spare >= 0")
-    opened = written(opened.select("sid", "group", "spare", "last"), "opened")
-    # a group is named by its smallest set: where no other holds a shared token, the bound was that pair's own
-    direct = opened.where(F.col("last") == F.col("group")).select(F.col("sid").alias("a"), F.col("group").alias("b"))
-    opened = opened.where(F.col("last") != F.col("group")).drop("last")
+    opened = written(opened.select("sid", "group", "spare"), "opened")
     # A member must hold ``needed`` of the shared tokens, so one of any ``spare + 1``: the rarest in the group.
-    asked = mixed.select("token", "sid", "n").join(opened, "sid").join(matrix.drop("last"), ["token", "group"]).where(may_fit)
+    asked = mixed.select("token", "sid", "n").join(opened, "sid").join(cells, ["token", "group"]).where(may_fit)
     rarest = F.row_number().over(Window.partitionBy("sid", "group").orderBy("held", "token"))
     asked = asked.withColumn("at", rarest).where("at <= spare + 1").select("token", "group", F.col("sid").alias("a"), F.col("n").alias("a_n"))
     members = mixed.select("token", F.col("label").alias("group"), F.col("sid").alias("b"), F.col("n").alias("b_n"))
     inside = asked.join(members, ["token", "group"]).where(sizes_fit(F.col("a_n"), F.col("b_n")))
-    pairs = written(inside.select("a", "b", "a_n", "b_n").distinct(), "inside")
+    pairs = written(inside.select("a", "b", "a_n", "b_n").distinct().unionAll(direct), "inside")
     # what both hold, from the prefixes' shared tokens as lists
-    lists = mixed.groupBy("sid").agg(F.collect_list("token").alias("tokens"))
+    ids = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
+    lists = mixed.join(ids, "sid", "left_semi").groupBy("sid").agg(F.collect_list("token").alias("tokens"))
     both = pairs.join(lists.toDF("a", "a_tokens"), "a").join(lists.toDF("b", "b_tokens"), "b")
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return both.where(common >= least_in_prefix(F.col("a_n"), F.col("b_n"))).select("a", "b").unionAll(direct)
+    return both.where(common >= least_in_prefix(F.col("a_n"), F.col("b_n"))).select("a", "b")
 
 
 def similar_sets(active: DataFrame, docs: DataFrame, representing: DataFrame, shared) -> DataFrame:

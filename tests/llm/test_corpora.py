@@ -467,3 +467,40 @@ def test_groups_are_opened_by_the_exact_bound(spark, monkeypatch):
     assert sizes["opened"] == 0
     enough = mixed.unionByName(spark.createDataFrame([(few + 1, s, 40, s) for s in (3, 7)], mixed.schema))
     assert [(r["a"], r["b"]) for r in jaccard.to_groups(enough).collect()] == [(3, 7)]
+
+
+def test_groups_are_met_by_tokens_that_can_be_the_first_in_common(spark, monkeypatch):
+    """Tokens too far behind in two sets' prefixes to be the first that they share do not pair them."""
+    n, at = F.col("n"), F.col("at")
+    positions = [(x, i) for x in range(1, 60) for i in range(x)]
+    got = {(r["n"], r["at"]): r["most"] for r in spark.createDataFrame(positions, "n int, at int").select("n", "at", jaccard.reach_of(n, at).alias("most")).collect()}
+    for x, i in positions:
+        fitting = [y for y in range(1, 100) if -(-3 * (x + y) // 7) <= x - i]
+        assert max([0, *fitting]) == max(0, got[x, i])
+    sizes = {}
+    real = jaccard.written
+
+    def counted(df, label):
+        out = real(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    # sets of 40 and of 31 tokens, two of them common: enough if they come first, too few behind others
+    for places, pairs, met in ({40: (8, 9), 31: (0, 1)}, 15 * 15, 15 * 15 + 15 * 7), ({40: (9, 10), 31: (1, 2)}, 0, 15 * 7):
+        rows = [(t, s, m, s, at) for s in range(1, 31) for m in [40 if s % 2 else 31] for t, at in enumerate(places[m])]
+        mixed = spark.createDataFrame(rows, "token long, sid long, n int, label long, at int")
+        mixed = mixed.withColumn("reach", jaccard.reach_of(F.col("n"), F.col("at"))).drop("at")
+        assert jaccard.to_groups(mixed).count() == pairs
+        assert sizes["met_groups"] == met
+
+
+def test_frequent_tokens_are_found_in_many_documents(spark):
+    """A passage of every tenth document is known as frequent however few documents are asked for at least."""
+    rng = random.Random(5)
+    passage = prose(rng, 12)
+    texts = [prose(rng, 9) + (" " + passage if i % 10 == 0 else "") for i in range(1200)]
+    order = jaccard.frequent_tokens(frame(spark, texts), 10)
+    found = set(order.tokens.tolist())
+    (known,) = jaccard.shingle_sets(jaccard.Chunk([passage.encode()]))
+    assert set(known.tolist()) <= found
