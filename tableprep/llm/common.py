@@ -186,14 +186,14 @@ def blocks(df: DataFrame, size: str, bound: int) -> Iterator[list]:
         yield dealt.where(at.isin(*chosen)).select(*columns).collect()
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Have texts handed to Python in batches of a few megabytes, unless the session says otherwise.
+def small_batches(spark: SparkSession, size: int = ARROW_BATCH_BYTES) -> None:
+    """Have texts handed to Python in batches of at most ``size`` bytes, unless the session says otherwise.
 
     A batch is held by the executor and by the worker at once, each with room to grow; by default it may
     have ten thousand long texts.
     """
-    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
-        spark.conf.set(BATCH_SETTING, str(ARROW_BATCH_BYTES))
+    if spark.conf.get(BATCH_SETTING) in (BATCH_DEFAULT, str(max(size, ARROW_BATCH_BYTES))):
+        spark.conf.set(BATCH_SETTING, str(size))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

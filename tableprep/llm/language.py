@@ -239,6 +239,7 @@ def calibrate(models: LanguageModels, docs: DataFrame) -> LanguageModels:
     for row in usual.collect():
         low, middle, high = row["q"]
         models.usual[row["best"]] = (middle, max((high - low) / 2, LEAST_SPREAD) ** 2, row["within"])
+    shared.destroy()  # what predicts is handed out anew; executors need not hold both
     return models
 
 

@@ -504,3 +504,19 @@ def test_frequent_tokens_are_found_in_many_documents(spark):
     found = set(order.tokens.tolist())
     (known,) = jaccard.shingle_sets(jaccard.Chunk([passage.encode()]))
     assert set(known.tolist()) <= found
+
+
+def test_stages_hand_small_batches_to_python(spark, monkeypatch):
+    """Every stage of the pipeline takes smaller batches than single operators, unless the session says otherwise."""
+    setting, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(1, "some words of text", "en", "s", 18)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("fit_languages", "predict_languages", "one_of_each", "remove_contaminated", "table", "redact_secrets", "encode_pieces"):
+        monkeypatch.setattr(corpus_pipeline, name, lambda *a: docs.selectExpr("*", "false AS rejected", "text AS decoded", "array(1) AS ids"))
+    try:
+        for given, kept in (("67108864b", 1 << 20), (str(4 << 20), 1 << 20), (str(1 << 19), 1 << 19)):
+            for _, stage in corpus_pipeline.STAGES:
+                spark.conf.set(setting, given)
+                stage(spark, docs, "")
+                assert int(spark.conf.get(setting)) == kept
+    finally:
+        spark.conf.set(setting, before)
