@@ -24,7 +24,7 @@ from tableprep.session import scratch_scope, written
 WIDTH = 5  # words in a shingle
 # Similarity 3/4: sets x, y are linked when 4 * common >= 3 * (|x| + |y| - common).
 SAMPLE_DOCS = 10_000  # documents whose shingles tell which are frequent, at least
-SAMPLE_SHARE = 12  # one document of so many, where that is more
+SAMPLE_SHARE = 10  # one document of so many, where that is more
 FREQUENT = 1_000_000  # most shingles remembered as frequent
 HUBS = 8  # foremost holders of a token that sets of other groups are held against
 SEEN_SETS = 500_000  # ids of sets that a task remembers
@@ -332,8 +332,7 @@ def to_groups(mixed: DataFrame) -> DataFrame:
     inside = asked.join(members, ["token", "group"]).where(sizes_fit(F.col("a_n"), F.col("b_n")))
     pairs = written(inside.select("a", "b", "a_n", "b_n").distinct().unionAll(direct), "inside")
     # what both hold, from the prefixes' shared tokens as lists
-    ids = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
-    lists = mixed.join(ids, "sid", "left_semi").groupBy("sid").agg(F.collect_list("token").alias("tokens"))
+    lists = mixed.groupBy("sid").agg(F.collect_list("token").alias("tokens"))
     both = pairs.join(lists.toDF("a", "a_tokens"), "a").join(lists.toDF("b", "b_tokens"), "b")
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
     return both.where(common >= least_in_prefix(F.col("a_n"), F.col("b_n"))).select("a", "b")
