@@ -24,7 +24,7 @@ from tableprep.session import scratch_scope, written
 WIDTH = 5  # words in a shingle
 # Similarity 3/4: sets x, y are linked when 4 * common >= 3 * (|x| + |y| - common).
 SAMPLE_DOCS = 10_000  # documents whose shingles tell which are frequent, at least
-SAMPLE_SHARE = 10  # one document of so many, where that is more
+SAMPLE_SHARE = 5  # one document of so many, where that is more
 FREQUENT = 1_000_000  # most shingles remembered as frequent
 HUBS = 8  # foremost holders of a token that sets of other groups are held against
 SEEN_SETS = 500_000  # ids of sets that a task remembers
@@ -96,10 +96,11 @@ class Order:
 
 
 def frequent_tokens(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Order:
-    """Tokens seen more than once in a sample of documents.
+    """Tokens that more than one text of a sample of documents holds.
 
     The order only steers which tokens serve as prefixes: any order gives the same links.  The sample grows
-    with the documents, so that the holders of a token that it misses do not.
+    with the documents, so that the holders of a token that it misses do not.  Copies of a text count once:
+    they add no sets that hold its shingles, and would use up ``FREQUENT``.
     """
     rows = docs.count()
     share = min(1.0, max(sample / max(rows, 1), 1 / SAMPLE_SHARE)) if sample else 0.0
@@ -111,8 +112,7 @@ def frequent_tokens(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Order:
                 tokens, n = np.unique(np.concatenate([*shingle_sets(chunk), np.zeros(0, np.uint64)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
 
-    # copies of one text say nothing about how common its shingles are elsewhere, but count once each
-    counted = picked.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = picked.select("text").dropDuplicates().mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counted.where("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     return Order(top["token"].to_numpy().view(np.uint64), top["n"].to_numpy())
 

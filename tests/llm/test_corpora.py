@@ -506,6 +506,28 @@ def test_frequent_tokens_are_found_in_many_documents(spark):
     assert set(known.tolist()) <= found
 
 
+def test_copies_make_no_token_frequent(spark, monkeypatch):
+    """Shingles of one text and its copies are left out of the frequent ones, which are limited in number."""
+    rng = random.Random(6)
+    copied, passage = prose(rng, 40), prose(rng, 12)
+    texts = [copied] * 300 + [prose(rng, 9) + " " + passage for _ in range(30)]
+    (known,) = jaccard.shingle_sets(jaccard.Chunk([passage.encode()]))
+    monkeypatch.setattr(jaccard, "FREQUENT", len(known))
+    order = jaccard.frequent_tokens(frame(spark, texts).repartition(4))
+    assert dict(zip(order.tokens.tolist(), order.counts.tolist())) == dict.fromkeys(known.tolist(), 30)
+
+
+def test_rare_tokens_have_no_more_holders_in_many_documents(spark):
+    """As large a part of a corpus tells its frequent tokens where it is far larger than the least sample."""
+    rng = random.Random(7)
+    passages = [prose(rng, 12) for _ in range(150)]
+    texts = [f"{prose(rng, 9)} {passage}" for passage in passages for _ in range(16)]
+    found = set(jaccard.frequent_tokens(frame(spark, texts), 10).tokens.tolist())
+    known = [set(tokens.tolist()) for tokens in jaccard.shingle_sets(jaccard.Chunk([p.encode() for p in passages]))]
+    # of 16 holders, two or more are in a part of a fifth 86 times of 100, in one of a tenth 49 times
+    assert sum(tokens <= found for tokens in known) > 0.7 * len(known)
+
+
 def test_stages_hand_small_batches_to_python(spark, monkeypatch):
     """Every stage of the pipeline takes smaller batches than single operators, unless the session says otherwise."""
     setting, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
